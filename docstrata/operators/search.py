@@ -66,7 +66,7 @@ class _TopK:
             self._block(ids[at : at + step], vectors[at : at + step], members)
 
     def _block(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray) -> None:
-        d = np.round(_distances(self.queries[members], vectors, self.metric), SCORE_DIGITS)
+        d = np.round(_distances(self.queries[members], vectors, self.metric), SCORE_DIGITS) + 0.0
         limit = self.limit[members]
         if d.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])

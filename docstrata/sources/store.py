@@ -54,7 +54,7 @@ class SnapshotTable:
     def _append_log(self, version: int, buckets: list[int], batch_id: int) -> None:
         rows = self.spark.range(1).select(
             F.lit(version).cast("int").alias("version"),
-            F.explode(F.array(*[F.lit(b) for b in buckets])).cast("int").alias("bucket"),
+            F.explode(F.array(*[F.lit(b) for b in buckets])).alias("bucket"),
             F.lit(batch_id).cast("long").alias("batch_id"),
         )
         rows.coalesce(1).write.mode("append").json(f"{self.root}/log")

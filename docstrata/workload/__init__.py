@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.workload import text_queries  # noqa: F401
+from docstrata.workload import index_queries, search_queries, stats_queries, text_queries  # noqa: F401
 from docstrata.workload.registry import ORACLES, QUERIES, Query
 
 
