@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from docstrata.workload import index_queries, search_queries, stats_queries, text_queries  # noqa: F401
+from docstrata.workload import (  # noqa: F401
+    index_queries,
+    search_queries,
+    stats_queries,
+    stream_queries,
+    text_queries,
+)
 from docstrata.workload.registry import ORACLES, QUERIES, Query
 
 
