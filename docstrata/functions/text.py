@@ -15,6 +15,10 @@ WHITESPACE = (
 )
 WS = "[" + WHITESPACE + "]"
 
+# The code points that separate words in fixed-window chunking (as above without the byte-order
+# mark, with the four information separators and next line).
+WORD_SEPARATORS = WHITESPACE.replace("\ufeff", "") + "\u001c\u001d\u001e\u001f\u0085"
+
 # Markdown removal rules, applied in this order.
 MARKDOWN_RULES = [
     (rf"(?m)^#{{1,6}}{WS}+", ""),
@@ -42,9 +46,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def collapse_whitespace(c: Column | str) -> Column:
-    """Every run of white space becomes one space; none at either end."""
-    return F.trim(F.regexp_replace(_col(c), WS + "+", " "))
+def collapse_whitespace(c: Column | str, whitespace: str = WHITESPACE) -> Column:
+    """Every run of white space becomes one space; none at either end.
+
+    Runs that are one plain space already, nearly all of them in prose, are not matched at all; the look-ahead
+    turns printable ASCII away before the large class is consulted.
+    """
+    other = whitespace.replace(" ", "")
+    run = f"(?! ?[!-~])(?: [{whitespace}]+|[{other}][{whitespace}]*)"
+    return F.trim(F.regexp_replace(_col(c), run, " "))
 
 
 def trim_whitespace(c: Column | str) -> Column:

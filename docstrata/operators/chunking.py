@@ -119,15 +119,16 @@ def chunk_fixed(
     caller's cap per document; by default whole texts are kept.
     """
     step = max(size - overlap, 1)
-    flat = docs.withColumn(text, tx.collapse_whitespace(text)).where(F.length(text) > 0)
-    last = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / F.lit(step)).cast("int")
+    flat = docs.withColumn(text, tx.collapse_whitespace(text, tx.WORD_SEPARATORS))
+    count = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / F.lit(step)).cast("int") + 1
     if max_chunks is not None:
-        last = F.least(last, F.lit(max_chunks - 1))
-    out = flat.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    offset = F.col("chunk_index").cast("long") * step
-    return out.withColumn("offset", offset).withColumn(
-        text, F.substring(F.col(text), F.col("offset").cast("int") + 1, F.lit(size))
-    )
+        count = F.least(count, F.lit(max_chunks))
+    # One pass over the text: look ahead for a window, move on by a step. Substrings by position would scan the
+    # text from its start for every window. A blank text has no window and so no row.
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    kept = [F.col(c) for c in docs.columns if c != text]
+    out = flat.select(*kept, F.posexplode(F.slice(windows, F.lit(1), count)).alias("chunk_index", text))
+    return out.withColumn("offset", F.col("chunk_index").cast("long") * step)
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:

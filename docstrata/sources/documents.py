@@ -46,6 +46,14 @@ def decode_content(content: Column | str) -> Column:
     return F.regexp_replace(decoded, "\\A\ufeff", "")
 
 
+def read_corpus(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet corpus. Text work is bound by the processor, so an input with fewer splits than task slots is
+    spread over them; one with enough splits, as any large corpus has, is read as it lies, without a shuffle."""
+    rows = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return rows.repartition(slots, key) if rows.rdd.getNumPartitions() * 2 <= slots else rows
+
+
 def read_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """`(path, content)` of every file below the roots."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
@@ -111,12 +119,11 @@ def ingest_delimited(files: DataFrame, sep: str = ",") -> DataFrame:
 
 def paginate(df: DataFrame, text: str = "text", size: int = PAGE_CHARS) -> DataFrame:
     """Collapsed text cut into pages of `size` characters, numbered from 1; blank text has no page."""
-    flat = df.withColumn(text, tx.collapse_whitespace(text)).where(F.length(text) > 0)
-    last = F.floor((F.length(text) - 1) / F.lit(size)).cast("int")
-    exploded = flat.withColumn("page", F.explode(F.sequence(F.lit(0), last)))
-    return exploded.withColumn(text, F.substring(F.col(text), F.col("page") * size + 1, F.lit(size))).withColumn(
-        "page", F.col("page") + 1
-    )
+    flat = df.withColumn(text, tx.collapse_whitespace(text))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    kept = [F.col(c) for c in df.columns if c != text]
+    out = flat.select(*kept, F.posexplode(cut).alias("page", text))
+    return out.withColumn("page", F.col("page") + 1)
 
 
 # Extractors by extension: each maps `(path, content, ...)` to `(path, text, ...)`.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docstrata.operators import ann, chunking, embedding, evaluation, lookups, search
 from docstrata.plans import indexing
+from docstrata.session import fresh_dir
 from docstrata.workload import tables as t
 from docstrata.workload.registry import query
 from docstrata.workload.tables import oracle
@@ -68,9 +69,12 @@ def l2_topk(spark, sf):
 
 
 def _text_chunks(spark, sf):
+    """The chunk table of the corpus, written once: searching must not chunk and embed again."""
     cut = chunking.chunk_fixed(t.corpus(spark, sf).select("path", "mtime_ms", "text"))
     rows, _ = embedding.split_failures(embedding.embed(cut, prefix="passage: "))
-    return chunking.chunk_rows(rows)
+    path = fresh_dir(spark, "index")
+    chunking.chunk_rows(rows).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _text_hits(spark, sf, k=10):
@@ -78,13 +82,6 @@ def _text_hits(spark, sf, k=10):
     return indexing.search_text(_text_chunks(spark, sf), questions, k, prefix="query: ")
 
 
-def _unit_sql(x: str) -> str:
-    return (
-        f"(select list_transform(r, lambda x: cast(x / sqrt(list_sum(list_transform(r, lambda y: y * y))) as float)::double) "
-        f"from (select {x} as r) u)"
-    )
-
-
 def _with_hits(body: str) -> str:
     vectors = f"""
 , cv as (select *, list_transform(r, lambda x: cast(x / sqrt(list_sum(list_transform(r, lambda y: y * y))) as float)::double) as v

@@ -123,7 +123,7 @@ def run_summary(spark, sf):
 
 def _latency_sql(by: str) -> str:
     return f"""
-select {by}, count(*) as samples, min(value) as min, max(value) as max, round(avg(value), 4) as avg,
+select {by}, count(*) as samples, min(value) as min, max(value) as max, round(avg(value), 8) as avg,
        max(value) filter (rn = floor(n * 0.50)) as p50, max(value) filter (rn = floor(n * 0.95)) as p95,
        max(value) filter (rn = floor(n * 0.99)) as p99
 from (select {by}, value, row_number() over (partition by {by} order by value) - 1 as rn, count(*) over (partition by {by}) as n
@@ -131,14 +131,18 @@ from (select {by}, value, row_number() over (partition by {by} order by value) -
 """
 
 
+def _latency(spark, sf, by):
+    return stats.latency_stats(t.events(spark, sf), by, "value").withColumn("avg", F.round("avg", 8))
+
+
 @query("a6_latency_stats", _latency_sql("event_type"))
 def latency_stats(spark, sf):
-    return _round(stats.latency_stats(t.events(spark, sf), "event_type", "value"), "avg")
+    return _latency(spark, sf, "event_type")
 
 
 @query("a6_latency_by_user", _latency_sql("user_id"))
 def latency_by_user(spark, sf):
-    return _round(stats.latency_stats(t.events(spark, sf), "user_id", "value"), "avg")
+    return _latency(spark, sf, "user_id")
 
 
 @query(

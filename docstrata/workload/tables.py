@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docstrata import registry as parsers
 from docstrata.frames import values_frame
 from docstrata.operators import chunking, search
+from docstrata.sources.documents import read_corpus
 
 # Fixed moment of all time-dependent rules: 2025-01-01 00:00 UTC.
 NOW_MS = 1_735_689_600_000
@@ -19,6 +20,8 @@ NOW_MS = 1_735_689_600_000
 # White-space class and sentence break in the checking engine's regular-expression dialect.
 SQL_WS = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+SQL_SEPARATORS = SQL_WS.replace(r"\x{feff}", r"\x1c-\x1f\x{0085}")
+
 FOLDERS = [("/src3/en", 0), *[(f"/src{i}", i + 1) for i in range(20)], ("/empty", 21)]
 REMOVED_FOLDERS = [("/src1", 0), ("/src3/", 1)]
 
@@ -72,25 +75,32 @@ def _fill(sql: str, tables: dict[str, str], string: str) -> str:
 _NESTED = {"listing": _LISTING, "corpus": _CORPUS}
 
 
-def _spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    given = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("documents", "labels")}
-    return spark.sql(_fill(text, {**_NESTED, **given}, "string"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, for text work."""
+    return read_corpus(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spark_sql(text: str, **frames: DataFrame) -> DataFrame:
+    spark = next(iter(frames.values())).sparkSession
+    return spark.sql(_fill(text, _NESTED, "string"), **frames)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark_sql(spark, sf_dir, _CORPUS)
+    return _spark_sql(_CORPUS, documents=documents(spark, sf_dir))
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark_sql(spark, sf_dir, _LISTING)
+    return _spark_sql(_LISTING, documents=given(spark, sf_dir, "documents"))
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spark_sql(spark, sf_dir, _STATUS)
+    rows = _spark_sql(
+        _STATUS, documents=given(spark, sf_dir, "documents"), labels=given(spark, sf_dir, "labels")
+    )
     return rows.select(
         "path",
         "status",
@@ -203,7 +213,7 @@ select sha1(concat(path, ':0:', cast(chunk_index * {step} as varchar))) as id, p
 from (select path, mtime_ms, t, type, title,
              unnest(range(0, cast(1 + ceil(greatest(length(t) - {size}, 0) / {step}.0) as bigint))) as chunk_index
       from (select path, mtime_ms, lower(ext) as type, string_split(path, '/')[-1] as title,
-                   trim(regexp_replace(text, '{SQL_WS}+', ' ', 'g')) as t from {source}) f where length(t) > 0) e
+                   trim(regexp_replace(text, '{SQL_SEPARATORS}+', ' ', 'g')) as t from {source}) f where length(t) > 0) e
 """
 
 

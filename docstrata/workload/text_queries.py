@@ -64,13 +64,13 @@ def ingest_text(spark, sf):
         .when(F.col("lang") == "es", F.concat(F.lit(b"\xfe\xff"), F.encode("text", "UTF-16BE")))
         .otherwise(F.encode("text", "UTF-8"))
     )
-    files = t.given(spark, sf, "documents").select("doc_id", content.alias("content"))
+    files = t.documents(spark, sf).select("doc_id", content.alias("content"))
     return documents.ingest_text(files)
 
 
 @query("s3_clean_markdown", f"select doc_id, {_rules('text', tx.MARKDOWN_RULES)} as text from documents")
 def clean_markdown(spark, sf):
-    return documents.clean_markdown(t.given(spark, sf, "documents").select("doc_id", "text"))
+    return documents.clean_markdown(t.documents(spark, sf).select("doc_id", "text"))
 
 
 _RTF_SQL = "'{\\rtf1\\ansi}{\\fonttbl\\f0 Arial;}\\pard ' || replace(text, chr(10), '\\par ' || chr(10)) || '\\''e9}'"
@@ -84,7 +84,7 @@ def clean_rtf(spark, sf):
         F.replace(F.col("text"), F.lit("\n"), F.lit("\\par \n")),
         F.lit("\\'e9}"),
     )
-    return documents.clean_rtf(t.given(spark, sf, "documents").select("doc_id", wrapped.alias("text")))
+    return documents.clean_rtf(t.documents(spark, sf).select("doc_id", wrapped.alias("text")))
 
 
 @query(
@@ -101,7 +101,7 @@ select doc_id, regexp_replace(array_to_string(list_transform(
 def ingest_delimited(spark, sf):
     """Documents read as comma-separated files; quotes are tested on fixtures."""
     plain = F.replace(F.replace(F.col("text"), F.lit("\r"), F.lit(" ")), F.lit('"'), F.lit(""))
-    files = t.given(spark, sf, "documents").select("doc_id", F.encode(plain, "UTF-8").alias("content"))
+    files = t.documents(spark, sf).select("doc_id", F.encode(plain, "UTF-8").alias("content"))
     return documents.ingest_delimited(files, ",")
 
 
@@ -115,7 +115,7 @@ from (select doc_id, x, unnest(range(0, cast(floor((length(x) - 1) / 2000) + 1 a
 )
 def paginate(spark, sf):
     """Pages of 2 000 characters, so that most documents have several."""
-    return documents.paginate(t.given(spark, sf, "documents").select("doc_id", "text"), "text", 2000)
+    return documents.paginate(t.documents(spark, sf).select("doc_id", "text"), "text", 2000)
 
 
 @query(
@@ -211,7 +211,7 @@ select doc_id, cast(ceil(length(text) / 4.0) as bigint) as chunk_tokens,
 """,
 )
 def est_tokens(spark, sf):
-    return t.given(spark, sf, "documents").select(
+    return t.documents(spark, sf).select(
         "doc_id",
         paths.est_tokens("text", 4).alias("chunk_tokens"),
         paths.est_tokens("text", 2.5).alias("batch_tokens"),
@@ -230,7 +230,7 @@ group by lang
 """,
 )
 def text_profile(spark, sf):
-    report = stats.text_profile(t.given(spark, sf, "documents"), "text", "lang")
+    report = stats.text_profile(t.documents(spark, sf), "text", "lang")
     return report.withColumns(
         {c: F.round(c, 6) for c in ("avg_chars", "non_ascii_percent")}
     )
@@ -243,7 +243,7 @@ def _with_query(spark, sf):
     """Each document with its own last two words as the query, so that every row has another pattern."""
     words = F.split(tx.collapse_whitespace("text"), " ")
     asked = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), "  ")
-    return t.given(spark, sf, "documents").select("doc_id", "text", asked.alias("q"))
+    return t.documents(spark, sf).select("doc_id", "text", asked.alias("q"))
 
 
 @query(
@@ -294,7 +294,7 @@ from (select *, array_to_string(s[b + 1 : b + take], ' ') as body from (
 """,
 )
 def context_window(spark, sf):
-    return t.given(spark, sf, "documents").select("doc_id", tx.context_window("text").alias("context"))
+    return t.documents(spark, sf).select("doc_id", tx.context_window("text").alias("context"))
 
 
 def sentence_chunk_sql(source: str, keys: str, target: int, overlap: int) -> str:
@@ -324,12 +324,12 @@ from spans x join sums u on u.k = x.k join src on src.k = x.k
 
 @query("c1_chunk_sentences", sentence_chunk_sql("documents", "doc_id", 500, 60))
 def chunk_sentences(spark, sf):
-    return chunking.chunk_sentences(t.given(spark, sf, "documents"), "doc_id")
+    return chunking.chunk_sentences(t.documents(spark, sf), "doc_id")
 
 
 @query("c1_chunk_sentences_small", sentence_chunk_sql("documents", "doc_id", 100, 20))
 def chunk_sentences_small(spark, sf):
-    return chunking.chunk_sentences(t.given(spark, sf, "documents"), "doc_id", "text", 100, 20)
+    return chunking.chunk_sentences(t.documents(spark, sf), "doc_id", "text", 100, 20)
 
 
 _PAGES = f"""(select doc_id, cast(p + 1 as int) as page, substr(x, p * 2000 + 1, 2000) as text
@@ -378,7 +378,7 @@ select doc_id, cast(i as int) as i, round(v[i]::double, 5) as v from (
 """,
 )
 def embed(spark, sf):
-    rows = embedding.embed(t.given(spark, sf, "documents").select("doc_id", "text"), prefix="passage: ")
+    rows = embedding.embed(t.documents(spark, sf).select("doc_id", "text"), prefix="passage: ")
     spread = rows.select("doc_id", F.posexplode("vector").alias("i", "v"))
     return spread.select(
         "doc_id", (F.col("i") + 1).alias("i"), F.round(F.col("v").cast("double"), 5).alias("v")
@@ -412,7 +412,7 @@ select doc_id, i, v, round(v / n, 6) as unit from (
 """,
 )
 def hash_embed(spark, sf):
-    rows = t.given(spark, sf, "documents").select("doc_id", vx.hash_values("text", DIM).alias("r"))
+    rows = t.documents(spark, sf).select("doc_id", vx.hash_values("text", DIM).alias("r"))
     both = rows.select("doc_id", F.posexplode(F.arrays_zip("r", vx.l2_normalize("r").alias("u"))).alias("i", "x"))
     return both.select(
         "doc_id", (F.col("i") + 1).alias("i"), F.col("x.r").alias("v"), F.round("x.u", 6).alias("unit")
