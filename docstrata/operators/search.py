@@ -157,7 +157,7 @@ def nearest_in_cells(
     if size <= broadcast_bytes:
         local = _broadcast_nearest(chunks, queries, k, metric, schema, celled)
     else:
-        local = _celled_nearest(chunks, queries, k, metric, schema, count)
+        local = _celled_nearest(chunks, queries, k, metric, schema, count, celled)
     return _rank(local, k)
 
 
@@ -199,26 +199,29 @@ def _broadcast_nearest(chunks, queries, k, metric, schema, celled) -> DataFrame:
     return chunks.mapInArrow(score, schema)
 
 
-def _celled_nearest(chunks, queries, k, metric, schema, query_count) -> DataFrame:
+def _celled_nearest(chunks, queries, k, metric, schema, query_count, celled) -> DataFrame:
     """Both sides hashed into groups of bounded size within each cell; every group pair is one task's work.
 
     The number of row groups of a cell follows from its row count, so a cell holding most rows is split into
     as many groups as its size asks for.
     """
-    groups = chunks.groupBy("cell").agg(
-        F.ceil(F.count("*") / F.lit(CELL_CHUNKS)).cast("int").alias("row_groups")
-    )
+    asked = queries.withColumn("cell", F.explode("cells"))
+    if celled:
+        groups = chunks.groupBy("cell").agg(
+            F.ceil(F.count("*") / F.lit(CELL_CHUNKS)).cast("int").alias("row_groups")
+        )
+        rows, asked = chunks.join(groups, "cell"), asked.join(groups, "cell")
+    else:
+        row_groups = F.lit(max(1, -(-chunks.count() // CELL_CHUNKS)))
+        rows, asked = chunks.withColumn("row_groups", row_groups), asked.withColumn("row_groups", row_groups)
     query_groups = -(-query_count // CELL_QUERIES)
     left = (
-        chunks.join(groups, "cell")
-        .withColumn("row_group", F.pmod(F.xxhash64("id"), F.col("row_groups")).cast("int"))
+        rows.withColumn("row_group", F.pmod(F.xxhash64("id"), F.col("row_groups")).cast("int"))
         .withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
         .select("cell", "row_group", "query_group", "id", "vector")
     )
     right = (
-        queries.withColumn("cell", F.explode("cells"))
-        .join(groups, "cell")
-        .withColumn("row_group", F.explode(F.sequence(F.lit(0), F.col("row_groups") - 1)))
+        asked.withColumn("row_group", F.explode(F.sequence(F.lit(0), F.col("row_groups") - 1)))
         .withColumn("query_group", F.pmod(F.xxhash64("query_id"), F.lit(query_groups)).cast("int"))
         .select("cell", "row_group", "query_group", "query_id", "vector")
     )
