@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.frames import salt
+from docstrata.functions import vectors as vx
 from docstrata.operators import search
 
 # Fixed value: the index pays off once the table has more rows than this.
@@ -35,24 +36,37 @@ def default_cells(rows: int) -> int:
     return max(1, min(MAX_CELLS, int(rows**0.5)))
 
 
+def _features(chunks: DataFrame, metric: str) -> DataFrame:
+    """On unit vectors the nearest centroid by Euclidean distance is the nearest by angle."""
+    vector = vx.l2_normalize("vector") if metric == "cosine" else F.col("vector").cast("array<double>")
+    return chunks.withColumn("__features", array_to_vector(vector))
+
+
 def build_ivf(
-    chunks: DataFrame, n_cells: int | None = None, metric: str = "cosine", seed: int = 7, max_iter: int = 10
+    chunks: DataFrame,
+    n_cells: int | None = None,
+    metric: str = "cosine",
+    seed: int = 7,
+    max_iter: int = 10,
+    training: DataFrame | None = None,
 ) -> IvfIndex:
-    """Trains the centroids on all vectors and assigns every chunk to its cell."""
+    """Trains the centroids and assigns every chunk to its cell.
+
+    All chunks take part in the training unless the caller names other `training` rows; centroids only decide
+    which vectors share a cell.
+    """
     if n_cells is None:
         n_cells = default_cells(chunks.count())
     if n_cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
-    # On unit vectors the nearest centroid by Euclidean distance is the nearest by angle.
-    featured = chunks.withColumn("__features", array_to_vector(F.col("vector").cast("array<double>")))
+    featured = _features(chunks, metric)
     model = KMeans(
         k=n_cells,
         seed=seed,
         maxIter=max_iter,
         featuresCol="__features",
         predictionCol="cell",
-        distanceMeasure="cosine" if metric == "cosine" else "euclidean",
-    ).fit(featured.select("__features"))
+    ).fit((featured if training is None else _features(training, metric)).select("__features"))
     return IvfIndex(np.array(model.clusterCenters()), model.transform(featured).drop("__features"), metric)
 
 
@@ -76,11 +90,10 @@ def nearest_cells(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = search._matrix(batch.column(at))
-            c = shared.value
+            q, c = search._matrix(batch.column(at)), shared.value
             if metric == "cosine":
-                q, c = search._unit_rows(q), search._unit_rows(c)
-            d = search._distances(q, c, metric) if len(q) else np.empty((0, len(c)))
+                q = search._unit_rows(q)
+            d = search._distances(q, c, "l2") if len(q) else np.empty((0, len(c)))
             picked = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(picked.tolist(), pa.list_(pa.int64()))], names=schema.names

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstrata.frames import salted_join
 from docstrata.functions import paths
 from docstrata.functions.vectors import BYTE_CENTRE, DIGEST_BYTES
 
@@ -178,7 +179,8 @@ def pack_batches(
         (F.col("block") > 0) & (F.col("o") - F.col("block") * block_rows < max_rows),
         F.array("block", F.col("block") - 1),
     ).otherwise(F.array("block"))
-    widened = rows.join(long_keys, "k", "left_semi").select("k", "o", "tokens", F.explode(halo).alias("block"))
+    long_rows = salted_join(rows, long_keys, "k", "left_semi", ["o"])
+    widened = long_rows.select("k", "o", "tokens", F.explode(halo).alias("block"))
 
     def describe(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o")

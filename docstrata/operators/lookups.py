@@ -149,7 +149,7 @@ def with_class_relevance(runs: DataFrame, classes: DataFrame) -> DataFrame:
     of_doc = classes.select("doc_id", F.col("label").alias("__doc_label"))
     return (
         runs.join(of_query, "query_id", "left")
-        .join(of_doc, "doc_id", "left")
+        .transform(lambda df: salted_join(df, of_doc, "doc_id", "left", ["query_id"]))
         .withColumn("relevant", F.coalesce(F.col("__query_label") == F.col("__doc_label"), F.lit(False)))
         .drop("__query_label", "__doc_label")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstrata.frames import salted_join
 from docstrata.functions import vectors as vx
 
 # Scores are rounded before ranking, so that ties are ties in every engine; ids break them.
@@ -284,11 +285,13 @@ def topk(
 def project_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with their chunk's columns: `(query_id, id, path, page, offset, text, score, title, rank)`.
 
-    The ranked side holds k rows per query and the chunk id is unique, so no key is hot here; which side is
-    broadcast, if any, is left to the measured sizes.
+    The chunk table is first cut down to the chunks that were hit, each once; these few rows then meet the
+    hits, of which a popular chunk may have very many.
     """
     columns = ["id", "path", "page", "offset", "text", "title"]
-    joined = ranked.join(chunks.select(*columns), "id")
+    hit = chunks.select(*columns).join(ranked.select("id").distinct(), "id", "left_semi")
+    spread = [c for c in ("query_id",) if c in ranked.columns] or ["distance"]
+    joined = salted_join(ranked, hit, "id", "inner", spread)
     return joined.select(
         *[c for c in ("query_id",) if c in ranked.columns],
         "id",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.operators import chunking, embedding, maintenance, search
+from docstrata.session import ensure_checkpoint_dir
 from docstrata.sources.store import NO_BATCH, SnapshotTable
 
 
@@ -54,7 +55,7 @@ def index_files(
     rows, _ = index_corpus(readable, embedder)
     paths_of_docs = docs.select("path")
     chunks.replace(paths_of_docs, rows, batch_id)
-    written = chunks.read().select("path").join(paths_of_docs, "path", "left_semi")
+    written = chunks.read_for(paths_of_docs).select("path")
     outcomes = maintenance.index_outcomes(docs.select("path", "error_kind", "error_message"), written, registry)
     status.upsert(maintenance.status_rows(outcomes, listing, now_ms), batch_id)
 
@@ -72,5 +73,7 @@ def search_text(
     checked = asked.withColumn(
         "vector", F.when(F.col("error").isNull(), F.col("vector")).otherwise(F.raise_error(F.col("error")))
     )
-    ranked = search.batch_topk(chunks, checked.select("query_id", "vector"), k, where=where)
-    return search.project_hits(ranked, chunks)
+    # The ranking reads the query vectors more than once; the model must not run again for that.
+    ensure_checkpoint_dir(queries.sparkSession)
+    vectors = checked.select("query_id", "vector").checkpoint()
+    return search.project_hits(search.batch_topk(chunks, vectors, k, where=where), chunks)

@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Bursts of one file are merged before the shuffle as well as after it.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # A malformed character in one file becomes a replacement character instead of failing the job.
     "spark.sql.legacy.codingErrorAction": "true",
 }

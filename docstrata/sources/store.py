@@ -96,6 +96,10 @@ class SnapshotTable:
         )
         return rows.where(live).select(*self.schema.names)
 
+    def read_for(self, keys: DataFrame) -> DataFrame:
+        """Current rows of the buckets that hold the given keys."""
+        return self.read(self._touched(keys))
+
     def where_key(self, value: str) -> DataFrame:
         """Point look-up on the key: one bucket is read."""
         bucket = self.spark.range(1).select(
@@ -127,29 +131,32 @@ class SnapshotTable:
     def clear(self) -> int:
         return self.overwrite(self.spark.createDataFrame([], self.schema))
 
-    def _touched(self, *keyed: DataFrame) -> list[int]:
+    def _touched(self, keyed: DataFrame) -> list[int]:
         """Buckets of the given keys; at most `buckets` numbers reach the driver."""
-        both = reduce(DataFrame.union, [k.select(self._bucket().alias("bucket")) for k in keyed])
-        return [row[0] for row in both.distinct().collect()]
+        return [row[0] for row in keyed.select(self._bucket().alias("bucket")).distinct().collect()]
 
-    def replace(self, doomed: DataFrame, new: DataFrame, batch_id: int = NO_BATCH) -> int | None:
-        """Deletes the rows of the keys in `doomed` and of those in `new`, then adds `new`.
+    def replace(self, keys: DataFrame, new: DataFrame, batch_id: int = NO_BATCH) -> int | None:
+        """Deletes all rows of `keys`, then adds `new`, whose rows must belong to these keys.
 
-        Only buckets with such keys are rewritten. A batch that was committed before is not applied again.
+        Only buckets with such keys are rewritten, and `new` is computed once, in the write. A batch that was
+        committed before is not applied again.
         """
         if batch_id != NO_BATCH and self.applied(batch_id):
             return None
-        touched = self._touched(doomed, new)
+        touched = self._touched(keys)
         if not touched:
             return None
-        gone = doomed.select(self.key).union(new.select(self.key)).distinct()
+        gone = keys.select(self.key).distinct()
         kept = salted_join(self.read(touched), gone, self.key, "left_anti", [self.row_key], self.salts)
         added = last_per_key(new, self.row_key, self.order) if self.order else new
         rows = kept.select(*self.schema.names).unionByName(added.select(*self.schema.names))
         return self._commit(rows, touched, batch_id)
 
     def upsert(self, new: DataFrame, batch_id: int = NO_BATCH) -> int | None:
-        """Adds `new`, replacing rows with the same row key; an empty input changes nothing."""
+        """Adds `new`, replacing rows with the same row key; an empty input changes nothing.
+
+        `new` is read several times: pass stored rows or cheap ones.
+        """
         if batch_id != NO_BATCH and self.applied(batch_id):
             return None
         touched = self._touched(new)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docstrata.frames import salted_join
 from docstrata.functions import paths
 from docstrata.operators import lookups
 from docstrata.plans import reindex
@@ -16,7 +17,7 @@ from docstrata.plans import reindex
 WATERMARK = "1 hour"
 
 # Event-time width of the slices in which running totals are computed.
-SLICE_SECONDS = 3600
+SLICE_SECONDS = 60
 
 
 def file_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
@@ -88,7 +89,8 @@ def route(
         .when(F.coalesce(F.col("due"), F.lit(False)), "index")
         .otherwise("ignore")
     )
-    return typed.join(due, "path", "left").select(*events.columns, action.alias("action"))
+    joined = salted_join(typed, due, "path", "left", events.columns)
+    return joined.select(*events.columns, action.alias("action"))
 
 
 def track_completion(chunk_events: DataFrame) -> DataFrame:

@@ -25,16 +25,17 @@ def apply_changes(
     embedder: Callable[[], embedding.Embedder],
     now_ms: int,
 ) -> None:
-    """Applies one batch of debounced events `(path, op, ts, event_id)`.
+    """Applies one batch of events `(path, op, ts, event_id)` or of debounced ones `(path, op, ..., settled)`.
 
     `load(paths)` gives `(path, size_bytes, mtime_ms, text)` of files that exist. The last event of a path
     decides. Both stores remember the batch id, so a replayed batch changes nothing.
     """
-    last = events.groupBy("path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op"))
+    moment = F.col("settled") if "settled" in events.columns else F.struct("ts", "event_id")
+    last = events.groupBy("path").agg(F.max_by("op", moment).alias("op"))
     wanted = last.where("op <> 'unlink'").select("path")
     docs = load(wanted)
     routed = feed.route(
-        last, docs.select("path", "size_bytes", "mtime_ms"), status.read(), registry, now_ms
+        last, docs.select("path", "size_bytes", "mtime_ms"), status.read_for(last), registry, now_ms
     )
     # The decision depends on the status table, which this batch changes: fix it before the first write.
     ensure_checkpoint_dir(events.sparkSession)
@@ -46,7 +47,7 @@ def apply_changes(
     rows, _ = indexing.index_corpus(found.select("path", "text", "mtime_ms"), embedder)
     chunks.replace(decided.select("path"), rows, batch_id)
 
-    written = chunks.read().select("path").join(to_index, "path", "left_semi")
+    written = chunks.read_for(to_index).select("path")
     outcomes = maintenance.index_outcomes(
         found.select(
             "path", F.lit(None).cast("string").alias("error_kind"), F.lit("").alias("error_message")
@@ -95,7 +96,7 @@ def maintain_totals(stream: DataFrame, totals: SnapshotTable, checkpoint: str, *
     def write(batch: DataFrame, batch_id: int) -> None:
         if not totals.applied(batch_id):
             moves = feed.folder_moves(batch)
-            current = totals.read().join(moves.select("folder"), "folder", "left_semi")
+            current = totals.read_for(moves).join(moves.select("folder"), "folder", "left_semi")
             totals.upsert(feed.apply_moves(current, moves), batch_id)
 
     return (

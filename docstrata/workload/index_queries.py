@@ -579,7 +579,7 @@ def chunk_store(spark, sf):
     table = store.chunk_store(spark, fresh_dir(spark, "chunks"), buckets=8)
     table.create()
     table.overwrite(t.chunks(spark, sf))
-    table.replace(_labelled(spark, sf, "quality = 0"), t.new_chunks(spark, sf), batch_id=1)
+    table.replace(_labelled(spark, sf, "true"), t.new_chunks(spark, sf), batch_id=1)
     poor = _labelled(spark, sf, "quality = 0")
     table.replace(poor, table.read().limit(0), batch_id=2)
     return table.read().where("type = 'md'").select(*_CHUNK)
