@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from docstrata.frames import salt
 from docstrata.functions import vectors as vx
-from docstrata.operators import search
+from docstrata.operators.search import _distances, _matrix, _unit_rows, nearest_in_cells
 
 # Fixed value: the index pays off once the table has more rows than this.
 INDEX_MIN_ROWS = 50_000
@@ -90,10 +90,10 @@ def nearest_cells(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, c = search._matrix(batch.column(at)), shared.value
+            q, c = _matrix(batch.column(at)), shared.value
             if metric == "cosine":
-                q = search._unit_rows(q)
-            d = search._distances(q, c, "l2") if len(q) else np.empty((0, len(c)))
+                q = _unit_rows(q)
+            d = _distances(q, c, "l2") if len(q) else np.empty((0, len(c)))
             picked = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(picked.tolist(), pa.list_(pa.int64()))], names=schema.names
@@ -106,7 +106,7 @@ def probe_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 4)
     """Approximate k nearest chunks per query, exact within the probed cells; with as many probes as cells
     the result is the exact one."""
     asked = nearest_cells(queries.select("query_id", "vector"), index.centroids, nprobe, index.metric)
-    return search.nearest_in_cells(index.cells.select("id", "vector", "cell"), asked, k, index.metric)
+    return nearest_in_cells(index.cells.select("id", "vector", "cell"), asked, k, index.metric)
 
 
 def recall_at(approximate: DataFrame, exact: DataFrame) -> DataFrame:

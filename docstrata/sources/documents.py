@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.functions import paths, text as tx
+from docstrata.functions.text import WHITESPACE
 
 # The UTF-16 heuristic looks at 100 bytes of files of at least 20 bytes, wants more than 20
 # zero bytes, and more than twice as many at odd as at even positions.
@@ -98,10 +99,10 @@ def delimited_text(content: str, sep: str) -> str:
             break
         except csv.Error:
             continue
-        if not record or (len(record) == 1 and not record[0].strip(tx.WHITESPACE)):
+        if not record or (len(record) == 1 and not record[0].strip(WHITESPACE)):
             continue
-        lines.append(" ".join(field.strip(tx.WHITESPACE) for field in record))
-    return "\n".join(lines).strip(tx.WHITESPACE)
+        lines.append(" ".join(field.strip(WHITESPACE) for field in record))
+    return "\n".join(lines).strip(WHITESPACE)
 
 
 def ingest_delimited(files: DataFrame, sep: str = ",") -> DataFrame:

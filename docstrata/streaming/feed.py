@@ -24,6 +24,7 @@ def file_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> Data
     """New or rewritten files as a stream `(path, size_bytes, ts, content)`."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(root)
