@@ -12,15 +12,16 @@ from docstrata.functions import paths
 MAX_INLINE_FOLDERS = 1000
 
 
-def with_status(listing: DataFrame, status: DataFrame) -> DataFrame:
+def with_status(listing: DataFrame, status: DataFrame, how: str = "left") -> DataFrame:
     """Listing rows with the columns of their status row; `has_status` tells absence from nulls.
 
-    Both sides hold a path once, so neither has a hot key.
+    With `how="full"` status rows without a listed file are kept too, and `listed` tells them apart. Both sides
+    hold a path once, so neither has a hot key.
     """
     known = status.withColumn("has_status", F.lit(True))
-    return listing.join(known, "path", "left").withColumn(
-        "has_status", F.coalesce("has_status", F.lit(False))
-    )
+    joined = listing.withColumn("listed", F.lit(True)).join(known, "path", how)
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_status", "listed")}
+    return joined.withColumns(flags) if how == "full" else joined.withColumns(flags).drop("listed")
 
 
 def unstatused_paths(chunks: DataFrame, status: DataFrame) -> DataFrame:
@@ -89,16 +90,23 @@ def assign_folder(df: DataFrame, folders: DataFrame) -> DataFrame:
     return df.withColumn("folder", F.get(listed, (first - 1).cast("int")))
 
 
-def _by_folders(df: DataFrame, folders: DataFrame, inside: bool) -> DataFrame:
-    directory = paths.parent_dir("path")
+def folder_condition(folders: DataFrame) -> Column | None:
+    """Whether `path` lies below one of the folders, as an expression; None when the list is too long for one."""
     names = _short_list(folders)
     if names is None:
+        return None
+    keys = [name.rstrip("/") for name in names]
+    return F.exists(paths.ancestors(paths.parent_dir("path")), lambda a: a.isin(keys))
+
+
+def _by_folders(df: DataFrame, folders: DataFrame, inside: bool) -> DataFrame:
+    directory = paths.parent_dir("path")
+    found = folder_condition(folders)
+    if found is None:
         keyed = df.withColumn("__dir", directory)
         dirs = _folder_of_dirs(df, folders).select("__dir")
         how = "left_semi" if inside else "left_anti"
         return salted_join(keyed, dirs, "__dir", how, ["path"]).select(*df.columns)
-    keys = [name.rstrip("/") for name in names]
-    found = F.exists(paths.ancestors(directory), lambda a: a.isin(keys))
     return df.where(found if inside else ~found)
 
 

@@ -56,7 +56,7 @@ class _TopK:
         self.d = np.empty(0)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray | None = None) -> None:
+    def add(self, ids: pa.Array, vectors: np.ndarray, members: np.ndarray | None = None) -> None:
         """Offers rows to all queries, or to those at the positions `members`."""
         if not len(ids):
             return
@@ -64,9 +64,9 @@ class _TopK:
         vectors = _unit_rows(vectors) if self.metric == "cosine" else vectors
         step = max(1, MATRIX_ELEMENTS // max(1, len(members)))
         for at in range(0, len(ids), step):
-            self._block(ids[at : at + step], vectors[at : at + step], members)
+            self._block(ids.slice(at, step), vectors[at : at + step], members)
 
-    def _block(self, ids: np.ndarray, vectors: np.ndarray, members: np.ndarray) -> None:
+    def _block(self, ids: pa.Array, vectors: np.ndarray, members: np.ndarray) -> None:
         d = np.round(_distances(self.queries[members], vectors, self.metric), SCORE_DIGITS) + 0.0
         limit = self.limit[members]
         if d.shape[1] > self.k:
@@ -76,7 +76,9 @@ class _TopK:
             return
         q = np.concatenate([self.q, members[row]])
         dist = np.concatenate([self.d, d[row, col]])
-        names = ids[col] if self.ids is None else np.concatenate([self.ids, ids[col]])
+        # Only the candidates' ids leave Arrow: few, once the first rows have set the limits.
+        names = np.array(ids.take(pa.array(col)).to_pylist())
+        names = names if self.ids is None else np.concatenate([self.ids, names])
         order = np.lexsort((names, dist, q))
         q, dist, names = q[order], dist[order], names[order]
         first = np.searchsorted(q, q, side="left")
@@ -99,11 +101,6 @@ class _TopK:
         )
 
 
-def _numpy_ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    values = column.to_pylist()
-    return np.array(values) if values else np.empty(0, dtype=np.int64)
-
-
 def _combined(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -184,15 +181,15 @@ def _broadcast_nearest(chunks, queries, k, metric, schema, celled) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors = _numpy_ids(batch.column(0)), _matrix(batch.column(1))
+            ids, vectors = batch.column(0), _matrix(batch.column(1))
             if not celled:
                 top.add(ids, vectors)
                 continue
             batch_cells = batch.column(2).to_numpy(zero_copy_only=False)
             for c in np.unique(batch_cells):
                 if c in members:
-                    here = batch_cells == c
-                    top.add(ids[here], vectors[here], members[c])
+                    here = np.flatnonzero(batch_cells == c)
+                    top.add(ids.take(pa.array(here)), vectors[here], members[c])
         found = top.batch(pa.array(query_ids, query_type), out)
         if found is not None:
             yield found
@@ -235,7 +232,7 @@ def _celled_nearest(chunks, queries, k, metric, schema, query_count, celled) ->
         if rows.num_rows == 0 or asked.num_rows == 0:
             return out.empty_table()
         top = _TopK(_matrix(asked.column("vector")), k, metric)
-        top.add(_numpy_ids(rows.column("id")), _matrix(rows.column("vector")))
+        top.add(_combined(rows.column("id")), _matrix(rows.column("vector")))
         found = top.batch(_combined(asked.column("query_id")), out)
         return out.empty_table() if found is None else pa.Table.from_batches([found])
 

@@ -137,51 +137,61 @@ def latency_stats(samples: DataFrame, by: str, value: str = "ms") -> DataFrame:
     """`(by, samples, min, max, avg, p50, p95, p99)`, a percentile being the element at place `floor(n * p)` of
     the sorted values.
 
-    No group is ever sorted whole: values are counted into order-preserving slots, twice, and only the distinct
-    values of the final slots are ranked. Each step reduces before its shuffle, so a group of any size is fine.
+    No group is ever sorted whole. Equal values are counted first; the counts go into order-preserving slots,
+    and again into the sub-slots of the few slots that hold a wanted place; only the distinct values of a
+    sub-slot are ranked. Every step reduces before its shuffle, and slots depend on the data alone, so a
+    recomputed task gives the same ones.
     """
     rows = samples.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
-    bounds = rows.groupBy("g").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("avg")
-    )
-    # Equal values are one row from here on.
-    counted = rows.groupBy("g", "v").agg(F.count("*").alias("c")).join(bounds.select("g", "low", "high"), "g")
-    first = counted.withColumn("s1", _slot(F.col("v"), F.col("low"), F.col("high")))
-    targets = bounds.select(
-        "g",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("p"), F.floor(F.col("n") * F.lit(share)).cast("long").alias("at"))
-                    for name, share in PERCENTILES.items()
-                ]
-            )
-        ).alias("t"),
-    ).select("g", "t.p", "t.at")
-
-    def find(cells: DataFrame, wanted: DataFrame, keys: list[str], slot: str) -> DataFrame:
-        """Slot holding each wanted place; `at` becomes the place inside it."""
-        before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-        placed = cells.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        hit = wanted.join(placed, keys).where(
-            (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c"))
-        )
-        return hit.withColumn("at", F.col("at") - F.col("before")).drop("before", "c")
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    bounds = counted.groupBy("g").agg(
+        F.sum("c").alias("n"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("avg"),
+    )
+    first = counted.join(bounds.drop("avg"), "g").withColumn(
+        "s1", _slot(F.col("v"), F.col("low"), F.col("high"))
+    )
+    places = F.array(
+        *[
+            F.struct(F.lit(name).alias("p"), F.floor(F.col("n") * F.lit(share)).cast("long").alias("at"))
+            for name, share in PERCENTILES.items()
+        ]
+    )
+
+    def before(keys: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("c").over(earlier), F.lit(0))
 
-    level1 = first.groupBy("g", "s1").agg(F.sum("c").alias("c"), F.min("v").alias("lo1"), F.max("v").alias("hi1"))
-    in1 = find(level1, targets, ["g"], "s1")
-    spans = in1.select("g", "s1", "lo1", "hi1").distinct()
+    def holds(at: Column) -> Column:
+        return (at >= F.col("before")) & (at < F.col("before") + F.col("c"))
+
+    level1 = (
+        first.groupBy("g", "s1")
+        .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("n").alias("n"))
+        .withColumn("before", before(["g"], "s1"))
+        .select("g", "s1", "lo", "hi", "before", F.explode(F.filter(places, lambda t: holds(t["at"]))).alias("t"))
+        .select("g", "s1", "lo", "hi", F.col("t.p").alias("p"), (F.col("t.at") - F.col("before")).alias("at"))
+    )
     second = (
-        first.select("g", "v", "c", "s1")
-        .join(spans, ["g", "s1"])
-        .withColumn("s2", _slot(F.col("v"), F.col("lo1"), F.col("hi1")))
-    )
-    level2 = second.groupBy("g", "s1", "s2").agg(F.sum("c").alias("c"))
-    in2 = find(level2, in1.select("g", "p", "at", "s1"), ["g", "s1"], "s2")
-    finals = second.join(in2.select("g", "s1", "s2").distinct(), ["g", "s1", "s2"]).select("g", "s1", "s2", "v", "c")
-    in3 = find(finals, in2, ["g", "s1", "s2"], "v")
-    picked = in3.groupBy("g").agg(
-        *[F.max(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in PERCENTILES]
+        first.select("g", "s1", "v", "c")
+        .join(level1, ["g", "s1"])
+        .withColumn("s2", _slot(F.col("v"), F.col("lo"), F.col("hi")))
+    )
+    level2 = (
+        second.groupBy("g", "p", "s2")
+        .agg(F.sum("c").alias("c"), F.max("at").alias("at"))
+        .withColumn("before", before(["g", "p"], "s2"))
+        .where(holds(F.col("at")))
+        .select("g", "p", "s2", (F.col("at") - F.col("before")).alias("rest"))
+    )
+    picked = (
+        second.join(level2, ["g", "p", "s2"])
+        .withColumn("before", before(["g", "p"], "v"))
+        .where(holds(F.col("rest")))
+        .groupBy("g")
+        .agg(*[F.max(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in PERCENTILES])
     )
     return bounds.join(picked, "g").select(
         F.col("g").alias(by),

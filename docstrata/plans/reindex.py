@@ -34,10 +34,10 @@ def retry_due(last_retry: Column | str, now_ms: int, hours: int = RETRY_HOURS) -
     return at.isNull() | (F.lit(now_ms) - F.unix_millis(at) > hours * 3_600_000)
 
 
-def _current(listing: DataFrame, status: DataFrame, registry: DataFrame) -> DataFrame:
+def _current(listing: DataFrame, status: DataFrame, registry: DataFrame, how: str = "left") -> DataFrame:
     """Listing with status, parser version and the file's present fingerprint."""
     known = listing.select("path", "size_bytes", "mtime_ms")
-    joined = lookups.with_status(known, status).withColumn("ext", paths.file_type("path"))
+    joined = lookups.with_status(known, status, how).withColumn("ext", paths.file_type("path"))
     versions = registry.select("ext", F.col("version").alias("current_version"), "enabled")
     return joined.join(versions, "ext", "left").withColumn(
         "current_hash", paths.fingerprint("path", "size_bytes", "mtime_ms")
@@ -60,6 +60,19 @@ def _modified() -> Column:
     )
 
 
+def _reason(now_ms: int, force: bool, retry_hours: int = RETRY_HOURS) -> Column:
+    """The first applicable reason, null for a file that is up to date."""
+    failed = F.col("status").isin("failed", "error")
+    return (
+        F.when(F.lit(force), "force-reindex")
+        .when(~F.col("has_status"), "new-file")
+        .when(F.col("status") == "outdated", "outdated")
+        .when(_version_behind(), "parser-upgraded")
+        .when(_modified(), "modified")
+        .when(failed & retry_due("last_retry", now_ms, retry_hours), "retry-failed")
+    )
+
+
 def index_decision(
     listing: DataFrame,
     status: DataFrame,
@@ -72,15 +85,7 @@ def index_decision(
 
     The first applicable reason wins.
     """
-    failed = F.col("status").isin("failed", "error")
-    reason = (
-        F.when(F.lit(force), "force-reindex")
-        .when(~F.col("has_status"), "new-file")
-        .when(F.col("status") == "outdated", "outdated")
-        .when(_version_behind(), "parser-upgraded")
-        .when(_modified(), "modified")
-        .when(failed & retry_due("last_retry", now_ms, retry_hours), "retry-failed")
-    )
+    reason = _reason(now_ms, force, retry_hours)
     return _current(listing, status, registry).select("path", "has_status", reason.alias("reason"))
 
 
@@ -173,8 +178,16 @@ def plan_reindex(
 ) -> DataFrame:
     """`(path, action, reason, has_status)`: `index` with a reason, `skip`, or `remove` for recorded files of
     a watched folder that are no longer listed."""
-    decided = index_decision(listing, status, registry, now_ms, force)
     action = F.when(F.col("reason").isNull(), "skip").otherwise("index")
+    watched = lookups.folder_condition(folders)
+    if watched is not None:
+        # Listed and vanished files come out of one full join of the two tables.
+        rows = _current(listing, status, registry, "full").where(F.col("listed") | watched)
+        reason = F.when(F.col("listed"), _reason(now_ms, force)).alias("reason")
+        judged = rows.select("path", "listed", reason, "has_status")
+        named = F.when(F.col("listed"), action).otherwise("remove").alias("action")
+        return judged.select("path", named, "reason", "has_status")
+    decided = index_decision(listing, status, registry, now_ms, force)
     removed = lookups.missing_files(status.select("path"), listing, folders)
     return decided.select("path", action.alias("action"), "reason", "has_status").unionByName(
         removed.select(

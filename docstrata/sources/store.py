@@ -167,6 +167,22 @@ class SnapshotTable:
         rows = kept.select(*self.schema.names).unionByName(added.select(*self.schema.names))
         return self._commit(rows, touched, batch_id)
 
+    def vacuum(self) -> int:
+        """Deletes bucket folders that a newer version has replaced; returns their number.
+
+        For use when no reader works on an older state of the table.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        live = {(v, b) for v, held in self._newest().items() for b in held}
+        removed = 0
+        for row in self._log().where("version > 0").select("version", "bucket").distinct().collect():
+            if (row["version"], row["bucket"]) not in live:
+                path = jvm.org.apache.hadoop.fs.Path(
+                    f"{self.root}/data/version={row['version']}/bucket={row['bucket']}"
+                )
+                removed += bool(path.getFileSystem(conf).delete(path, True))
+        return removed
+
     def delete_where(self, predicate: str) -> int:
         """Deletes the rows for which the predicate holds."""
         kept = self.read().where(~F.coalesce(F.expr(predicate), F.lit(False)))

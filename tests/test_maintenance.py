@@ -131,6 +131,15 @@ def test_first_reason_wins(spark):
     assert set(decisions(spark, rows, force=True).values()) == {"force-reindex"}
 
 
+def test_long_folder_lists_give_the_same_plan(spark, sf, monkeypatch):
+    from docstrata.workload import tables as t
+
+    args = t.listing(spark, sf), t.status(spark, sf), t.folders(spark), t.registry(spark), t.NOW_MS
+    short = sorted(map(str, reindex.plan_reindex(*args).collect()))
+    monkeypatch.setattr(lookups, "MAX_INLINE_FOLDERS", 0)
+    assert sorted(map(str, reindex.plan_reindex(*args).collect())) == short
+
+
 def test_plan_partitions_its_input(spark, sf):
     from docstrata.workload import tables as t
 

@@ -140,6 +140,8 @@ def test_store_life(spark, table):
     assert [r["id"] for r in table.where_key("/b").collect()] == ["3"]
     table.delete_where("id = '8' or text = 'newest'")
     assert [s[0] for s in state(table)] == ["7", "9"]
+    assert table.vacuum() > 0
+    assert [s[0] for s in state(table)] == ["7", "9"]
     table.clear()
     assert state(table) == []
 
