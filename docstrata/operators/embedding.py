@@ -24,8 +24,10 @@ MAX_TOKENS = 7000
 MAX_RETRIES = 3
 BATCH_CHARS_PER_TOKEN = 2.5
 
-# Rows per block of the parallel packing; any value of at least MAX_ROWS gives the same batches.
+# Rows per block of the parallel packing, and blocks per group of blocks; any block of at least MAX_ROWS rows
+# gives the same batches.
 PACK_BLOCK = 4096
+PACK_GROUP = 4096
 
 
 class Embedder(Protocol):
@@ -154,13 +156,15 @@ def pack_batches(
     max_rows: int = MAX_ROWS,
     max_tokens: int = MAX_TOKENS,
     block_rows: int = PACK_BLOCK,
+    group_blocks: int = PACK_GROUP,
 ) -> DataFrame:
     """Greedy token-bounded batches per key in `order` (0, 1, 2, ... per key): `(key, order, tokens, batch_id)`.
 
     Greedy packing is sequential, yet a batch spans at most `max_rows` rows, so a block of rows is fully
     described by where a batch entering it at each of its first `max_rows` rows leaves it. Blocks are described
-    in parallel, the short descriptions are chained per key, and each block then numbers its own rows. A key
-    holding most of the rows is thus worked on by as many tasks as it has blocks.
+    in parallel and joined into descriptions of groups of blocks; the groups are chained per key, then the blocks
+    of each group, and each block numbers its own rows. A key holding most of the rows is thus worked on by as
+    many tasks as it has blocks, and the one chain per key has a row per `block_rows * group_blocks` rows.
     """
     if block_rows < max_rows:
         raise ValueError("block_rows must be at least max_rows")
@@ -204,22 +208,49 @@ def pack_batches(
             }
         )
 
-    described = widened.groupBy("k", "block").applyInPandas(
-        describe, f"k {key_type}, block long, exits array<long>, calls array<long>"
+    described = (
+        widened.groupBy("k", "block")
+        .applyInPandas(describe, f"k {key_type}, block long, exits array<long>, calls array<long>")
+        .withColumn("part", F.floor(F.col("block") / group_blocks).cast("long"))
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        entry = number = 0
+        at, calls = np.arange(max_rows), np.zeros(max_rows, dtype=np.int64)
+        for block_exits, block_calls in zip(pdf["exits"], pdf["calls"]):
+            calls = calls + np.asarray(block_calls)[at]
+            at = np.asarray(block_exits)[at]
+        return pd.DataFrame(
+            {"k": [pdf["k"].iloc[0]], "part": [pdf["part"].iloc[0]], "exits": [at.tolist()], "calls": [calls.tolist()]}
+        )
+
+    def chain(pdf: pd.DataFrame, unit: str, entry: int, number: int) -> pd.DataFrame:
+        """Where each unit is entered and the number of its first batch, walking from the first unit on."""
+        pdf = pdf.sort_values(unit)
         entries, numbers = [], []
         for exits, calls in zip(pdf["exits"], pdf["calls"]):
             entries.append(entry)
             numbers.append(number)
             number += int(calls[entry])
             entry = int(exits[entry])
-        return pd.DataFrame({"k": pdf["k"], "block": pdf["block"], "entry": entries, "number": numbers})
-
-    chained = described.groupBy("k").applyInPandas(chain, f"k {key_type}, block long, entry long, number long")
+        return pd.DataFrame({"k": pdf["k"], unit: pdf[unit], "entry": entries, "number": numbers})
+
+    parts = (
+        described.groupBy("k", "part")
+        .applyInPandas(compose, f"k {key_type}, part long, exits array<long>, calls array<long>")
+        .groupBy("k")
+        .applyInPandas(
+            lambda pdf: chain(pdf, "part", 0, 0), f"k {key_type}, part long, entry long, number long"
+        )
+    )
+    chained = (
+        described.join(parts, ["k", "part"])
+        .groupBy("k", "part")
+        .applyInPandas(
+            lambda pdf: chain(pdf, "block", int(pdf["entry"].iloc[0]), int(pdf["number"].iloc[0])),
+            f"k {key_type}, block long, entry long, number long",
+        )
+    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_CHUNKS = 50_000
 CELL_QUERIES = 5_000
 
+# Candidates per wanted row beyond which ties are cut by id before they are collected.
+TIES = 8
+
 # Elements of one score matrix held in memory.
 MATRIX_ELEMENTS = 4_000_000
 
@@ -71,7 +75,15 @@ class _TopK:
         limit = self.limit[members]
         if d.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-        row, col = np.nonzero(d <= limit[:, None])
+        keep = d <= limit[:, None]
+        if np.count_nonzero(keep) > TIES * self.k * len(members):
+            # Many equal distances, as between copies: of these only the smallest ids can matter.
+            order = pc.sort_indices(ids)
+            ids, d = ids.take(order), d[:, order.to_numpy()]
+            below, equal = d < limit[:, None], d == limit[:, None]
+            room = self.k - below.sum(axis=1)
+            keep = below | (equal & (np.cumsum(equal, axis=1) <= room[:, None]))
+        row, col = np.nonzero(keep)
         if not len(row):
             return
         q = np.concatenate([self.q, members[row]])
@@ -136,7 +148,14 @@ def nearest_in_cells(
     metric: str,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """k nearest `chunks(id, vector[, cell])` per `queries(query_id, vector[, cells])`, ranked.
+    """k nearest `chunks(id, vector[, cell])` per `queries(query_id, vector[, cells])`, ranked."""
+    return _rank(_candidates(chunks, queries, k, metric, broadcast_bytes), k)
+
+
+def _candidates(
+    chunks: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """`(query_id, id, distance)`: at most k rows per query and task, among them the k nearest.
 
     With cells, a query meets the rows of the cells it names only. Small query sets travel to the data: each
     task scores its Arrow batches as one matrix product and keeps k rows per query, so neither the chunk table
@@ -151,12 +170,10 @@ def nearest_in_cells(
 
     count, size = _queries_size(queries)
     if count == 0:
-        return _rank(chunks.sparkSession.createDataFrame([], schema), k)
+        return chunks.sparkSession.createDataFrame([], schema)
     if size <= broadcast_bytes:
-        local = _broadcast_nearest(chunks, queries, k, metric, schema, celled)
-    else:
-        local = _celled_nearest(chunks, queries, k, metric, schema, count, celled)
-    return _rank(local, k)
+        return _broadcast_nearest(chunks, queries, k, metric, schema, celled)
+    return _celled_nearest(chunks, queries, k, metric, schema, count, celled)
 
 
 def _broadcast_nearest(chunks, queries, k, metric, schema, celled) -> DataFrame:
@@ -275,8 +292,9 @@ def topk(
         F.col("id").alias("query_id"),
         F.array(*[F.lit(float(x)) for x in query_vec]).alias("vector"),
     )
-    hits = batch_topk(chunks, query, k, metric, where)
-    return hits.select("id", "distance").orderBy("distance", "id").limit(k)
+    pool = chunks if where is None else chunks.where(where)
+    found = _candidates(pool.select("id", "vector"), query, k, metric)
+    return found.select("id", "distance").orderBy("distance", "id").limit(k)
 
 
 def project_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -34,14 +34,14 @@ def test_limits_of_a_model_call():
     assert embedding.sub_batches(np.array([16_000])) == [(0, 1)]
 
 
-@pytest.mark.parametrize("block_rows", [4, 5, 7, 64])
-def test_parallel_packing_equals_sequential(spark, block_rows):
+@pytest.mark.parametrize("block_rows,group_blocks", [(4, 1), (5, 3), (7, 4096), (64, 2)])
+def test_parallel_packing_equals_sequential(spark, block_rows, group_blocks):
     """One key holds most of the rows and spans many blocks."""
     rng = np.random.default_rng(block_rows)
     sizes = {"hot": 403, "a": 1, "b": 4, "c": 5, "d": 9, "e": 64}
     rows = [(k, i, "x" * int(rng.integers(0, 60))) for k, n in sizes.items() for i in range(n)]
     frame = spark.createDataFrame(rows, "path string, n int, text string").repartition(6)
-    packed = embedding.pack_batches(frame, "path", "n", max_rows=4, max_tokens=40, block_rows=block_rows)
+    packed = embedding.pack_batches(frame, "path", "n", max_rows=4, max_tokens=40, block_rows=block_rows, group_blocks=group_blocks)
     got = {(r["path"], r["n"]): r["batch_id"] for r in packed.collect()}
     want = {}
     for key, n in sizes.items():

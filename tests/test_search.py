@@ -37,11 +37,12 @@ def data(spark):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("limit", [search.BROADCAST_BYTES, 0])
-def test_topk_equals_brute_force(data, metric, limit, monkeypatch):
+@pytest.mark.parametrize("limit,ties", [(search.BROADCAST_BYTES, 8), (search.BROADCAST_BYTES, 1), (0, 1)])
+def test_topk_equals_brute_force(data, metric, limit, ties, monkeypatch):
+    monkeypatch.setattr(search, "TIES", ties)
     monkeypatch.setattr(search, "CELL_CHUNKS", 40)
     monkeypatch.setattr(search, "CELL_QUERIES", 5)
-    monkeypatch.setattr(search, "MATRIX_ELEMENTS", 50)
+    monkeypatch.setattr(search, "MATRIX_ELEMENTS", 1000)
     rows, queries, chunks, asked = data
     got = search.batch_topk(chunks, asked, 7, metric, broadcast_bytes=limit)
     found = sorted((r["query_id"], r["id"], r["distance"], r["rank"]) for r in got.collect())
