@@ -31,7 +31,8 @@ def index_corpus(
     Chunks are spread by their content before the model runs: one long file must not keep one task busy.
     """
     chunks = chunk_corpus(docs, target, overlap)
-    spread = chunks.repartition(F.xxhash64("path", "chunk_index"))
+    place = [c for c in ("path", "page", "chunk_index") if c in chunks.columns]
+    spread = chunks.repartition(F.xxhash64(*place))
     ok, dead = embedding.split_failures(embedding.embed(spread, "text", embedder))
     return chunking.chunk_rows(ok), dead
 

@@ -55,9 +55,13 @@ def read_corpus(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.repartition(slots, key) if rows.rdd.getNumPartitions() * 2 <= slots else rows
 
 
-def read_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """`(path, content)` of every file below the roots."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+def read_files(spark: SparkSession, roots: list[str], ext: str | None = None) -> DataFrame:
+    """`(path, content)` of the files below the roots, of one extension (whatever its case) if given."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if ext is not None:
+        letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+        reader = reader.option("pathGlobFilter", f"*.{letters}")
+    files = reader.load(roots)
     return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
 
 
@@ -142,11 +146,13 @@ def register_extractor(ext: str, extractor: Callable[[DataFrame], DataFrame]) ->
     _EXTRACTORS[ext.lower()] = extractor
 
 
-def ingest(files: DataFrame) -> DataFrame:
-    """Dispatches every file to its extension's extractor; files without one are left out."""
-    typed = files.withColumn("__ext", paths.file_type("path"))
-    out = None
-    for ext, extractor in _EXTRACTORS.items():
-        part = extractor(typed.where(F.col("__ext") == ext).drop("__ext"))
-        out = part if out is None else out.unionByName(part)
+def ingest_corpus(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """`(path, text)` of all files below the roots whose extension has an extractor.
+
+    Each extractor reads the files of its extension only, so every file is read once.
+    """
+    parts = [extractor(read_files(spark, roots, ext)) for ext, extractor in _EXTRACTORS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -57,7 +57,7 @@ def test_pages(spark):
 
 @pytest.fixture()
 def tree(tmp_path):
-    for name in ("a.txt", "sub/b.md", "sub/skip/c.txt", "Tool.app/d.txt", "e.exe", "f.tmp.txt", "g.rtf"):
+    for name in ("a.txt", "sub/b.md", "sub/skip/c.txt", "Tool.app/d.txt", "e.exe", "f.tmp.TXT", "g.rtf"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"Text of {name}. More words.")
@@ -74,9 +74,9 @@ def test_list_corpus(spark, tree):
 
 
 def test_ingest_dispatch(spark, tree):
-    rows = documents.ingest(documents.read_files(spark, [str(tree)])).collect()
+    rows = documents.ingest_corpus(spark, [str(tree)]).collect()
     assert {r["path"].removeprefix(str(tree)) for r in rows} == {
-        "/a.txt", "/sub/b.md", "/sub/skip/c.txt", "/Tool.app/d.txt", "/f.tmp.txt", "/g.rtf",
+        "/a.txt", "/sub/b.md", "/sub/skip/c.txt", "/Tool.app/d.txt", "/f.tmp.TXT", "/g.rtf",
     }
 
 
