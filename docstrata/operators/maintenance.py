@@ -37,7 +37,7 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def upsert(base: DataFrame, new: DataFrame, key: str = "id", order: str | None = "chunk_index") -> DataFrame:
     """Rows of `new` replace those of `base` with the same key; keys repeated inside `new` keep their last row."""
     latest = last_per_key(new, key, order) if order else new
-    kept = base.join(latest.select(key), key, "left_anti")
+    kept = base.join(new.select(key).distinct(), key, "left_anti")
     return kept.select(*base.columns).unionByName(latest.select(*base.columns))
 
 

@@ -163,7 +163,7 @@ class SnapshotTable:
         if not touched:
             return None
         added = last_per_key(new, self.row_key, self.order) if self.order else new
-        kept = self.read(touched).join(added.select(self.row_key), self.row_key, "left_anti")
+        kept = self.read(touched).join(new.select(self.row_key).distinct(), self.row_key, "left_anti")
         rows = kept.select(*self.schema.names).unionByName(added.select(*self.schema.names))
         return self._commit(rows, touched, batch_id)
 
