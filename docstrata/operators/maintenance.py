@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.frames import attach, salted_join
 from docstrata.functions import paths
 from docstrata.operators import lookups
+from docstrata.schemas import STATUSES
 
 # Messages stored with a status row.
 NO_TEXT = "No text content extracted"
@@ -242,6 +243,6 @@ def index_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def statuses_valid(status: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Rows whose status is outside the enumeration; empty for a sound table."""
+def unknown_statuses(status: DataFrame, allowed: Sequence[str] = STATUSES) -> DataFrame:
+    """Rows whose status is outside the enumeration; none in a sound table."""
     return status.where(~F.col("status").isin(*allowed))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.functions import paths, text as tx
+from docstrata.functions import text as tx
 from docstrata.functions.text import WHITESPACE
 
 # The UTF-16 heuristic looks at 100 bytes of files of at least 20 bytes, wants more than 20

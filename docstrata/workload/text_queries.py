@@ -76,7 +76,7 @@ def clean_markdown(spark, sf):
 _RTF_SQL = "'{\\rtf1\\ansi}{\\fonttbl\\f0 Arial;}\\pard ' || replace(text, chr(10), '\\par ' || chr(10)) || '\\''e9}'"
 
 
-@query("s4_clean_rtf", f"select doc_id, {_rules(_RTF_SQL.replace(chr(92) + chr(39) * 2, chr(92) + chr(39) * 2), tx.RTF_RULES)} as text from documents")
+@query("s4_clean_rtf", f"select doc_id, {_rules(_RTF_SQL, tx.RTF_RULES)} as text from documents")
 def clean_rtf(spark, sf):
     """Documents dressed as rich text: header, font table, paragraph marks and a character escape."""
     wrapped = F.concat(
@@ -434,7 +434,7 @@ walk(path, chunk_index, tokens, batch_id, rows_, sum_) as (
 select path, cast(chunk_index as bigint) as chunk_index, tokens, batch_id from walk
 """,
         "chunks",
-    ).replace(") \n,", "),"),
+    ),
 )
 def pack_batches(spark, sf):
     packed = embedding.pack_batches(t.chunks(spark, sf), "path", "chunk_index", "text", block_rows=32)

@@ -90,6 +90,8 @@ def test_upgrade_of_one_document(spark):
     status = statuses(spark, [("/a.doc", "indexed", 1, "h", 1, None), ("/b.doc", "failed", 1, "h", 1, 2), ("/c.txt", "indexed", 4, "h", 1, None)])
     changed, summary = maintenance.parser_upgrades(status, registry_frame(spark))
     assert {r["ext"]: r["files"] for r in summary.collect()} == {"doc": 1, "doc_retries": 1}
+    assert maintenance.unknown_statuses(changed).isEmpty()
+    assert maintenance.unknown_statuses(changed.selectExpr("'lost' as status")).count() == 3
     got = {r["path"]: (r["status"], r["error_message"]) for r in changed.collect()}
     assert got["/a.doc"] == ("outdated", "Parser upgraded to v2")
     assert got["/b.doc"][0] == "queued" and got["/c.txt"] == ("indexed", "")
