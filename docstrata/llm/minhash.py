@@ -198,8 +198,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     found = near_duplicates(docs, id_col, **options)
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
     left = docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+    # The window meets the rows as the join has dealt and sorted them.
     alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    return left.withColumn("__alone", alone).dropDuplicates([id_col, "__alone"]).drop("__alone")
+    again = F.row_number().over(Window.partitionBy(id_col, "__alone").orderBy(id_col))
+    return left.withColumn("__alone", alone).withColumn("__again", again).where("__again = 1").drop("__alone", "__again")
 
 
 def _linked(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
