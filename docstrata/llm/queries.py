@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import minhash, quality
+from docstrata.llm import licenses, minhash, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,15 +20,24 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "license", F.round("dice", 6).alias("dice"),
+        F.array_join("licenses", ",").alias("licenses"), F.size("matches").alias("n_matches"),
+    )
+
+
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_license_scan": op2_license_scan,
     "op5_host_quality": op5_host_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.SQL,
     "op5_host_quality": quality.SQL,
 }
