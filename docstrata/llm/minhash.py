@@ -11,14 +11,16 @@ How the work is bounded, whatever the groups of copies:
   all rows).
 * In each bucket every member is first compared with the smallest one only: as many pairs as members. Copies of one
   text are thereby in one component, and a bucket within one component is done.
-* A remaining bucket of more than `REFINE` members is keyed by a second band as well, so that only documents alike in
-  two bands meet; this is repeated with further bands while it is needed.
-* In what remains, the first `PIVOTS` members are compared with the others of other components, then leave the bucket,
-  until no bucket is left. No pair of a bucket is skipped, unless both are already connected.
+* A remaining bucket is split by the distance from that smallest member and by set size: linked documents differ
+  little in both, so the copies of the smallest member leave a bucket that a few other documents are in as well.
+* Of what remains, members of buckets of up to `SMALL` are paired, once for all buckets; larger buckets are dealt into
+  blocks of bounded size that tasks compare two by two, giving only the links. No pair of a bucket is skipped, unless
+  both are already connected or the bounds exclude a link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,8 @@ from docstrata.llm.shared import combine, pieces, settle, text_rows, word_hashes
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5  # a pair at 0.75 shares no band with a probability of 2e-5
-REFINE = 512
-REFINE_DEPTH = 2
-PIVOTS = 64
+SMALL = 32
+BLOCK = 512_000
 
 _U32 = np.uint32
 _CHUNK = 2048  # shingles per block of the signature matrix
@@ -120,15 +121,17 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(build, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, zone, linked) of distinct pairs (a, b), from their full sets. zone is the Jaccard distance in units of the
+    greatest distance of a link, rounded down."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    either = F.size("sa").cast("long") + F.size("sb") - F.col("n_both")
-    return (
-        pairs.distinct().join(right, "b").join(left, "a").withColumn("n_both", both)
-        .where(100 * F.col("n_both") >= percent * either).select("a", "b")
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("n"), (F.size("sa").cast("long") + F.size("sb")).alias("m"))
+    return met.selectExpr(
+        "a", "b",
+        f"cast(100 * (m - 2 * n) div ({100 - percent} * (m - n)) as int) as zone",
+        f"100 * n >= {percent} * (m - n) as linked",
     )
 
 
@@ -211,46 +214,79 @@ def _linked(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Da
     members = settle(members.join(live.drop("n"), "bucket"), "buckets")
     wanted = members.select("doc_id").distinct()
     sets = settle(_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
-    stars = settle(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = settle(_confirmed(stars, sets, percent), "links")
+    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = settle(_compared(pairs, sets, percent), "stars")
+    links = stars.where("linked").select("a", "b")
     labels = components(links)
 
-    buckets = members.select(F.array("bucket").alias("used"), "bucket", "doc_id")
-    left = settle(_unfinished(buckets, labels), "unfinished")
-    for _ in range(REFINE_DEPTH):
-        large = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > REFINE).select("bucket")
-        if not large.limit(1).count():
-            break
-        # One more key for the members of large buckets: each band they are not yet alike in.
-        apart = (
-            left.join(large, "bucket", "left_semi").join(reps, "doc_id")
-            .select("doc_id", "used", F.explode(F.array_except("keys", "used")).alias("key"))
-            .select(F.array_sort(F.concat("used", F.array("key"))).alias("used"), "doc_id")
-            .select("used", F.xxhash64("used").alias("bucket"), "doc_id").dropDuplicates(["bucket", "doc_id"])
-        )
-        small = left.join(large, "bucket", "left_anti").select("used", "bucket", "doc_id")
-        left = settle(_unfinished(small.union(apart), labels), "refined")
-
-    order = Window.partitionBy("bucket").orderBy("doc_id")
-    while left.limit(1).count():
-        placed = left.withColumn("place", F.row_number().over(order))
-        pivots = placed.where(F.col("place") <= PIVOTS).select(
-            "bucket", F.col("doc_id").alias("a"), F.col("place").alias("pa"), F.col("label").alias("la")
-        )
-        pairs = pivots.join(placed, "bucket").where("place > pa and label <> la").select("a", F.col("doc_id").alias("b"))
-        found = settle(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "links")
-        rest = placed.where(F.col("place") > PIVOTS).select("used", "bucket", "doc_id")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
-        left = settle(_unfinished(rest, labels), "unfinished")
-    return labels
+    met = members.join(stars, [F.col("pivot") == F.col("a"), F.col("doc_id") == F.col("b")])
+    sizes = sets.select("doc_id", F.size("shingles").alias("size"))
+    left = settle(_unfinished(_split(met.select("bucket", "doc_id", "zone").join(sizes, "doc_id"), percent), labels), "unfinished")
+    counted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.greatest("size", F.lit(1000))).alias("weight"))
+    few = left.join(counted.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    one = few.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"))
+    pairs = one.join(few, "bucket").where("a < doc_id and la <> label").select("a", F.col("doc_id").alias("b")).distinct()
+    found = _compared(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b")
+    many = left.join(counted.where(F.col("n") > SMALL).select("bucket", "weight"), "bucket").join(sets, "doc_id")
+    found = settle(found.union(_blockwise(many, percent)), "links")
+    return components(links.union(found)) if found.limit(1).count() else labels
+
+
+def _split(met: DataFrame, percent: int) -> DataFrame:
+    """Splits the members (bucket, doc_id, zone, size) of each bucket where no link can lie: linked documents are in one
+    zone of distance from the bucket's pivot or in two adjacent ones (triangle inequality), and likewise in one class of
+    set sizes or two adjacent ones. Each two adjacent zones and classes make a bucket."""
+    base = math.log(100 / percent) + 0.005  # above the greatest ratio of sizes, so that rounding splits no link
+    rank = F.floor(F.log("size") / base).cast("int")
+    return (
+        met.select("bucket", "doc_id", "size", F.explode(F.array(F.col("zone") - 1, F.col("zone"))).alias("zone"), rank.alias("rank"))
+        .select("bucket", "doc_id", "size", "zone", F.explode(F.array(F.col("rank") - 1, F.col("rank"))).alias("rank"))
+        .select(F.xxhash64("bucket", "zone", "rank").alias("bucket"), "doc_id", "size")
+    )
+
+
+def _blockwise(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within buckets (bucket, doc_id, label, size, weight, shingles) of any size.
+
+    A bucket is dealt into blocks of about `BLOCK` shingles, and every two blocks are compared by one task: the exact
+    sizes of all intersections are a product of two 0/1 matrices over the shingles that occur more than once.
+    """
+    n = F.ceil(F.col("weight") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    dealt = members.withColumn("n", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "shingles"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j, own, ids, labels = (table.column(k).to_numpy() for k in range(1, 6))
+        held = table.column(6).combine_chunks()
+        sizes = np.diff(held.offsets.to_numpy())
+        _, code, times = np.unique(held.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        often = times[code] > 1
+        row, (_, code) = row[often], np.unique(code[often], return_inverse=True)
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, _CHUNK):
+            part = slice(*np.searchsorted(code, [low, low + _CHUNK]))
+            hits = np.zeros((len(ids), _CHUNK), np.float32)
+            hits[row[part], code[part] - low] = 1
+            both += hits @ hits.T
+        either = sizes[:, None] + sizes[None, :] - both
+        near = (100 * both >= percent * either) & (ids[:, None] < ids[None, :]) & (labels[:, None] != labels[None, :])
+        near &= (i == j)[:, None] | (own[:, None] != own[None, :])
+        a, b = np.nonzero(near)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that span several components, with their component."""
     named = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-        "used", "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")
+        *members.columns, F.coalesce("label", "doc_id").alias("label")
     )
     spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return named.join(spread.select("bucket"), "bucket", "left_semi")

@@ -69,10 +69,10 @@ def test_chains_and_copies(spark):
     assert {got[100 + k][1] for k in range(12)} == {100} and {got[400 + k][1] for k in range(40)} == {400}
 
 
-def test_small_buckets_are_exhausted(spark, monkeypatch):
-    """The pivots of several rounds and the refinement find the same as one round."""
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
-    monkeypatch.setattr(minhash, "REFINE", 8)
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Buckets compared in blocks give the same links."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 8_000)
     rows = [(k, " ".join([f"p{i}" for i in range(40)] + [f"o{k // 2}_{i}" for i in range(20)] + [f"e{k}"])) for k in range(40)]
     want = brute(rows)
     got = run(spark.createDataFrame(rows, "doc_id long, text string"))
