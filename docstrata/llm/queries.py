@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import licenses, line_dedup, minhash, quality
+import public_tokenizers
+
+from docstrata.llm import bpe, decontaminate, licenses, line_dedup, minhash, quality
+
+#: The tokenizer file; every executor has the package.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +43,21 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_quality": op5_host_quality,
+    "op7_template_decontamination": op7_template_decontamination,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
 
 ORACLES: dict[str, str] = {

@@ -77,33 +77,38 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, pa
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, hashes): 64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of a slice from `pieces`;
     the words of row r are hashes[bounds[r]:bounds[r + 1]]."""
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    size = int(offsets[-1] - offsets[0])
-    if not size:
-        return np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
+    data, offsets = text_bytes(column)
+    starts, hashes = hash_runs(data, ~_SPACE[data], offsets)
+    return np.searchsorted(starts, offsets), hashes
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a slice from `pieces`; row r is bytes[offsets[r]:offsets[r + 1]]."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(column) + 1, dtype=np.int64)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hash_runs(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the runs of bytes that are `inside`, A-Z lower-cased; a run ends with its row."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[heads] = inside[heads]
     starts = np.flatnonzero(first)
-    bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return bounds, np.zeros(0, dtype=np.uint64)
-    index = np.cumsum(first) - 1
-    np.maximum(index, 0, out=index)
-    place = np.arange(size, dtype=np.int64)
-    place -= starts[index]
+        return starts, np.zeros(0, dtype=np.uint64)
+    place = np.cumsum(first) - 1
+    np.maximum(place, 0, out=place)
+    place = np.arange(len(data), dtype=np.int64) - starts[place]
     np.maximum(place, 0, out=place)
     longest = int(place.max()) + 1
     powers = _POSITION if longest <= len(_POSITION) else _long_powers(longest)
     parts = _BYTES[_LOWER[data]]
     parts *= powers[place]
     parts[~inside] = 0
-    return bounds, mix64(np.add.reduceat(parts, starts))
+    return starts, mix64(np.add.reduceat(parts, starts))
 
 
 def _long_powers(n: int) -> np.ndarray:
