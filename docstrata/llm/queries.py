@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docstrata.llm import bpe, decontaminate, licenses, line_dedup, minhash, quality
+from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, quality
 
 #: The tokenizer file; every executor has the package.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -54,6 +58,7 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_quality": op5_host_quality,
     "op7_template_decontamination": op7_template_decontamination,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.SQL,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": line_dedup.SQL,
     "op5_host_quality": quality.SQL,
 }
