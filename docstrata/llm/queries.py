@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, quality
+from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, quality, revisits
 
 #: The tokenizer file; every executor has the package.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,12 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
+    return found.withColumn("headers", F.array_join(fields, "\n"))
+
+
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_host_quality": op5_host_quality,
+    "op6_revisit_resolution": op6_revisit_resolution,
     "op7_template_decontamination": op7_template_decontamination,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
