@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, quality, revisits
+from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, page_text, quality, revisits
 
 #: The tokenizer file; every executor has the package.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,11 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op5_host_quality": op5_host_quality,
     "op6_revisit_resolution": op6_revisit_resolution,
     "op7_template_decontamination": op7_template_decontamination,
+    "op8_page_text": op8_page_text,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
 
