@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, minhash, page_text, quality, revisits
+from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, lm, minhash, page_text, quality, revisits
 
 #: The tokenizer file; every executor has the package.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,10 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op7_template_decontamination": op7_template_decontamination,
     "op8_page_text": op8_page_text,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
