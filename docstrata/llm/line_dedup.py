@@ -183,9 +183,10 @@ def dedup_lines(
     texts = text_rows(docs, id_col, text_col)
     suspects = settle(_suspects(texts, repeated_filter(texts, least_chars), least_chars), "suspects")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    # A hot key's rows meet one row here; Spark splits such a join.
+    # A hot key's rows meet one row here. Spark splits such a join between two plain tables, so the sums are one.
+    repeated = settle(repeated.select("key", "first"), "repeated")
     drops = (
-        suspects.join(repeated.select("key", "first"), "key").where("doc_id > first")
+        suspects.join(repeated, "key").where("doc_id > first")
         .groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__keys"))
     )
     joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__doc"), "left")
