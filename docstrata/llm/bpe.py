@@ -195,9 +195,9 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", decode(F.col("ids"), path).alias("decoded"))
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids joined by commas and of the decoded text."""
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, the columns `more`, and SHA-256 of the ids joined by commas and of the decoded text."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return tokens.select(
-        "doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", *more, F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
