@@ -68,14 +68,12 @@ def est_tokens(c: Column | str, chars_per_token: float = 4) -> Column:
 
 
 def ancestors(directory: Column | str) -> Column:
-    """Every directory on the way to `directory`, itself included: `/a/b` -> [`/a`, `/a/b`]."""
-    parts = F.split(_col(directory), "/")
+    """Every directory on the way to `directory`, root (as an empty name) and itself included:
+    `/a/b` -> [``, `/a`, `/a/b`]. A relative directory has none."""
+    parts = F.split(F.rtrim(_col(directory), F.lit("/")), "/")
     return F.when(
-        F.size(parts) >= 2,
-        F.transform(
-            F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
-            lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)),
-        ),
+        F.startswith(_col(directory), F.lit("/")),
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i))),
     ).otherwise(F.array().cast("array<string>"))
 
 

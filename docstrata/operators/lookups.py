@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.frames import salted_join
 from docstrata.functions import paths
 
-# Folder lists up to this length are written into the expression; longer ones are joined.
-MAX_INLINE_FOLDERS = 1000
-
 
 def with_status(listing: DataFrame, status: DataFrame, how: str = "left") -> DataFrame:
     """Listing rows with the columns of their status row; `has_status` tells absence from nulls.
@@ -43,16 +40,7 @@ def supported_extensions(registry: DataFrame, enabled_only: bool = False) -> Dat
     return rows.select("ext").distinct()
 
 
-def _short_list(folders: DataFrame) -> list[str] | None:
-    """The folders in list order when they are few enough to become part of the expression, else None."""
-    ordered = folders if "position" in folders.columns else folders.withColumn("position", F.lit(0))
-    rows = ordered.select("folder", "position").limit(MAX_INLINE_FOLDERS + 1).collect()
-    if len(rows) > MAX_INLINE_FOLDERS:
-        return None
-    return [row["folder"] for row in sorted(rows, key=lambda row: (row["position"], row["folder"]))]
-
-
-def _folder_of_dirs(df: DataFrame, folders: DataFrame) -> DataFrame:
+def folder_of_dirs(df: DataFrame, folders: DataFrame) -> DataFrame:
     """`(__dir, folder)` of the directories of `df` that lie in a folder, the first listed folder winning.
 
     Directories are made distinct first; each meets the folder list by equality on its ancestors.
@@ -68,46 +56,20 @@ def _folder_of_dirs(df: DataFrame, folders: DataFrame) -> DataFrame:
     )
 
 
-def _inside(directory: Column, keys: list[str]) -> Column:
-    """The ancestors of a directory that are in the list."""
-    return F.filter(paths.ancestors(directory), lambda a: a.isin(keys))
-
-
 def assign_folder(df: DataFrame, folders: DataFrame) -> DataFrame:
     """Adds `folder`: the first folder of `folders(folder, position)` containing the path, else null.
 
-    A list of configuration size is part of the expression: no join, no shuffle. A longer one is joined.
+    Directories, not files, meet the folder list; a directory with most of the files is salted.
     """
-    directory = paths.parent_dir("path")
-    names = _short_list(folders)
-    if names is None:
-        keyed = df.withColumn("__dir", directory)
-        return salted_join(keyed, _folder_of_dirs(df, folders), "__dir", "left", ["path"]).drop("__dir")
-    keys = [name.rstrip("/") for name in names]
-    listed_keys = F.array(*[F.lit(key) for key in keys]).cast("array<string>")
-    listed = F.array(*[F.lit(name) for name in names]).cast("array<string>")
-    first = F.array_min(F.transform(_inside(directory, keys), lambda a: F.array_position(listed_keys, a)))
-    return df.withColumn("folder", F.get(listed, (first - 1).cast("int")))
-
-
-def folder_condition(folders: DataFrame) -> Column | None:
-    """Whether `path` lies below one of the folders, as an expression; None when the list is too long for one."""
-    names = _short_list(folders)
-    if names is None:
-        return None
-    keys = [name.rstrip("/") for name in names]
-    return F.exists(paths.ancestors(paths.parent_dir("path")), lambda a: a.isin(keys))
+    keyed = df.withColumn("__dir", paths.parent_dir("path"))
+    return salted_join(keyed, folder_of_dirs(df, folders), "__dir", "left", ["path"]).drop("__dir")
 
 
 def _by_folders(df: DataFrame, folders: DataFrame, inside: bool) -> DataFrame:
-    directory = paths.parent_dir("path")
-    found = folder_condition(folders)
-    if found is None:
-        keyed = df.withColumn("__dir", directory)
-        dirs = _folder_of_dirs(df, folders).select("__dir")
-        how = "left_semi" if inside else "left_anti"
-        return salted_join(keyed, dirs, "__dir", how, ["path"]).select(*df.columns)
-    return df.where(found if inside else ~found)
+    keyed = df.withColumn("__dir", paths.parent_dir("path"))
+    dirs = folder_of_dirs(df, folders).select("__dir")
+    how = "left_semi" if inside else "left_anti"
+    return salted_join(keyed, dirs, "__dir", how, ["path"]).select(*df.columns)
 
 
 def in_folders(df: DataFrame, folders: DataFrame) -> DataFrame:

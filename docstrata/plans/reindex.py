@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.frames import attach
+from docstrata.frames import attach, salted_join
 from docstrata.functions import paths
 from docstrata.operators import lookups
 
@@ -60,16 +60,23 @@ def _modified() -> Column:
     )
 
 
-def _reason(now_ms: int, force: bool, retry_hours: int = RETRY_HOURS) -> Column:
-    """The first applicable reason, null for a file that is up to date."""
+def _reason(
+    now_ms: int,
+    force: bool,
+    retry_hours: int = RETRY_HOURS,
+    check_parser_version: bool = True,
+    check_modified: bool = True,
+    retry_failed: bool = True,
+) -> Column:
+    """The first applicable reason, null for a file that is up to date; a check that is off applies to no file."""
     failed = F.col("status").isin("failed", "error")
     return (
         F.when(F.lit(force), "force-reindex")
         .when(~F.col("has_status"), "new-file")
         .when(F.col("status") == "outdated", "outdated")
-        .when(_version_behind(), "parser-upgraded")
-        .when(_modified(), "modified")
-        .when(failed & retry_due("last_retry", now_ms, retry_hours), "retry-failed")
+        .when(F.lit(check_parser_version) & _version_behind(), "parser-upgraded")
+        .when(F.lit(check_modified) & _modified(), "modified")
+        .when(F.lit(retry_failed) & failed & retry_due("last_retry", now_ms, retry_hours), "retry-failed")
     )
 
 
@@ -80,12 +87,13 @@ def index_decision(
     now_ms: int,
     force: bool = False,
     retry_hours: int = RETRY_HOURS,
+    **checks: bool,
 ) -> DataFrame:
     """`(path, has_status, reason)` for every listed file; a null reason means up to date.
 
-    The first applicable reason wins.
+    The first applicable reason wins. `check_parser_version`, `check_modified` and `retry_failed` switch checks off.
     """
-    reason = _reason(now_ms, force, retry_hours)
+    reason = _reason(now_ms, force, retry_hours, **checks)
     return _current(listing, status, registry).select("path", "has_status", reason.alias("reason"))
 
 
@@ -175,28 +183,21 @@ def plan_reindex(
     registry: DataFrame,
     now_ms: int,
     force: bool = False,
+    retry_hours: int = RETRY_HOURS,
+    **checks: bool,
 ) -> DataFrame:
     """`(path, action, reason, has_status)`: `index` with a reason, `skip`, or `remove` for recorded files of
-    a watched folder that are no longer listed."""
-    action = F.when(F.col("reason").isNull(), "skip").otherwise("index")
-    watched = lookups.folder_condition(folders)
-    if watched is not None:
-        # Listed and vanished files come out of one full join of the two tables.
-        rows = _current(listing, status, registry, "full").where(F.col("listed") | watched)
-        reason = F.when(F.col("listed"), _reason(now_ms, force)).alias("reason")
-        judged = rows.select("path", "listed", reason, "has_status")
-        named = F.when(F.col("listed"), action).otherwise("remove").alias("action")
-        return judged.select("path", named, "reason", "has_status")
-    decided = index_decision(listing, status, registry, now_ms, force)
-    removed = lookups.missing_files(status.select("path"), listing, folders)
-    return decided.select("path", action.alias("action"), "reason", "has_status").unionByName(
-        removed.select(
-            "path",
-            F.lit("remove").alias("action"),
-            F.lit(None).cast("string").alias("reason"),
-            F.lit(True).alias("has_status"),
-        )
-    )
+    a watched folder that are no longer listed.
+
+    Listed and vanished files come out of one full join of the two tables; the directories of recorded files meet the
+    folder list apart. `checks` as in `index_decision`.
+    """
+    rows = _current(listing, status, registry, "full").withColumn("__dir", paths.parent_dir("path"))
+    watched = lookups.folder_of_dirs(status.select("path"), folders).select("__dir", F.lit(True).alias("__watched"))
+    known = salted_join(rows, watched, "__dir", "left", ["path"]).where(F.col("listed") | F.col("__watched"))
+    reason = F.when(F.col("listed"), _reason(now_ms, force, retry_hours, **checks)).alias("reason")
+    action = F.when(~F.col("listed"), "remove").when(F.col("reason").isNull(), "skip").otherwise("index")
+    return known.select("path", "listed", reason, "has_status").select("path", action.alias("action"), "reason", "has_status")
 
 
 def plan_stats(plan: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings that change results or plan shape; anything already set by the cluster wins.
@@ -18,29 +20,40 @@ _DEFAULTS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # A malformed character in one file becomes a replacement character instead of failing the job.
     "spark.sql.legacy.codingErrorAction": "true",
+    # Checkpoint files go with the frames that read them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def build_session(app_name: str = "docstrata", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the library defaults; `conf` entries override them."""
+    """Session with the library defaults for what neither the cluster nor `conf` has set."""
+    running = SparkSession.getActiveSession()
+    if running is None:
+        # Starts the JVM with the caller's settings; then those of spark-submit can be read.
+        SparkContext._ensure_initialized(conf=SparkConf(loadDefaults=False).setAll(list(conf.items())))
+        given = SparkConf()
+    else:
+        given = running.sparkContext.getConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_DEFAULTS, **conf}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    chosen = {k: v for k, v in _DEFAULTS.items() if not given.contains(k)} | conf
+    return builder.config(map=chosen).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    A temporary folder is used only where that setting is absent (tests, local mode).
+    In local mode a temporary folder stands in where that setting is absent; executors on other machines would each
+    write to a folder of their own there, so on a cluster its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = getattr(shared_dir, "_fallback", None)
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -54,13 +54,12 @@ def folders_frame(spark, names):
     return values_frame(spark, list(zip(names, range(len(names)))), "folder string, position int")
 
 
-def test_folder_boundaries_with_short_and_long_lists(spark, monkeypatch):
+def test_folder_boundaries(spark):
     rows = spark.createDataFrame(
         [("/documents/file1.txt",), ("/documents-backup/file2.txt",), ("/docs/file3.txt",), ("/documents/sub/x.md",), ("/top.txt",)],
         "path string",
     )
-    for limit in (1000, 0):
-        monkeypatch.setattr(lookups, "MAX_INLINE_FOLDERS", limit)
+    for _ in (1,):
         one = folders_frame(spark, ["/documents/"])
         assert sorted(r["path"] for r in lookups.in_folders(rows, one).collect()) == [
             "/documents/file1.txt", "/documents/sub/x.md",
@@ -76,6 +75,10 @@ def test_folder_boundaries_with_short_and_long_lists(spark, monkeypatch):
         got = {r["path"]: r["folder"] for r in lookups.assign_folder(rows, flipped).collect()}
         assert got["/documents/sub/x.md"] == "/documents"
         assert lookups.in_folders(rows, folders_frame(spark, [])).count() == 0
+        root = folders_frame(spark, ["/docs", "/"])
+        assert lookups.in_folders(rows, root).count() == rows.count()
+        got = {r["path"]: r["folder"] for r in lookups.assign_folder(rows, root).collect()}
+        assert got["/docs/file3.txt"] == "/docs" and got["/top.txt"] == "/" and got["/documents/sub/x.md"] == "/"
 
 
 def test_salted_join_equals_plain_join_on_a_hot_key(spark):
@@ -133,13 +136,22 @@ def test_first_reason_wins(spark):
     assert set(decisions(spark, rows, force=True).values()) == {"force-reindex"}
 
 
-def test_long_folder_lists_give_the_same_plan(spark, sf, monkeypatch):
-    from docstrata.workload import tables as t
+def test_checks_can_be_switched_off(spark):
+    status = spark.createDataFrame(
+        [("/m.txt", "indexed", 9, 1, "", "x"), ("/v.txt", "indexed", 1, 1, "", None), ("/f.txt", "failed", 9, 0, "", None)],
+        "path string, status string, parser_version int, chunk_count int, error_message string, file_hash string",
+    ).selectExpr("*", "timestamp_millis(5000) as last_modified", "timestamp_millis(5000) as indexed_at", "cast(null as timestamp) as last_retry")
+    listing = spark.createDataFrame([(p, 1, 1000) for p in ("/m.txt", "/v.txt", "/f.txt", "/n.txt")], "path string, size_bytes long, mtime_ms long")
+    registry = spark.createDataFrame([("txt", 2, True)], "ext string, version int, enabled boolean")
+
+    def reasons(**checks):
+        return {r["path"]: r["reason"] for r in reindex.index_decision(listing, status, registry, 10_000, **checks).collect()}
 
-    args = t.listing(spark, sf), t.status(spark, sf), t.folders(spark), t.registry(spark), t.NOW_MS
-    short = sorted(map(str, reindex.plan_reindex(*args).collect()))
-    monkeypatch.setattr(lookups, "MAX_INLINE_FOLDERS", 0)
-    assert sorted(map(str, reindex.plan_reindex(*args).collect())) == short
+    assert reasons() == {"/m.txt": "modified", "/v.txt": "parser-upgraded", "/f.txt": "retry-failed", "/n.txt": "new-file"}
+    off = reasons(check_modified=False, check_parser_version=False, retry_failed=False)
+    assert off == {"/m.txt": None, "/v.txt": None, "/f.txt": None, "/n.txt": "new-file"}
+    plan = reindex.plan_reindex(listing, status, folders_frame(spark, ["/"]), registry, 10_000, retry_failed=False)
+    assert {r["path"]: r["action"] for r in plan.collect()} == {"/m.txt": "index", "/v.txt": "index", "/f.txt": "skip", "/n.txt": "index"}
 
 
 def test_plan_partitions_its_input(spark, sf):

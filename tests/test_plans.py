@@ -40,10 +40,6 @@ def test_filter_is_pushed_before_ranking(spark, sf):
     assert "GreaterThanOrEqual(label,5)" in plan_of(QUERIES["q3_filtered_topk"](spark, sf))
 
 
-def test_short_folder_lists_need_no_shuffle(spark, sf):
-    assert "Exchange" not in plan_of(QUERIES["j6_in_folders"](spark, sf))
-
-
 def test_chunking_reads_key_and_text_only(spark, sf):
     from docstrata.operators import chunking
 
