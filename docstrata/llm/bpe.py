@@ -2,7 +2,8 @@
 
 The merges of a piece are found with a segment tree over the ranks of its adjacent pairs: the root holds the least rank
 and, of equal ones, the leftmost pair; a merge changes the leaves of three pairs at most, each in logarithmic time,
-until the root holds no rank. A piece of n bytes so takes O(n log n), however long it is.
+until the root holds no rank. A piece of n bytes so takes O(n log n), however long it is. The trees of many short pieces
+are the rows of one array and take their steps together; a long piece has a tree of its own.
 
 Texts are split as the file says: special tokens first, then by the byte-level pattern. Pieces repeat, so each task
 keeps the ids of those it has met, in a table of bounded size.
@@ -11,9 +12,12 @@ keeps the ids of those it has met, in a table of bounded size.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import cache
 from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 400_000
-CACHE_CHARS = 40
+CACHE_PIECES = 300_000  # of each of two generations, and those of one slice of texts
+SHORT_BYTES = 64
 SLICE_ROWS = 256
+FOREST_ROWS = 8_192
 _NONE = 1 << 60
+_IDLE = np.int64(1 << 60)
 
 
 class RankTree:
@@ -85,6 +91,81 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     return [i for i in ids if i >= 0]
 
 
+class PairTable:
+    """Ranks of id pairs and the ids they merge to, as arrays."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]], n_ids: int):
+        self.n_ids = n_ids
+        keys = np.array([a * n_ids + b for a, b in pairs], dtype=np.int64)
+        ranks = np.array([rank for rank, _ in pairs.values()], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), ranks[order]
+        self.merged = np.zeros(int(ranks.max(initial=-1)) + 1, dtype=np.int32)
+        self.merged[ranks] = [merged for _, merged in pairs.values()]
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """rank * 256 + place of the pairs, `_IDLE` where they do not merge."""
+        wanted = left.astype(np.int64) * self.n_ids + right
+        at = np.searchsorted(self.keys[:-1], wanted)
+        found = self.keys[at] == wanted
+        return np.where(found, (self.ranks[np.where(found, at, 0)] << 8) + place if len(self.ranks) else _IDLE, _IDLE)
+
+
+def merge_forest(rows: list[bytes], start: np.ndarray, table: PairTable) -> list[list[int]]:
+    """All merges of many pieces of at most `SHORT_BYTES` bytes: one segment tree a row, a merge a row at each step."""
+    if not rows:
+        return []
+    lengths = np.array([len(r) for r in rows])
+    width = 1 << max(int(lengths.max()) - 1, 1).bit_length()
+    column = np.arange(width)
+    inside = column < lengths[:, None]
+    ids = np.full((len(rows), width), -1, dtype=np.int32)
+    ids[inside] = start[np.frombuffer(b"".join(rows), dtype=np.uint8)]
+    nodes = np.full((len(rows), 2 * width), _IDLE, dtype=np.int64)
+    pair = column[:-1] < lengths[:, None] - 1
+    row, at = np.nonzero(pair)
+    nodes[row, width + at] = table.leaves(ids[row, at], ids[row, at + 1], at)
+    for k in range(width - 1, 0, -1):
+        np.minimum(nodes[:, 2 * k], nodes[:, 2 * k + 1], out=nodes[:, k])
+    after = np.broadcast_to(column + 1, ids.shape).astype(np.int16)
+    before = np.broadcast_to(column - 1, ids.shape).astype(np.int16)
+
+    flat_ids, flat_nodes, flat_after, flat_before = ids.ravel(), nodes.ravel(), after.ravel(), before.ravel()
+    live = np.arange(len(rows))
+    while True:
+        root = flat_nodes[live * (2 * width) + 1]
+        more = root < _IDLE
+        live, root = live[more], root[more]
+        if not len(live):
+            break
+        base, tree, n = live * width, live * (2 * width), lengths[live]
+        at = root & 255
+        gone = flat_after[base + at].astype(np.int64)
+        right = flat_after[base + gone].astype(np.int64)
+        left = flat_before[base + at].astype(np.int64)
+        merged = table.merged[root >> 8]
+        flat_ids[base + at] = merged
+        flat_ids[base + gone] = -1
+        flat_after[base + at] = right
+        has_right, has_left = right < n, left >= 0
+        flat_before[(base + right)[has_right]] = at[has_right]
+        # The three pairs that change; where there is no neighbour the leaf of the merged pair is set idle again.
+        flat_nodes[tree + width + gone] = _IDLE
+        new = table.leaves(merged, flat_ids[base + np.where(has_right, right, at)], at)
+        flat_nodes[tree + width + at] = np.where(has_right, new, _IDLE)
+        new = table.leaves(flat_ids[base + np.where(has_left, left, at)], merged, left)
+        flat_nodes[(tree + width + left)[has_left]] = new[has_left]
+        for place in (gone, at, np.where(has_left, left, at)):
+            k = (place + width) >> 1
+            while k[0]:
+                np.minimum(flat_nodes[tree + 2 * k], flat_nodes[tree + 2 * k + 1], out=root)
+                flat_nodes[tree + k] = root
+                k >>= 1
+    kept = ids >= 0
+    values, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def byte_letters() -> list[str]:
     """The visible letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand for
     themselves, the others are numbered from U+0100."""
@@ -112,40 +193,63 @@ class Codec:
             self.pairs[vocab[a], vocab[b]] = rank, vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: token.encode() for token, i in self.special.items()}
+        n_ids = max(self.bytes) + 1
+        self.starts, self.table = np.array(self.start, dtype=np.int32), PairTable(self.pairs, n_ids)
+        self.spelled = [self.bytes.get(i, b"") for i in range(n_ids)]
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.find = regex.compile(PIECES).findall
-        self.known = _Known(self)
-
-    def encode(self, text: str) -> list[int]:
-        parts = self.cut.split(text) if self.cut else [text]
-        out: list[int] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.special[part])
+        # Two generations of met pieces: when the younger is full, it becomes the older one.
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of each text."""
+        parts = [(k, j, part) for k, t in enumerate(texts) for j, part in enumerate(self.cut.split(t) if self.cut else [t])]
+        pieces = [[] if j % 2 else self.find(part) for _, j, part in parts]
+        known, long = self._met(set(chain.from_iterable(pieces)))
+        out: list[list[int]] = [[] for _ in texts]
+        for (k, j, part), found in zip(parts, pieces, strict=True):
+            if j % 2:
+                out[k].append(self.special[part])
             else:
-                out += chain.from_iterable(map(self.known.__getitem__, self.find(part)))
+                out[k] += chain.from_iterable(map(known.__getitem__, found))
+        for p in long:
+            del known[p]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
+    def _met(self, pieces: set[str]) -> tuple[dict[str, list[int]], list[str]]:
+        """The younger generation, holding the ids of the given pieces, and those too long to be kept in it."""
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh: list[tuple[int, str, bytes]] = []
+        for p in pieces:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    b = p.encode()
+                    fresh.append((len(b), p, b))
+        fresh.sort(key=itemgetter(0))  # rows of like length share an array
+        short = bisect_right(fresh, SHORT_BYTES, key=itemgetter(0))
+        for low in range(0, short, FOREST_ROWS):
+            group = fresh[low : min(low + FOREST_ROWS, short)]
+            young |= zip([p for _, p, _ in group], merge_forest([b for _, _, b in group], self.starts, self.table), strict=True)
+        for _, p, b in fresh[short:]:
+            young[p] = merge([self.start[c] for c in b], self.pairs)
+        return young, [p for _, p, _ in fresh[short:]]
+
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; an unknown id has no bytes."""
-        return b"".join([self.bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
-
-class _Known(dict):
-    """ids of the pieces met, short ones only and not too many."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge([self.codec.start[b] for b in piece.encode()], self.codec.pairs)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        try:
+            parts = b"".join(map(self.spelled.__getitem__, ids))
+        except IndexError:
+            parts = b"".join(self.bytes.get(i, b"") for i in ids)
+        return parts.decode("utf-8", "replace")
 
 
 @cache
@@ -155,33 +259,29 @@ def codec(path: str) -> Codec:
 
 
 def _by_slices(column: pa.Array, run, kind: pa.DataType) -> pa.Array:
-    """`run` of every value, as an Arrow array made a slice at a time."""
-    parts = [
-        pa.array([run(v) for v in column.slice(k, SLICE_ROWS).to_pylist()], kind) for k in range(0, len(column), SLICE_ROWS)
-    ]
+    """`run` of the list of values, as an Arrow array made a slice at a time."""
+    parts = [pa.array(run(column.slice(k, SLICE_ROWS).to_pylist()), kind) for k in range(0, len(column), SLICE_ROWS)]
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def encode(text: Column, path: str) -> Column:
     """array<int>: the token ids of a text; none for a null or empty one."""
 
-    @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        run = codec(path).encode
-        return _by_slices(texts, lambda t: run(t or ""), pa.list_(pa.int32()))
+        run = codec(path).encode_all
+        return _by_slices(texts, lambda ts: run([t or "" for t in ts]), pa.list_(pa.int32()))
 
-    return encoded(text)
+    return F.arrow_udf(encoded, "array<int>")(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of token ids; empty for null."""
 
-    @F.arrow_udf("string")
     def decoded(rows: pa.Array) -> pa.Array:
         run = codec(path).decode
-        return _by_slices(rows, lambda ids: run(ids or []), pa.string())
+        return _by_slices(rows, lambda ids: [run(i or []) for i in ids], pa.string())
 
-    return decoded(ids)
+    return F.arrow_udf(decoded, "string")(ids)
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

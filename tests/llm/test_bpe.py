@@ -52,10 +52,19 @@ def test_edges(spark):
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
-    mine = bpe.Codec(PATH)
-    mine.encode("one two three four five six " + "y" * 50)
-    assert len(mine.known) <= 3
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    monkeypatch.setattr(bpe, "FOREST_ROWS", 3)
+    mine, rng = bpe.Codec(PATH), random.Random(1)
+    for _ in range(40):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) + rng.choice("xyz") for _ in range(rng.randrange(9))) for _ in range(3)]
+        assert mine.encode_all(texts) == library(texts)[0]
+        assert len(mine.young) <= 60 and len(mine.old) <= 60
+
+
+def test_forest_is_the_same_as_a_tree_each():
+    mine, rng = bpe.Codec(PATH), random.Random(9)
+    pieces = [bytes(rng.choice(b"aaab thein\xc3\xa9") for _ in range(rng.randrange(1, bpe.SHORT_BYTES + 1))) for _ in range(600)]
+    assert bpe.merge_forest(pieces, mine.starts, mine.table) == [bpe.merge([mine.start[b] for b in p], mine.pairs) for p in pieces]
 
 
 def test_tree_takes_the_leftmost_of_the_least():
