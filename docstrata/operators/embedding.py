@@ -94,7 +94,8 @@ def embed(
     """Adds `vector array<float>` and `error string`.
 
     `embedder` builds the model once per task, so the number of partitions is the number of model replicas.
-    A call that keeps failing after `max_retries` leaves its rows with a null vector and the message.
+    A call that keeps failing after `max_retries` leaves its rows with a null vector and the message. A model that
+    cannot be built fails the job.
     """
     schema = T.StructType(
         [
@@ -112,11 +113,12 @@ def embed(
             tokens = np.array([int(np.ceil(len(t) / BATCH_CHARS_PER_TOKEN)) for t in texts], dtype=np.int64)
             vectors: list = [None] * len(texts)
             errors: list = [None] * len(texts)
+            if model is None and texts:
+                model = embedder()
             for first, end in sub_batches(tokens, max_rows, max_tokens):
                 message = None
                 for _ in range(max_retries + 1):
                     try:
-                        model = model or embedder()
                         result = np.asarray(
                             model.embed([prefix + t for t in texts[first:end]]), dtype=np.float64
                         )

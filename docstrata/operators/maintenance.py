@@ -95,32 +95,59 @@ def clear(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
-def index_outcomes(docs: DataFrame, chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Status of every processed file: `(path, status, error_message, chunk_count, parser_version)`.
-
-    `docs(path, error_kind, error_message)`: `parse` errors and texts without chunks are `failed`, any other
-    kind is `error`, the rest is `indexed` with its chunk count.
+def index_outcomes(
+    docs: DataFrame, chunks: DataFrame, registry: DataFrame, dead_letters: DataFrame | None = None
+) -> DataFrame:
+    """Status of every processed file, one row each: `(path, status, error_message, chunk_count, parser_version)`.
+
+    `docs(path, error_kind, error_message)` may have several rows a file, such as pages: an error of one is the file's.
+    `parse` errors and texts without chunks are `failed`, any other kind is `error`, and so is a file with chunks among
+    `dead_letters(path, error)`, whatever else of it was written; the rest is `indexed`. Only an indexed file and one
+    with dead letters have a chunk count.
     """
+    first = F.min(F.when(F.col("error_kind").isNotNull(), F.struct("error_kind", "error_message"))).alias("__e")
+    files = docs.groupBy("path").agg(first).select("path", "__e.error_kind", "__e.error_message")
     counts = chunks.groupBy("path").agg(F.count("*").alias("__n"))
-    n = F.coalesce("__n", F.lit(0))
+    joined = files.join(counts, "path", "left")
+    if dead_letters is None:
+        joined = joined.withColumn("__dead", F.lit(0)).withColumn("__why", F.lit(""))
+    else:
+        lost = dead_letters.groupBy("path").agg(F.count("*").alias("__dead"), F.min("error").alias("__why"))
+        joined = joined.join(lost, "path", "left").withColumn("__dead", F.coalesce("__dead", F.lit(0)))
+    n, dead = F.coalesce("__n", F.lit(0)), F.col("__dead")
     kind = F.col("error_kind")
     state = (
         F.when(kind == "parse", "failed")
-        .when(kind.isNotNull(), "error")
+        .when(kind.isNotNull() | (dead > 0), "error")
         .when(n == 0, "failed")
         .otherwise("indexed")
     )
-    message = F.when(kind.isNotNull(), F.coalesce("error_message", F.lit(""))).when(n == 0, NO_TEXT).otherwise("")
+    lost_some = F.concat(dead.cast("string"), F.lit(" of "), (dead + n).cast("string"), F.lit(" chunks failed: "), F.col("__why"))
+    message = (
+        F.when(kind.isNotNull(), F.coalesce("error_message", F.lit("")))
+        .when(dead > 0, lost_some).when(n == 0, NO_TEXT).otherwise("")
+    )
     version = F.when(kind.isNull() | (kind == "parse"), F.coalesce("version", F.lit(0))).otherwise(0)
-    return lookups.with_parser(docs.join(counts, "path", "left"), registry).select(
+    return lookups.with_parser(joined, registry).select(
         "path",
         state.alias("status"),
         message.alias("error_message"),
-        F.when(state == "indexed", n).otherwise(0).cast("int").alias("chunk_count"),
+        F.when(kind.isNull(), n).otherwise(0).cast("int").alias("chunk_count"),
         version.cast("int").alias("parser_version"),
     )
 
 
+def deleted_outcomes(gone: DataFrame) -> DataFrame:
+    """Outcomes of files that no longer exist."""
+    return gone.select(
+        "path",
+        F.lit("deleted").alias("status"),
+        F.lit("").alias("error_message"),
+        F.lit(0).alias("chunk_count"),
+        F.lit(0).alias("parser_version"),
+    )
+
+
 def status_rows(outcomes: DataFrame, listing: DataFrame, now_ms: int) -> DataFrame:
     """Full status rows of outcomes; `last_retry` is stamped for failures only."""
     now = _millis(now_ms)

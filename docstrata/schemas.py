@@ -19,6 +19,9 @@ CHUNKS = T.StructType(
     ]
 )
 
+# Chunks whose model calls kept failing.
+DEAD_LETTERS = T.StructType([*[CHUNKS[c] for c in ("id", "path", "page", "offset", "text")], T.StructField("error", T.StringType())])
+
 STATUS = T.StructType(
     [
         T.StructField("path", T.StringType(), False),

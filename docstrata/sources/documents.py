@@ -56,13 +56,19 @@ def read_corpus(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, roots: list[str], ext: str | None = None) -> DataFrame:
-    """`(path, content)` of the files below the roots, of one extension (whatever its case) if given."""
+    """`(path, size_bytes, mtime_ms, content)` of the files below the roots, of one extension (whatever its case) if
+    given."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if ext is not None:
         letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
         reader = reader.option("pathGlobFilter", f"*.{letters}")
     files = reader.load(roots)
-    return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+    return files.select(
+        F.regexp_replace("path", r"^file:/*", "/").alias("path"),
+        F.col("length").alias("size_bytes"),
+        F.unix_millis("modificationTime").alias("mtime_ms"),
+        "content",
+    )
 
 
 def _with_text(files: DataFrame, text: Column) -> DataFrame:
@@ -147,12 +153,20 @@ def register_extractor(ext: str, extractor: Callable[[DataFrame], DataFrame]) ->
 
 
 def ingest_corpus(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """`(path, text)` of all files below the roots whose extension has an extractor.
+    """`(path, size_bytes, mtime_ms, text, error_kind, error_message)` of all files below the roots whose extension has
+    an extractor.
 
-    Each extractor reads the files of its extension only, so every file is read once.
+    Each extractor reads the files of its extension only, so every file is read once. An extractor reports a file it
+    cannot parse by a non-null `error_message`; that file has the kind `parse` and no text.
     """
-    parts = [extractor(read_files(spark, roots, ext)) for ext, extractor in _EXTRACTORS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    columns = ["path", "size_bytes", "mtime_ms", "text", "error_kind", "error_message"]
+    out = None
+    for ext, extractor in _EXTRACTORS.items():
+        part = extractor(read_files(spark, roots, ext))
+        for name, kind in (("error_message", "string"), ("size_bytes", "long"), ("mtime_ms", "long")):
+            if name not in part.columns:
+                part = part.withColumn(name, F.lit(None).cast(kind))
+        failed = F.col("error_message").isNotNull()
+        part = part.withColumn("error_kind", F.when(failed, "parse")).withColumn("text", F.when(~failed, F.col("text")))
+        out = part.select(columns) if out is None else out.unionByName(part.select(columns))
     return out

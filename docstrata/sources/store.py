@@ -153,7 +153,8 @@ class SnapshotTable:
         return self._commit(rows, touched, batch_id)
 
     def upsert(self, new: DataFrame, batch_id: int = NO_BATCH) -> int | None:
-        """Adds `new`, replacing rows with the same row key; an empty input changes nothing.
+        """Adds `new`, replacing rows with the same row key; an empty input changes nothing. Of rows that repeat a key
+        the last by `order` stays, or any one where the table has no order.
 
         `new` is read several times: pass stored rows or cheap ones.
         """
@@ -162,7 +163,7 @@ class SnapshotTable:
         touched = self._touched(new)
         if not touched:
             return None
-        added = last_per_key(new, self.row_key, self.order) if self.order else new
+        added = last_per_key(new, self.row_key, self.order) if self.order else new.dropDuplicates([self.row_key])
         kept = self.read(touched).join(new.select(self.row_key).distinct(), self.row_key, "left_anti")
         rows = kept.select(*self.schema.names).unionByName(added.select(*self.schema.names))
         return self._commit(rows, touched, batch_id)
@@ -183,10 +184,11 @@ class SnapshotTable:
                 removed += bool(path.getFileSystem(conf).delete(path, True))
         return removed
 
-    def delete_where(self, predicate: str) -> int:
-        """Deletes the rows for which the predicate holds."""
-        kept = self.read().where(~F.coalesce(F.expr(predicate), F.lit(False)))
-        return self.overwrite(kept)
+    def delete_where(self, predicate: str) -> int | None:
+        """Deletes the rows for which the predicate holds; only buckets that hold such rows are rewritten."""
+        hit = F.coalesce(F.expr(predicate), F.lit(False))
+        touched = self._touched(self.read().where(hit))
+        return self._commit(self.read(touched).where(~hit), touched, NO_BATCH) if touched else None
 
 
 def chunk_store(spark: SparkSession, root: str, buckets: int = 64) -> SnapshotTable:
@@ -194,5 +196,10 @@ def chunk_store(spark: SparkSession, root: str, buckets: int = 64) -> SnapshotTa
     return SnapshotTable(spark, root, schemas.CHUNKS, "path", "id", "chunk_index", buckets)
 
 
+def dead_letter_store(spark: SparkSession, root: str, buckets: int = 16) -> SnapshotTable:
+    """Chunks whose model calls kept failing, bucketed by path."""
+    return SnapshotTable(spark, root, schemas.DEAD_LETTERS, "path", "id", None, buckets)
+
+
 def status_store(spark: SparkSession, root: str, buckets: int = 16) -> SnapshotTable:
     return SnapshotTable(spark, root, schemas.STATUS, "path", "path", None, buckets)

@@ -24,6 +24,7 @@ def apply_changes(
     registry: DataFrame,
     embedder: Callable[[], embedding.Embedder],
     now_ms: int,
+    dead_letters: SnapshotTable | None = None,
 ) -> None:
     """Applies one batch of events `(path, op, ts, event_id)` or of debounced ones `(path, op, ..., settled)`.
 
@@ -37,15 +38,22 @@ def apply_changes(
     routed = feed.route(
         last, docs.select("path", "size_bytes", "mtime_ms"), status.read_for(last), registry, now_ms
     )
+    # A file that is gone by now is deleted, whatever was to be done with it.
+    there = docs.select("path", F.lit(True).alias("there"))
+    action = F.when((F.col("action") == "index") & F.col("there").isNull(), "delete").otherwise(F.col("action"))
     # The decision depends on the status table, which this batch changes: fix it before the first write.
     ensure_checkpoint_dir(events.sparkSession)
-    decided = routed.where("action <> 'ignore'").checkpoint(eager=True)
+    decided = (
+        routed.where("action <> 'ignore'").join(there, "path", "left").select("path", action.alias("action")).checkpoint(eager=True)
+    )
     to_index = decided.where("action = 'index'").select("path")
     to_delete = decided.where("action = 'delete'").select("path")
 
     found = docs.join(to_index, "path", "left_semi")
-    rows, _ = indexing.index_corpus(found.select("path", "text", "mtime_ms"), embedder)
+    rows, dead = indexing.write_embedded(found.select("path", "text", "mtime_ms"), registry, embedder)
     chunks.replace(decided.select("path"), rows, batch_id)
+    if dead_letters is not None:
+        dead_letters.replace(decided.select("path"), dead, batch_id)
 
     written = chunks.read_for(to_index).select("path")
     outcomes = maintenance.index_outcomes(
@@ -54,15 +62,10 @@ def apply_changes(
         ),
         written,
         registry,
-    )
-    deleted = to_delete.select(
-        "path",
-        F.lit("deleted").alias("status"),
-        F.lit("").alias("error_message"),
-        F.lit(0).alias("chunk_count"),
-        F.lit(0).alias("parser_version"),
+        dead,
     )
     listing = docs.select("path", "size_bytes", "mtime_ms")
+    deleted = maintenance.deleted_outcomes(to_delete)
     status.upsert(maintenance.status_rows(outcomes.unionByName(deleted), listing, now_ms), batch_id)
 
 
@@ -75,12 +78,13 @@ def maintain(
     checkpoint: str,
     now_ms: Callable[[], int],
     embedder: Callable[[], embedding.Embedder] = embedding.HashEmbedder,
+    dead_letters: SnapshotTable | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Starts the maintenance query; `trigger` is passed on, `availableNow=True` by default."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(batch, batch_id, load, chunks, status, registry, embedder, now_ms())
+        apply_changes(batch, batch_id, load, chunks, status, registry, embedder, now_ms(), dead_letters)
 
     return (
         stream.writeStream.foreachBatch(write)

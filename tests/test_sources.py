@@ -202,3 +202,118 @@ def test_maintenance_over_several_batches(spark, tmp_path):
         )
     assert [r["path"] for r in chunks.read().collect()] == ["/a.txt"]
     assert {r["path"]: r["status"] for r in status.read().collect()} == {"/a.txt": "indexed", "/b.txt": "deleted"}
+
+
+def failing_model():
+    from docstrata.operators.embedding import HashEmbedder
+
+    class Failing:
+        """Fails on texts with a certain word."""
+
+        def embed(self, texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("no such word")
+            return HashEmbedder().embed(texts)
+
+    return Failing
+
+
+def stores(spark, tmp_path):
+    made = [
+        store.chunk_store(spark, str(tmp_path / "c"), buckets=2), store.status_store(spark, str(tmp_path / "s"), buckets=2),
+        store.dead_letter_store(spark, str(tmp_path / "d"), buckets=2),
+    ]
+    for table in made:
+        table.create()
+    return made
+
+
+def recorded(status):
+    rows = status.read().collect()
+    assert len({r["path"] for r in rows}) == len(rows)
+    return {r["path"]: (r["status"], r["chunk_count"], r["error_message"]) for r in rows}
+
+
+def test_failed_chunks_and_pages_are_recorded(spark, tmp_path):
+    chunks, status, dead = stores(spark, tmp_path)
+    long = " ".join(["A sentence of some words that fills the first chunk."] * 60)
+    docs = spark.createDataFrame(
+        [("/a.txt", long + " poison.", 1, None, None, 1), ("/b.pdf", "one.", 2, None, None, 1), ("/b.pdf", "two.", 2, None, None, 2),
+         ("/c.pdf", "x.", 3, None, None, 1), ("/c.pdf", None, 3, "parse", "page 2 is broken", 2), ("/d.txt", "poison.", 3, None, None, 1)],
+        "path string, text string, mtime_ms long, error_kind string, error_message string, page int",
+    )
+    files = docs.selectExpr("path", "10L as size_bytes", "mtime_ms").distinct()
+    # A model call fails as a whole, so the texts it fails on come in a run of their own.
+    for part in (docs.where("path like '%.pdf'"), docs.where("path like '%.txt'")):
+        indexing.index_files(part, files, registry_frame(spark), chunks, status, NOW, failing_model(), dead_letters=dead)
+    got = recorded(status)
+    lost = {r["path"]: r["error"] for r in dead.read().collect()}
+    assert set(lost) == {"/a.txt", "/d.txt"} and "no such word" in lost["/a.txt"]
+    kept = chunks.read().where("path = '/a.txt'").count()
+    assert got["/a.txt"][:2] == ("error", kept) and got["/a.txt"][2].endswith("chunks failed: ValueError: no such word")
+    assert got["/b.pdf"] == ("indexed", 2, "") and got["/c.pdf"] == ("failed", 0, "page 2 is broken")
+    assert got["/d.txt"] == ("error", 0, "1 of 1 chunks failed: ValueError: no such word")
+
+
+def test_a_model_that_cannot_be_built_fails_the_job(spark):
+    from docstrata.operators import embedding
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="no weights"):
+        embedding.embed(spark.createDataFrame([("a",)], "text string"), "text", broken).collect()
+
+
+def test_index_a_tree(spark, tmp_path):
+    """List, plan, read, chunk, embed, store, record; then changes, a vanished file and a file that cannot be parsed."""
+    import os
+
+    chunks, status, dead = stores(spark, tmp_path)
+    root = tmp_path / "tree"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.txt").write_text("First text.")
+    (root / "sub" / "b.md").write_text("# Head\n\nSecond *text*.")
+    (root / "c.pdf").write_bytes(b"%PDF")
+    (root / "skip.bin").write_bytes(b"x")
+    registry = registry_frame(spark)
+
+    def run():
+        plan = indexing.index_tree(spark, [str(root)], registry, chunks, status, NOW, dead_letters=dead)
+        return {os.path.basename(r["path"]): (r["action"], r["reason"]) for r in plan.collect()}
+
+    assert run() == {"a.txt": ("index", "new-file"), "b.md": ("index", "new-file"), "c.pdf": ("index", "new-file")}
+    got = {os.path.basename(k): v for k, v in recorded(status).items()}
+    assert got == {"a.txt": ("indexed", 1, ""), "b.md": ("indexed", 1, ""), "c.pdf": ("failed", 0, "No extractor for this file type")}
+    row = chunks.read().where("path like '%a.txt'").first()
+    assert row["mtime_ms"] == int(os.stat(root / "a.txt").st_mtime_ns // 1_000_000) and row["text"] == "First text."
+    assert run() == {}
+    (root / "a.txt").write_text("First text, changed.")
+    os.utime(root / "a.txt", (2_000_000_000, 2_000_000_000))
+    (root / "sub" / "b.md").unlink()
+    assert run() == {"a.txt": ("index", "modified"), "b.md": ("remove", None)}
+    got = {os.path.basename(k): v[0] for k, v in recorded(status).items()}
+    assert got == {"a.txt": "indexed", "b.md": "deleted", "c.pdf": "failed"}
+    assert [r["text"] for r in chunks.read().collect()] == ["First text, changed."]
+
+
+def test_vanished_file_becomes_deleted(spark, tmp_path):
+    from docstrata.operators.embedding import HashEmbedder
+
+    chunks, status, dead = stores(spark, tmp_path)
+    files = spark.createDataFrame([("/a.txt", 5, 1, "one.")], "path string, size_bytes long, mtime_ms long, text string")
+    for number, source in enumerate([files, files.limit(0)]):
+        events = spark.createDataFrame([("/a.txt", ["add", "change"][number], number, number)], "path string, op string, ts long, event_id long")
+        maintain.apply_changes(
+            events, number, lambda wanted: source.join(wanted, "path", "left_semi"), chunks, status, registry_frame(spark), HashEmbedder, NOW, dead  # noqa: B023
+        )
+    assert recorded(status) == {"/a.txt": ("deleted", 0, "")} and chunks.read().count() == 0
+
+
+def test_delete_rewrites_matching_buckets_only(spark, table):
+    table.overwrite(chunk_frame(spark, [chunk(str(i), f"/{i}") for i in range(40)]))
+    before = table._newest()
+    table.delete_where("id = '7'")
+    after = table._newest()
+    assert sum(map(len, after.values())) == 4 and len(after[max(after)]) == 1 and max(after) > max(before)
+    assert table.delete_where("id = 'none'") is None and table.read().count() == 39
