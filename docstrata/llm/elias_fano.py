@@ -11,7 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 
 _U = np.uint64
-_BLOCK_WORDS = 8  # words of 64 bits to an entry of the directory
+
+#: One, and the highest bit, of every byte of a word.
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the r-th one in a byte.
+_IN_BYTE = np.zeros((256, 8), dtype=np.int64)
+for _byte in range(256):
+    for _rank, _place in enumerate(k for k in range(8) if _byte >> k & 1):
+        _IN_BYTE[_byte, _rank] = _place
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -28,15 +35,15 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the one with `rank` ones before it, in every word."""
-    place = np.zeros(len(words), dtype=np.int64)
-    rank = rank.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        part = np.bitwise_count((words >> place.astype(np.uint64)) & _U((1 << width) - 1)).astype(np.int64)
-        right = rank >= part
-        rank -= np.where(right, part, 0)
-        place += np.where(right, width, 0)
-    return place
+    """Place of the one with `rank` ones before it, in every word: the byte by prefix sums within the word, then a
+    table."""
+    rank = rank.astype(np.uint64)
+    sums = words - ((words >> _U(1)) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # ones up to and with each byte
+    place = np.bitwise_count((((rank * _ONES) | _TOPS) - sums) & _TOPS).astype(np.uint64) << _U(3)
+    rank -= ((sums << _U(8)) >> place) & _U(255)
+    return place.astype(np.int64) + _IN_BYTE[((words >> place) & _U(255)).astype(np.int64), rank.astype(np.int64)]
 
 
 @dataclass
@@ -45,7 +52,8 @@ class EliasFano:
     bits: int
     low: np.ndarray  # packed low bits
     high: np.ndarray  # the bit vector, in words
-    ones: np.ndarray  # ones before each block of words
+    ones: np.ndarray  # ones before each word
+    _zeros: np.ndarray | None = None
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
@@ -54,31 +62,37 @@ class EliasFano:
         n = len(values)
         bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
         top = int(values[-1]) >> bits if n else 0
-        words = (n + top + 1) // 64 + 1
-        words += -words % _BLOCK_WORDS
+        words = (n + top + 1) // 64 + 2
         at = (values >> bits) + np.arange(n)
         flags = np.zeros(words * 64, dtype=np.uint8)
         flags[at] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        per_block = np.bitwise_count(high).reshape(-1, _BLOCK_WORDS).sum(axis=1, dtype=np.int64)
-        ones = np.concatenate([[0], np.cumsum(per_block)])
-        return EliasFano(n, bits, _pack(values, bits), high, ones)
+        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
+        ones = np.concatenate([[0], ones[:-1]])
+        return EliasFano(n, bits, _pack(values, bits), high, ones.astype(np.uint32) if n < 1 << 31 else ones)
 
     def _select(self, rank: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the one (or zero) with `rank` of its kind before it."""
-        before = self.ones
-        if zeros:
-            before = np.arange(len(before), dtype=np.int64) * (64 * _BLOCK_WORDS) - before
-        block = np.searchsorted(before, rank, "right") - 1
-        rest = rank - before[block]
-        words = self.high[block[:, None] * _BLOCK_WORDS + np.arange(_BLOCK_WORDS)]
         if zeros:
-            words = ~words
-        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (counts <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(rest))
-        rest -= np.where(word > 0, counts[rows, word - 1], 0)
-        return (block * _BLOCK_WORDS + word) * 64 + _in_word(words[rows, word], rest)
+            if self._zeros is None:
+                self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+            before = self._zeros
+        else:
+            before = self.ones
+        word = np.searchsorted(before, rank.astype(before.dtype), "right") - 1
+        bits = self.high[word]
+        return word * 64 + _in_word(~bits if zeros else bits, rank - before[word])
+
+    def _run_end(self, place: np.ndarray) -> np.ndarray:
+        """Place of the first zero at or after each place."""
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        clear = ~self.high[word] >> shift
+        end = place + np.bitwise_count((clear & (~clear + _U(1))) - _U(1))
+        over = np.flatnonzero(clear == 0)
+        if len(over):  # the run goes on beyond the word: one zero more than before the place
+            ones = self.ones[word[over]].astype(np.int64) + np.bitwise_count(self.high[word[over]] & ((_U(1) << shift[over]) - _U(1)))
+            end[over] = self._select(place[over] - ones, True)
+        return end
 
     def _lows(self, index: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -104,21 +118,21 @@ class EliasFano:
             return out
         head = values >> self.bits
         live = np.flatnonzero((values >= 0) & (head < len(self.high) * 64 - self.size))
-        head = head[live]
-        place = np.zeros(len(live), dtype=np.int64)
+        head, want = head[live], values[live] & ((1 << self.bits) - 1)
+        # The members of a high part, two or so on average but many where the sequence is dense: a binary search.
         later = head > 0
+        place = np.zeros(len(live), dtype=np.int64)
         place[later] = self._select(head[later] - 1, True) + 1
-        want = values[live] & ((1 << self.bits) - 1)
-        # A value's high part has one or two members on average.
-        while len(live):
-            here = ((self.high[place >> 6] >> (place & 63).astype(np.uint64)) & _U(1)).astype(bool)
-            live, place, head, want = live[here], place[here], head[here], want[here]
-            if not len(live):
-                break
-            index = place - head
-            low = self._lows(index)
-            hit = low == want
-            out[live[hit]] = index[hit]
-            more = low < want
-            live, place, head, want = live[more], place[more] + 1, head[more], want[more]
+        low, end = place - head, self._run_end(place) - head
+        high = end.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = self._lows(middle) < want[open_]
+            low[open_] = np.where(less, middle + 1, low[open_])
+            high[open_] = np.where(less, high[open_], middle)
+            open_ = open_[low[open_] < high[open_]]
+        inside = low < end
+        inside[inside] = self._lows(low[inside]) == want[inside]
+        out[live[inside]] = low[inside]
         return out

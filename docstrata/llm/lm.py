@@ -179,12 +179,17 @@ class Level:
         """What was summed up before a place."""
         return np.where(start > 0, self.sums.access(np.maximum(start - 1, 0)), 0) if self.sums.size else start * 0
 
-    def find(self, context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, rank among the context's followers), both -1 where the follower is not kept."""
-        start = self.start(context)
-        place = self.sums.find(self.base(start) + follower + 1)
-        place[(place < start) | (place >= self.ends.access(context))] = -1
-        return place, np.where(place >= 0, place - start, -1)
+    def find(self, contexts: np.ndarray, back: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, rank among the context's followers) of each follower of contexts[back], both -1 where the follower is
+        negative or not kept."""
+        start = self.start(contexts)
+        base, end = self.base(start), self.ends.access(contexts)
+        place = np.full(len(back), -1, dtype=np.int64)
+        asked = np.flatnonzero(follower >= 0)
+        at = back[asked]
+        found = self.sums.find(base[at] + follower[asked] + 1)
+        place[asked] = np.where((found >= start[at]) & (found < end[at]), found, -1)
+        return place, np.where(place >= 0, place - start[back], -1)
 
     def follower(self, place: np.ndarray) -> np.ndarray:
         """The follower at each place."""
@@ -252,19 +257,25 @@ class Model:
             ids[part] = np.where(found >= 0, found + self.bases[s], -1)
         return ids[back], counts[back]
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(shard of a, place, rank, log10 p) of pairs of ids; place -1 where the pair is not kept."""
-        live = np.flatnonzero((a >= 0) & (b >= 0))
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(shard of a, place, rank, log10 p, log10 backoff of a) of pairs of ids; place is -1 where the pair is not
+        kept, the backoff 0 where a is unknown."""
+        live = np.flatnonzero(a >= 0)
         live = live[np.argsort(a[live], kind="stable")]
         shard, place, rank = np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)
-        logp = np.zeros(len(a))
+        logp, backoff = np.zeros(len(a)), np.zeros(len(a))
         for s, part in self._by_shard(a[live], self.bases):
             at, level = live[part], self.level(2)[s]
-            found, order = level.find(a[at] - self.bases[s], b[at])
-            shard[at], place[at], rank[at] = s, found, order
+            context = a[at] - self.bases[s]
+            fresh = np.ones(len(at), dtype=bool)
+            fresh[1:] = context[1:] != context[:-1]
+            contexts, back = context[fresh], np.cumsum(fresh) - 1
+            shard[at] = s
+            place[at], rank[at] = found, _ = level.find(contexts, back, b[at])
+            backoff[at] = decades(level.backoff[contexts])[back]
             hit = found >= 0
             logp[at[hit]] = decades(level.probability[found[hit]])
-        return shard, place, rank, logp
+        return shard, place, rank, logp, backoff
 
     def score(self, part: pa.Array) -> list[np.ndarray]:
         """n_tokens, n_known, base_score, score of the rows of a slice from `pieces`."""
@@ -275,15 +286,11 @@ class Model:
         token = stream != BEGIN
         before = np.concatenate([[-1], ids[:-1]])
         before[~token] = -1
-        shard, place, rank, logp = self.pairs(before, np.where(token, ids, -1))
+        # A pair is kept only if both its words were seen often enough.
+        often = token & (counts >= LEAST_COUNT) & (np.concatenate([[0], counts[:-1]]) >= LEAST_COUNT)
+        shard, place, rank, logp, backoff = self.pairs(before, np.where(often, ids, -1))
 
-        backoff1 = np.zeros(len(stream))
-        live = np.flatnonzero(before >= 0)
-        live = live[np.argsort(before[live], kind="stable")]
-        for s, cut in self._by_shard(before[live], self.bases):
-            at = live[cut]
-            backoff1[at] = decades(self.level(2)[s].backoff[before[at] - self.bases[s]])
-        total = np.where(place >= 0, logp, backoff1 + single)
+        total = np.where(place >= 0, logp, backoff + single)
 
         # The pair before a token is its context in level 3.
         context, home = np.concatenate([[-1], place[:-1]]), np.concatenate([[-1], shard[:-1]])
@@ -291,9 +298,7 @@ class Model:
         for s in np.unique(home[context >= 0]):
             at = np.flatnonzero((home == s) & (context >= 0))
             level = self.level(3)[s]
-            found = np.full(len(at), -1)
-            asked = rank[at] >= 0
-            found[asked] = level.find(context[at[asked]], rank[at[asked]])[0]
+            found, _ = level.find(*np.unique(context[at], return_inverse=True), rank[at])
             hit = found >= 0
             total[at] += np.where(hit, 0.0, decades(level.backoff[context[at]]))
             total[at[hit]] = decades(level.probability[found[hit]])
@@ -384,11 +389,11 @@ def train(texts: DataFrame) -> Facts:
     sharded(kept.unionByName(none), level2)
 
     def triples(part: pa.Array) -> list[np.ndarray]:
-        stream, ids, _ = pair_ids(part)
-        token = stream != BEGIN
+        stream, ids, counts = pair_ids(part)
+        ids = np.where(counts >= LEAST_COUNT, ids, -1)
         before = np.concatenate([[-1], ids[:-1]])
-        before[~token] = -1
-        shard, place, rank, _ = _opened(facts).pairs(before, ids)
+        before[stream == BEGIN] = -1
+        shard, place, rank, *_ = _opened(facts).pairs(before, ids)
         good = (place[:-1] >= 0) & (place[1:] >= 0)
         return [shard[:-1][good], place[:-1][good], rank[1:][good]]
 
