@@ -17,15 +17,10 @@ from docstrata.frames import salt
 from docstrata.functions import vectors as vx
 from docstrata.operators.search import _distances, _matrix, _unit_rows, nearest_in_cells
 
-# Fixed value: the index pays off once the table has more rows than this.
-INDEX_MIN_ROWS = 50_000
-
-MAX_CELLS = 4096
-
 
 @dataclass
 class IvfIndex:
-    """`centroids` is one row per cell (at most MAX_CELLS); `cells` is the chunk table plus its cell."""
+    """`centroids` is one row per cell; `cells` is the chunk table plus its cell."""
 
     centroids: np.ndarray
     cells: DataFrame
@@ -33,7 +28,8 @@ class IvfIndex:
 
 
 def default_cells(rows: int) -> int:
-    return max(1, min(MAX_CELLS, int(rows**0.5)))
+    """As many cells as rows in a cell, at every size."""
+    return max(1, int(rows**0.5))
 
 
 def _features(chunks: DataFrame, metric: str) -> DataFrame:
@@ -57,8 +53,6 @@ def build_ivf(
     """
     if n_cells is None:
         n_cells = default_cells(chunks.count())
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells")
     featured = _features(chunks, metric)
     model = KMeans(
         k=n_cells,
@@ -70,8 +64,15 @@ def build_ivf(
     return IvfIndex(np.array(model.clusterCenters()), model.transform(featured).drop("__features"), metric)
 
 
-def maybe_build_ivf(chunks: DataFrame, min_rows: int = INDEX_MIN_ROWS, **options) -> IvfIndex | None:
-    """The index, or None while the table is small enough for exact search."""
+def assign_cells(chunks: DataFrame, centroids: np.ndarray, metric: str = "cosine") -> IvfIndex:
+    """The index of given centroids: every chunk belongs to the nearest one, of equally near ones to the first."""
+    cells = nearest_cells(chunks, centroids, 1, metric).withColumn("cell", F.get("cells", F.lit(0)).cast("int")).drop("cells")
+    return IvfIndex(centroids, cells, metric)
+
+
+def maybe_build_ivf(chunks: DataFrame, min_rows: int, **options) -> IvfIndex | None:
+    """The index, or None while the table has at most `min_rows` rows; the limit is the caller's choice between exact
+    and approximate search."""
     return build_ivf(chunks, **options) if chunks.count() > min_rows else None
 
 
@@ -106,7 +107,10 @@ def probe_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 4)
     """Approximate k nearest chunks per query, exact within the probed cells; with as many probes as cells
     the result is the exact one."""
     asked = nearest_cells(queries.select("query_id", "vector"), index.centroids, nprobe, index.metric)
-    return nearest_in_cells(index.cells.select("id", "vector", "cell"), asked, k, index.metric)
+    # At most as many numbers as there are cells; over a table partitioned by cell the scan skips all others.
+    wanted = sorted(r[0] for r in asked.select(F.explode("cells")).distinct().collect())
+    rows = index.cells.select("id", "vector", "cell").where(F.col("cell").isin(wanted))
+    return nearest_in_cells(rows, asked, k, index.metric)
 
 
 def recall_at(approximate: DataFrame, exact: DataFrame) -> DataFrame:

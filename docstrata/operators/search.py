@@ -33,6 +33,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    lengths = np.diff(column.offsets.to_numpy()) if rows else np.zeros(0)
+    if rows and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of different lengths: {int(lengths.min())} and {int(lengths.max())}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
@@ -136,9 +139,10 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
 
 
 def _queries_size(queries: DataFrame) -> tuple[int, int]:
-    """Number of queries and bytes of their vectors (as doubles)."""
-    row = queries.select(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    return int(row[0]), int(row[1]) * 8
+    """Number of queries and bytes of all that would be sent: ids, vectors (as doubles) and cells."""
+    ids = F.octet_length(F.col("query_id").cast("string")) + 50
+    row = queries.select(F.count("*"), F.sum(8 * (F.size("vector") + F.size("cells")) + ids)).first()
+    return int(row[0]), int(row[1] or 0)
 
 
 def nearest_in_cells(
@@ -172,16 +176,16 @@ def _candidates(
     if count == 0:
         return chunks.sparkSession.createDataFrame([], schema)
     if size <= broadcast_bytes:
-        return _broadcast_nearest(chunks, queries, k, metric, schema, celled)
+        table = queries.toArrow()  # bounded by the size check
+        asked = (table.column("query_id").to_pylist(), _matrix(table.column("vector")), _combined(table.column("cells")))
+        return _broadcast_nearest(chunks, asked, k, metric, schema, celled)
     return _celled_nearest(chunks, queries, k, metric, schema, count, celled)
 
 
-def _broadcast_nearest(chunks, queries, k, metric, schema, celled) -> DataFrame:
-    table = queries.toArrow()  # bounded by the size check of the caller
-    payload = chunks.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_pylist(), _matrix(table.column("vector")), table.column("cells").to_pylist())
-    )
-    query_type = table.schema.field("query_id").type
+def _broadcast_nearest(chunks, asked, k, metric, schema, celled) -> DataFrame:
+    """`asked`: query ids, their matrix, and their cells as an Arrow list array."""
+    payload = chunks.sparkSession.sparkContext.broadcast(asked)
+    query_type = _arrow_type(schema["query_id"].dataType)
     id_type = _arrow_type(schema["id"].dataType)
     out = pa.schema([("query_id", query_type), ("id", id_type), ("distance", pa.float64())])
 
@@ -189,11 +193,10 @@ def _broadcast_nearest(chunks, queries, k, metric, schema, celled) -> DataFrame:
         query_ids, matrix, cells = payload.value
         members: dict[int, np.ndarray] = {}
         if celled:
-            grouped: dict[int, list[int]] = {}
-            for position, named in enumerate(cells):
-                for c in named:
-                    grouped.setdefault(c, []).append(position)
-            members = {c: np.array(p) for c, p in grouped.items()}
+            named, position = cells.flatten().to_numpy(), cells.value_parent_indices().to_numpy()
+            order = np.argsort(named, kind="stable")
+            starts = np.flatnonzero(np.diff(named[order], prepend=-1))
+            members = dict(zip(named[order][starts].tolist(), np.split(position[order], starts[1:]), strict=True))
         top = _TopK(matrix, k, metric)
         for batch in batches:
             if not batch.num_rows:
@@ -287,13 +290,12 @@ def topk(
     where: Column | str | None = None,
 ) -> DataFrame:
     """Exact k nearest chunks of one query vector: `(id, distance)` in order."""
-    spark = chunks.sparkSession
-    query = spark.range(1).select(
-        F.col("id").alias("query_id"),
-        F.array(*[F.lit(float(x)) for x in query_vec]).alias("vector"),
+    pool = (chunks if where is None else chunks.where(where)).select("id", "vector").where("vector is not null")
+    schema = T.StructType(
+        [T.StructField("query_id", T.LongType()), pool.schema["id"], T.StructField("distance", T.DoubleType())]
     )
-    pool = chunks if where is None else chunks.where(where)
-    found = _candidates(pool.select("id", "vector"), query, k, metric)
+    asked = ([0], np.array([list(query_vec)], dtype=np.float64), pa.array([[0]], pa.list_(pa.int64())))
+    found = _broadcast_nearest(pool, asked, k, metric, schema, False)
     return found.select("id", "distance").orderBy("distance", "id").limit(k)
 
 

@@ -87,7 +87,7 @@ def test_all_cells_are_exact(data, limit, monkeypatch):
 
 
 def test_index_only_for_large_tables(data):
-    assert ann.maybe_build_ivf(data[2]) is None
+    assert ann.maybe_build_ivf(data[2], 50_000) is None
 
 
 def test_distance_expression_agrees(data):
@@ -113,3 +113,24 @@ def test_hits_are_projected_and_grouped(spark):
     groups = {r["path"]: (r["hits"], r["best_score"], r["position"]) for r in search.group_hits(hits).collect()}
     assert groups == {"/a": (2, 0.9, 1), "/b": (1, 0.8, 2)}
     assert [r["id"] for r in search.file_hits(hits, "/a").collect()] == ["2", "1"]
+
+
+def test_ragged_vectors_raise(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0, 4.0]), ("c", [1.0, 2.0, 3.0])], "id string, vector array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        search.topk(rows.coalesce(1), [1.0, 0.0, 0.0], 2).collect()
+
+
+def test_probing_skips_cells(spark, sf, tmp_path):
+    """One query over a stored index reads the partitions of its cells only."""
+    import numpy as np
+
+    from docstrata.workload import tables as t
+
+    rows = t.vectors(spark, sf).select("id", "vector")
+    centres = np.array([r["vector"] for r in rows.orderBy("id").limit(8).collect()])
+    ann.write_ivf(ann.assign_cells(rows, centres), str(tmp_path / "ivf"))
+    index = ann.IvfIndex(centres, spark.read.parquet(str(tmp_path / "ivf")), "cosine")
+    asked = rows.orderBy("id").limit(1).selectExpr("id as query_id", "vector")
+    plan = ann.probe_ivf(index, asked, 5, nprobe=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell") and "PartitionFilters: []" not in plan
