@@ -12,10 +12,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from docstrata.operators import ann, chunking, embedding, search, stats  # noqa: E402
-from docstrata.plans import reindex  # noqa: E402
+from docstrata.plans import indexing, reindex  # noqa: E402
 from docstrata.session import build_session, fresh_dir  # noqa: E402
 from docstrata.streaming import feed  # noqa: E402
-from docstrata.workload import stream_queries, tables as t  # noqa: E402
+from docstrata.workload import search_queries, stream_queries, tables as t  # noqa: E402
 
 
 def main() -> None:
@@ -55,10 +55,19 @@ def main() -> None:
 
     def completion():
         events = stream_queries.event_stream(spark, sf).select(
-            "path", F.lit(66).alias("total"), F.lit(1).alias("processed"), F.lit(0).alias("errors")
-        )
+            "path", F.lit("1").alias("run"), F.date_trunc("day", "ts").alias("started"),
+            F.lit(66).alias("total"), F.lit(1).alias("processed"), F.lit(0).alias("errors"),
+        ).withWatermark("started", "30 days")
         stream_queries.drain(feed.track_completion(events), "update")
 
+    def index():
+        """Plan-independent part of the whole job: chunk, embed, store and record all documents."""
+        tables = store.chunk_store(spark, fresh_dir(spark, "c")), store.status_store(spark, fresh_dir(spark, "s"))
+        for table in tables:
+            table.create()
+        docs = t.corpus(spark, sf).selectExpr("path", "text", "mtime_ms", "cast(null as string) error_kind", "'' error_message")
+        indexing.index_files(docs, t.listing(spark, sf), t.registry(spark), *tables, t.NOW_MS)
+
     events = t.events(spark, sf)
     documents = t.documents(spark, sf)
     profile = events.select(F.col("event_type").alias("op"), F.col("value").alias("ms"), F.lit(True).alias("ok"))
@@ -74,6 +83,8 @@ def main() -> None:
         "q6_probe_ivf": lambda: sink(ann.probe_ivf(build_index.index, asked, 10, nprobe=8)),
         "q6_recall": recall,
         "p7_plan_reindex": plan,
+        "index_files": index,
+        "q5_search_text": lambda: sink(search_queries.search_text(spark, sf)),
         "a2_operation_breakdown": lambda: sink(stats.operation_breakdown(profile)),
         "a6_latency_stats": lambda: sink(stats.latency_stats(events, "event_type", "value")),
         "w6_track_completion": completion,

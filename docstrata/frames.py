@@ -63,6 +63,14 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
 
 
+def instant(df: DataFrame, column: str) -> DataFrame:
+    """`column` as a timestamp; times without a zone are UTC, whatever the session's zone."""
+    if dict(df.dtypes)[column] != "timestamp_ntz":
+        return df.withColumn(column, F.col(column).cast("timestamp"))
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return df.withColumn(column, local.cast("timestamp"))
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row result to every row, as a scalar subquery."""
     packed = one_row.select(F.struct("*").alias("__row")).scalar()

@@ -114,6 +114,25 @@ def should_reindex(listing: DataFrame, status: DataFrame, registry: DataFrame, n
     return _current(listing, status, registry).select("path", _reindex_rule(now_ms).alias("reindex"))
 
 
+def rule_for(events: DataFrame, listing: DataFrame, status: DataFrame, registry: DataFrame, now_ms: int) -> DataFrame:
+    """`events(path, ...)` with `enabled` (of the file type) and `due`, the fingerprint-first rule for listed files.
+
+    The events meet the listing and the status table by path; a path with most of the events is salted.
+    """
+    spread = events.columns
+    files = listing.select("path", F.struct("size_bytes", "mtime_ms").alias("__file"))
+    known = status.select("path", F.struct("status", "parser_version", "file_hash", "last_retry").alias("__known"))
+    typed = events.withColumn("__ext", paths.file_type("path"))
+    versions = registry.select(F.col("ext").alias("__ext"), F.col("version").alias("__version"), "enabled")
+    met = salted_join(salted_join(typed.join(versions, "__ext", "left"), files, "path", "left", spread), known, "path", "left", spread)
+    row = met.select(
+        "*", F.col("__known").isNotNull().alias("has_status"), "__known.*", F.col("__version").alias("current_version"),
+        paths.fingerprint("path", F.col("__file.size_bytes"), F.col("__file.mtime_ms")).alias("current_hash"),
+    )
+    due = F.when(F.col("__file").isNotNull(), _reindex_rule(now_ms)).otherwise(False)
+    return row.select(*events.columns, "enabled", due.alias("due"))
+
+
 def scan_changes(
     listing: DataFrame, status: DataFrame, registry: DataFrame, queued: DataFrame, now_ms: int
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,22 @@ def event_stream(spark, sf) -> DataFrame:
     return t.change_feed(raw)
 
 
+def event_batches(spark, sf) -> DataFrame:
+    """The same in three micro-batches in order of time."""
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    cuts = rows.select(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), array(0.33, 0.66))")).first()[0]
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.when(micros <= cuts[0], 0).when(micros <= cuts[1], 1).otherwise(2)
+    path = fresh_dir(spark, "events")
+    for k in range(3):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{path}/part={k}")
+        time.sleep(1.1)  # the file source goes by modification time
+    raw = (
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    )
+    return t.change_feed(raw)
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there; its output with the number of the micro-batch in `batch`."""
     spark = stream.sparkSession
@@ -42,20 +60,21 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def newest(output: DataFrame, key: str) -> DataFrame:
+def newest(output: DataFrame, *key: str) -> DataFrame:
     """Last state of each key over the micro-batches of an update or complete stream."""
     columns = [c for c in output.columns if c != "batch"]
-    return output.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
+    return output.groupBy(*key).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
 
 
 def _with_files(spark, sf, events: DataFrame) -> DataFrame:
     """Events moved from users to files: user n works on document n."""
     files = t.listing(spark, sf).select(F.col("doc_id").alias("user_id"), F.col("path").alias("file"))
-    return events.join(files, "user_id").withColumn("path", F.col("file")).select("event_id", "ts", "path", "op")
+    moved = events.join(files, "user_id", "left").withColumn("path", F.coalesce("file", "path"))
+    return moved.select("event_id", "ts", "path", "op")
 
 
 _FILE_EVENTS = """
-, moved as (select f.event_id, f.ts, l.path, f.op from feed f join listing l on l.doc_id = f.user_id)
+, moved as (select f.event_id, f.ts, coalesce(l.path, f.path) as path, f.op from feed f left join listing l on l.doc_id = f.user_id)
 """
 
 
@@ -178,34 +197,69 @@ def maintain_status(spark, sf):
     )
 
 
-@query(
-    "w5_suppress_in_flight",
-    oracle("select distinct path, md5(concat(path, ':', op)) as fingerprint from feed", "feed"),
+_SUPPRESSED = oracle(
+    """
+, marked as (select event_id, path, op, ts, lag(op) over w as op_before, lag(ts) over w as ts_before from feed
+  window w as (partition by path order by ts, event_id))
+select event_id, path, op from marked where not coalesce(op_before = op and ts - ts_before <= interval 1 hour, false)
+""",
+    "feed",
 )
+
+
+def _marked(events: DataFrame) -> DataFrame:
+    return events.withColumn("fingerprint", F.md5(F.concat_ws(":", "path", "op")))
+
+
+@query("w5_suppress_in_flight", _SUPPRESSED)
 def suppress_in_flight(spark, sf):
-    events = event_stream(spark, sf).withColumn("fingerprint", F.md5(F.concat_ws(":", "path", "op")))
-    return drain(feed.suppress_in_flight(events), "append").select("path", "fingerprint")
+    return drain(feed.suppress_in_flight(_marked(event_stream(spark, sf))), "append").select("event_id", "path", "op")
 
 
-@query(
-    "w6_track_completion",
-    oracle(
-        """
-select path, 66 as total, count(*) as processed, count(*) filter (op = 'unlink') as errors, count(*) >= 66 as complete
-from feed group by path
+@query("w5_suppress_in_batches", _SUPPRESSED)
+def suppress_in_batches(spark, sf):
+    """The same over three micro-batches, so that what was seen before is state."""
+    return drain(feed.suppress_in_flight(_marked(event_batches(spark, sf))), "append").select("event_id", "path", "op")
+
+
+@query("w5_suppress_static", _SUPPRESSED)
+def suppress_static(spark, sf):
+    return feed.suppress_in_flight(_marked(t.events(spark, sf))).select("event_id", "path", "op")
+
+
+_COMPLETION = oracle(
+    """
+select path, epoch_us(date_trunc('day', ts)) as started_us, 3 as total, count(*) as processed,
+       count(*) filter (op = 'unlink') as errors, count(*) >= 3 as complete
+from feed group by path, date_trunc('day', ts)
 """,
-        "feed",
-    ),
+    "feed",
 )
-def track_completion(spark, sf):
-    """Every event is a processed chunk, an unlink a failed one."""
-    chunk_events = event_stream(spark, sf).select(
+
+
+def _completion(stream: DataFrame) -> DataFrame:
+    started = F.date_trunc("day", "ts")
+    chunk_events = stream.select(
         "path",
-        F.lit(66).alias("total"),
+        started.cast("string").alias("run"),
+        started.alias("started"),
+        F.lit(3).alias("total"),
         F.lit(1).alias("processed"),
         F.when(F.col("op") == "unlink", 1).otherwise(0).alias("errors"),
-    )
-    return newest(drain(feed.track_completion(chunk_events), "update"), "path")
+    ).withWatermark("started", "30 days")
+    found = newest(drain(feed.track_completion(chunk_events), "update"), "path", "started")
+    return found.select("path", F.unix_micros("started").alias("started_us"), "total", "processed", "errors", "complete")
+
+
+@query("w6_track_completion", _COMPLETION)
+def track_completion(spark, sf):
+    """Every event is a processed chunk, an unlink a failed one; the events of a day are a run."""
+    return _completion(event_stream(spark, sf))
+
+
+@query("w6_track_in_batches", _COMPLETION)
+def track_in_batches(spark, sf):
+    return _completion(event_batches(spark, sf))
 
 
 _TOTALS = oracle(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata import registry as parsers
-from docstrata.frames import values_frame
+from docstrata.frames import instant, values_frame
 from docstrata.operators import chunking, search
 from docstrata.sources.documents import read_corpus
 
@@ -189,9 +189,9 @@ def change_feed(raw: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "error", "unlink")
         .otherwise("add")
     )
-    return raw.select(
+    return instant(raw, "ts").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         "user_id",
         "event_type",
         "value",

@@ -317,3 +317,38 @@ def test_delete_rewrites_matching_buckets_only(spark, table):
     after = table._newest()
     assert sum(map(len, after.values())) == 4 and len(after[max(after)]) == 1 and max(after) > max(before)
     assert table.delete_where("id = 'none'") is None and table.read().count() == 39
+
+
+def test_listing_changes_and_suppression(spark):
+    from docstrata.streaming import feed
+
+    ddl = "path string, size_bytes long, mtime_ms long"
+    before = spark.createDataFrame([("/a", 1, 1), ("/b", 1, 1), ("/c", 1, None)], ddl)
+    after = spark.createDataFrame([("/a", 2, 1), ("/c", 1, None), ("/d", 1, 1)], ddl)
+    events = feed.listing_changes(before, after, NOW)
+    assert {r["path"]: r["op"] for r in events.collect()} == {"/a": "change", "/b": "unlink", "/d": "add"}
+    rows = [("/x", "add", "f", 0, 1), ("/x", "add", "f", 10, 2), ("/x", "unlink", "f", 20, 3), ("/x", "add", "f", 30, 4), ("/x", "add", "f", 30 + 3601, 5), ("/y", "add", "f", 5, 6)]
+    frame = spark.createDataFrame(rows, "path string, op string, fingerprint string, at long, event_id long").selectExpr("*", "timestamp_seconds(at) as ts")
+    assert sorted(r["event_id"] for r in feed.suppress_in_flight(frame).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from docstrata import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_times_without_zone_are_utc(spark):
+    from docstrata.frames import instant
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' as ts").transform(instant, "ts").selectExpr("unix_seconds(ts) s").first()
+        assert row["s"] == 1_704_067_200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
