@@ -35,7 +35,8 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 STEPS = 1024  # of a decade
 SHARD_WORDS = 1 << 18
-GATHER = 1 << 20  # n-grams a task sums up before it hands them on
+SHARD_TOKENS = 1 << 25
+GATHER = 1 << 21  # n-grams a task sums up before it hands them on
 
 #: Words are 63-bit hashes; these two are no word's.
 END, BEGIN = 1, 2
@@ -57,39 +58,62 @@ def token_stream(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return stream, np.concatenate([[0], ends])
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns, in order, and their summed counts."""
-    if not len(columns[0]):
-        return columns, np.zeros(0, dtype=np.int64)
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(first)
-    held = np.ones(len(order), dtype=np.int64) if counts is None else counts[order]
-    return [c[at] for c in columns], np.add.reduceat(held, at)
-
-
-def _counted(texts: DataFrame, grams, names: list[str]) -> DataFrame:
-    """Sums of the n-grams that `grams(part)` gives as columns, over all texts (text)."""
+def _packs(limits: list[int]) -> bool:
+    """Whether rows of numbers below the limits fit into one number each."""
+    return len(limits) == 1 or math.prod(limits) < 1 << 63
+
+
+def _packed(columns: list[np.ndarray], limits: list[int]) -> list[np.ndarray]:
+    """The columns as one, which is smaller and sorts faster, if they fit."""
+    if not _packs(limits):
+        return columns
+    key = columns[0].copy()
+    for column, limit in zip(columns[1:], limits[1:], strict=True):
+        key *= limit
+        key += column
+    return [key]
+
+
+def _sums(columns: list[np.ndarray], limits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of what `_packed` gave, in order and unpacked, and how often each occurs."""
+    if _packs(limits):
+        columns = [np.sort(columns[0])]
+    else:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+    n = len(columns[0])
+    fresh = np.ones(n, dtype=bool)
+    if n:
+        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(fresh)
+    columns, counts = [c[at] for c in columns], np.diff(at, append=n)
+    if _packs(limits):
+        key, columns = columns[0], []
+        for limit in limits[:0:-1]:
+            key, column = np.divmod(key, limit)
+            columns.insert(0, column)
+        columns.insert(0, key)
+    return columns, counts
+
+
+def _counted(texts: DataFrame, grams, names: list[str], limits: list[int]) -> DataFrame:
+    """Sums of the n-grams that `grams(part)` gives as columns of numbers below the limits, over all texts (text)."""
 
     def count(batches):
         held, n = [], 0
         for batch in batches:
             for _, part in pieces(batch.column(0)):
-                found = _summed(grams(part))
-                held.append(found)
-                n += len(found[1])
+                held.append(_packed(grams(part), limits))
+                n += len(held[-1][0])
                 if n >= GATHER:
-                    yield from flush(held)
+                    yield flush(held)
                     held, n = [], 0
-        yield from flush(held)
+        if held:
+            yield flush(held)
 
     def flush(held):
-        if held:
-            columns = [np.concatenate([h[0][k] for h in held]) for k in range(len(names))]
-            columns, counts = _summed(columns, np.concatenate([h[1] for h in held]))
-            yield pa.record_batch([pa.array(c) for c in [*columns, counts]], names=[*names, "c"])
+        columns, counts = _sums([np.concatenate(c) for c in zip(*held, strict=True)], limits)
+        return pa.record_batch([pa.array(c, pa.int64()) for c in [*columns, counts]], names=[*names, "c"])
 
     found = texts.mapInArrow(count, ", ".join(f"{k} long" for k in [*names, "c"]))
     return found.groupBy(*names).agg(F.sum("c").alias("c"))
@@ -327,10 +351,11 @@ def train(texts: DataFrame) -> Facts:
     path = fresh_dir(spark, "lm")
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
 
-    vocabulary = settle(_counted(texts, lambda part: [token_stream(part)[0]], ["word"]), "lm-words")
+    vocabulary = settle(_counted(texts, lambda part: [token_stream(part)[0]], ["word"], [1 << 63]), "lm-words")
     row = vocabulary.where(F.col("word") != BEGIN).agg(F.sum("c"), F.count("*"), F.lit(1)).first()
     tokens, types = int(row[0] or 0), int(row[1])
-    n_shards = 1 << max(0, math.ceil(math.log2(max(types, 1) / SHARD_WORDS)))
+    # A shard of the model is built by one task: its words and, roughly, the tokens it stands for are bounded.
+    n_shards = 1 << max(0, math.ceil(math.log2(max(types / SHARD_WORDS, tokens / SHARD_TOKENS, 1))))
     shift = 63 - n_shards.bit_length() + 1
 
     def words(key: tuple, table: pa.Table) -> pa.Table:
@@ -384,9 +409,9 @@ def train(texts: DataFrame) -> Facts:
         save(f"{path}/level2/{s}", Level.arrays(len(seen), a, b, p, back) | {"counts": c})
         return pa.table({"s": [s], "n": [len(a)]})
 
-    kept = _counted(texts, pairs, ["s", "a", "b"]).where(F.col("c") >= LEAST_COUNT)
+    kept = _counted(texts, pairs, ["s", "a", "b"], [n_shards, bases[-1], bases[-1]]).where(F.col("c") >= LEAST_COUNT)
     none = spark.range(n_shards).select(F.col("id").alias("s"), *[F.lit(None).cast("long").alias(k) for k in ("a", "b", "c")])
-    sharded(kept.unionByName(none), level2)
+    n_pairs = max(sharded(kept.unionByName(none), level2).values())
 
     def triples(part: pa.Array) -> list[np.ndarray]:
         stream, ids, counts = pair_ids(part)
@@ -416,7 +441,7 @@ def train(texts: DataFrame) -> Facts:
         save(f"{path}/level3/{s}", Level.arrays(len(seen), node, rank, p, back))
         return pa.table({"s": [s], "n": [len(node)]})
 
-    kept = _counted(texts, triples, ["s", "node", "rank"]).where(F.col("c") >= LEAST_COUNT)
+    kept = _counted(texts, triples, ["s", "node", "rank"], [n_shards, n_pairs, bases[-1]]).where(F.col("c") >= LEAST_COUNT)
     none = spark.range(n_shards).select(F.col("id").alias("s"), *[F.lit(None).cast("long").alias(k) for k in ("node", "rank", "c")])
     sharded(kept.unionByName(none), level3)
     return facts

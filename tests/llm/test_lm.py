@@ -111,3 +111,14 @@ def test_edges(spark):
     assert lm.score_documents(frame.where("false")).count() == 0
     only = lm.score_documents(frame.where("doc_id is null")).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in only] == [(True, 0, 0, 0.0, 0.0)]
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 4, 500), rng.integers(0, 9, 500), rng.integers(0, 5, 500)]
+    want = sorted(Counter(zip(*[c.tolist() for c in columns])).items())
+    for limits in ([4, 9, 5], [1 << 30, 1 << 30, 1 << 30]):
+        found, counts = lm._sums(lm._packed(columns, limits), limits)
+        assert list(zip(zip(*[c.tolist() for c in found]), counts.tolist())) == want
+        found, counts = lm._sums(lm._packed([c[:0] for c in columns], limits), limits)
+        assert len(counts) == 0 and all(len(c) == 0 for c in found)
