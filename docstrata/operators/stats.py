@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.frames import attach, values_frame
 from docstrata.functions import paths
 from docstrata.operators import lookups
+from docstrata.session import fresh_dir
 
 # Operation -> share of total time (percent) above which it is a bottleneck.
 BOTTLENECKS = [("embedding", 40.0), ("parsing", 30.0), ("dbWrite", 20.0), ("hashCheck", 10.0)]
@@ -17,9 +18,6 @@ BOTTLENECKS = [("embedding", 40.0), ("parsing", 30.0), ("dbWrite", 20.0), ("hash
 # The percentiles of a latency report.
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
-# Histogram slots per level of the percentile search.
-SLOTS = 4096
-
 
 def index_stats(chunks: DataFrame, status: DataFrame, listing: DataFrame, folders: DataFrame) -> DataFrame:
     """`(folder, total_files, indexed_files, all_chunks, all_indexed)`, one row per watched folder.
@@ -127,31 +125,28 @@ def run_summary(files: DataFrame, memory: DataFrame) -> DataFrame:
     )
 
 
-def _slot(value: Column, low: Column, high: Column) -> Column:
-    """Order-preserving slot of a value between two bounds."""
-    width = high - low
-    return F.when(width > 0, F.floor(F.least((value - low) / width, F.lit(1.0)) * (SLOTS - 1))).otherwise(0).cast("int")
-
-
 def latency_stats(samples: DataFrame, by: str, value: str = "ms") -> DataFrame:
     """`(by, samples, min, max, avg, p50, p95, p99)`, a percentile being the element at place `floor(n * p)` of
     the sorted values.
 
-    No group is ever sorted whole. Equal values are counted first; the counts go into order-preserving slots,
-    and again into the sub-slots of the few slots that hold a wanted place; only the distinct values of a
-    sub-slot are ranked. Every step reduces before its shuffle, and slots depend on the data alone, so a
-    recomputed task gives the same ones.
+    No group is ever sorted whole, whatever its size or the spread of its values. Equal values are counted first; the
+    counts are dealt into slices by range of (group, value), written, and summed by slice; only the slice that holds a
+    wanted place is ranked.
     """
+    spark = samples.sparkSession
     rows = samples.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
     counted = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
-    bounds = counted.groupBy("g").agg(
-        F.sum("c").alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("avg"),
-    )
-    first = counted.join(bounds.drop("avg"), "g").withColumn(
-        "s1", _slot(F.col("v"), F.col("low"), F.col("high"))
+    dealt = counted.repartitionByRange("g", "v").withColumn("slice", F.spark_partition_id())
+    path = fresh_dir(spark, "ranks")
+    dealt.write.parquet(path)
+    held = spark.read.schema(dealt.schema).parquet(path)
+    slices = held.groupBy("g", "slice").agg(
+        F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v") * F.col("c")).alias("total")
+    )
+    earlier = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    groups = slices.groupBy("g").agg(
+        F.sum("c").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("total") / F.sum("c")).alias("avg")
     )
     places = F.array(
         *[
@@ -160,40 +155,23 @@ def latency_stats(samples: DataFrame, by: str, value: str = "ms") -> DataFrame:
         ]
     )
 
-    def before(keys: list[str], order: str) -> Column:
-        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("c").over(earlier), F.lit(0))
-
     def holds(at: Column) -> Column:
         return (at >= F.col("before")) & (at < F.col("before") + F.col("c"))
 
-    level1 = (
-        first.groupBy("g", "s1")
-        .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("n").alias("n"))
-        .withColumn("before", before(["g"], "s1"))
-        .select("g", "s1", "lo", "hi", "before", F.explode(F.filter(places, lambda t: holds(t["at"]))).alias("t"))
-        .select("g", "s1", "lo", "hi", F.col("t.p").alias("p"), (F.col("t.at") - F.col("before")).alias("at"))
-    )
-    second = (
-        first.select("g", "s1", "v", "c")
-        .join(level1, ["g", "s1"])
-        .withColumn("s2", _slot(F.col("v"), F.col("lo"), F.col("hi")))
-    )
-    level2 = (
-        second.groupBy("g", "p", "s2")
-        .agg(F.sum("c").alias("c"), F.max("at").alias("at"))
-        .withColumn("before", before(["g", "p"], "s2"))
-        .where(holds(F.col("at")))
-        .select("g", "p", "s2", (F.col("at") - F.col("before")).alias("rest"))
+    wanted = (
+        slices.join(groups.select("g", "n"), "g")
+        .select("g", "slice", "before", F.explode(F.filter(places, lambda t: holds(t["at"]))).alias("t"))
+        .select("g", "slice", F.col("t.p").alias("p"), (F.col("t.at") - F.col("before")).alias("rest"))
     )
+    inside = Window.partitionBy("g", "slice", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     picked = (
-        second.join(level2, ["g", "p", "s2"])
-        .withColumn("before", before(["g", "p"], "v"))
+        held.join(wanted, ["g", "slice"])
+        .withColumn("before", F.coalesce(F.sum("c").over(inside), F.lit(0)))
         .where(holds(F.col("rest")))
         .groupBy("g")
         .agg(*[F.max(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in PERCENTILES])
     )
-    return bounds.join(picked, "g").select(
+    return groups.join(picked, "g").select(
         F.col("g").alias(by),
         F.col("n").alias("samples"),
         F.col("low").alias("min"),

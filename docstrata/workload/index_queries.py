@@ -604,3 +604,12 @@ def report_json(spark, sf):
     report = reindex.plan_stats(_plan(spark, sf))
     reports.write_report(report, path, "json")
     return spark.read.schema(report.schema).json(path)
+
+
+@query("s10_report_csv", oracle(_STATS, "plan"))
+def report_csv(spark, sf):
+    path = fresh_dir(spark, "report")
+    report = reindex.plan_stats(_plan(spark, sf))
+    reports.write_report(report, path, "csv")
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
