@@ -132,7 +132,9 @@ def judged(
     ignored.
     """
     scored = settle(measured(docs, id_col, text_col, host_col), "quality")
-    verdicts = host_verdicts(scored.select("host", "base_failed"), rate_most)
+    # A written table has a known size: a short list of hosts is planned as a broadcast, a long one as a join that Spark
+    # can split at a hot host.
+    verdicts = settle(host_verdicts(scored.select("host", "base_failed"), rate_most), "hosts")
     return scored.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"),
@@ -141,10 +143,10 @@ def judged(
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", rate_most: float = HOST_RATE_MOST) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept. Judged in place: whole texts are not shuffled."""
+    """The rows of `docs`, all columns, that are kept. Documents are judged where they are read."""
     good = docs.withColumn("__rules", rules(F.col(text_col))).where(~fails("__rules")).drop("__rules")
     scored = measured(docs, text_col, text_col, host_col).select("host", "base_failed")
-    bad = host_verdicts(scored, rate_most).where("not host_kept").select(F.col("host").alias("__host"))
+    bad = settle(host_verdicts(scored, rate_most).where("not host_kept").select(F.col("host").alias("__host")), "bad-hosts")
     return good.join(bad, F.col(host_col).cast("string") == F.col("__host"), "left_anti")
 
 
