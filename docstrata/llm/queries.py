@@ -85,7 +85,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.SQL,
-    "op3_language_id": op3_language_id,
     "op4_line_dedup": line_dedup.SQL,
     "op5_host_quality": quality.SQL,
 }
