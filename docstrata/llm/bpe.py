@@ -291,8 +291,21 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     empty result; other columns are ignored. `path` names a file that every executor has. No shuffle: a text is encoded
     where it is read.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col).cast("string"), path).alias("ids"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", decode(F.col("ids"), path).alias("decoded"))
+
+    def roundtrip(texts: pa.Array) -> pa.Array:
+        own = codec(path)
+        ids, decoded = [], []
+        for k in range(0, len(texts), SLICE_ROWS):
+            found = own.encode_all([t or "" for t in texts.slice(k, SLICE_ROWS).to_pylist()])
+            ids.append(pa.array(found, pa.list_(pa.int32())))
+            decoded.append(pa.array([own.decode(i) for i in found], pa.string()))
+        columns = [pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32())), pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())]
+        return pa.StructArray.from_arrays(columns, names=["ids", "decoded"])
+
+    # One function for both: as two, Spark would encode once for the ids and once more for what is decoded.
+    run = F.arrow_udf(roundtrip, "struct<ids: array<int>, decoded: string>")
+    found = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("r"))
+    return found.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids", "r.decoded")
 
 
 def digests(tokens: DataFrame, *more: str) -> DataFrame:
