@@ -4,8 +4,10 @@ Spark counts words, pairs and triples of the training texts; tasks write the mod
 ids, below the cluster's shared folder, and the tasks that score map its files into memory.
 
 Level 1 holds the hashes of all words; a word's id is its place in their order. Level 2 holds the followers of each word
-and level 3 those of each pair, kept if they were seen `LEAST_COUNT` times (a triple then has both its pairs in level 2).
-Followers are summed up along their level, so that each level is one monotone sequence, and monotone pointers mark where
+and level 3 those of each pair, whatever their counts. (With a `LEAST_COUNT` above 1 rarer ones are left out; a triple
+that is kept has both its pairs in level 2.) A shard of words whose contexts stand for many tokens is split into cells by
+ranges of the follower's id, so that no task holds all that follows a very frequent word; the triples of a pair lie in
+the pair's cell. Followers are summed up along their level, so that each level is one monotone sequence, and monotone pointers mark where
 each context's followers end. A triple's last word is not an id but its place among the followers of the middle word
 (context-relative), which is smaller and is known from level 2 when the pair is looked up.
 
@@ -32,10 +34,11 @@ from docstrata.llm.shared import pieces, settle, word_hashes
 from docstrata.session import fresh_dir
 
 DISCOUNT = 0.75
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 STEPS = 1024  # of a decade
 SHARD_WORDS = 1 << 18
-SHARD_TOKENS = 1 << 25
+SHARD_TOKENS = 1 << 22
+CELL_TOKENS = 1 << 23  # a shard that stands for more, because of frequent words, is split by followers
 GATHER = 1 << 21  # n-grams a task sums up before it hands them on
 
 #: Words are 63-bit hashes; these two are no word's.
@@ -74,19 +77,21 @@ def _packed(columns: list[np.ndarray], limits: list[int]) -> list[np.ndarray]:
     return [key]
 
 
-def _sums(columns: list[np.ndarray], limits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of what `_packed` gave, in order and unpacked, and how often each occurs."""
-    if _packs(limits):
+def _sums(columns: list[np.ndarray], limits: list[int], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of what `_packed` gave, in order and unpacked, and how often each occurs or the sum of its weights."""
+    if _packs(limits) and weights is None:
         columns = [np.sort(columns[0])]
     else:
-        order = np.lexsort(columns[::-1])
+        order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
+        weights = weights[order] if weights is not None else None
     n = len(columns[0])
     fresh = np.ones(n, dtype=bool)
     if n:
         fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     at = np.flatnonzero(fresh)
-    columns, counts = [c[at] for c in columns], np.diff(at, append=n)
+    counts = np.diff(at, append=n) if weights is None or not n else np.add.reduceat(weights, at)
+    columns = [c[at] for c in columns]
     if _packs(limits):
         key, columns = columns[0], []
         for limit in limits[:0:-1]:
@@ -96,6 +101,66 @@ def _sums(columns: list[np.ndarray], limits: list[int]) -> tuple[list[np.ndarray
     return columns, counts
 
 
+def _body(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Columns of sorted rows and their counts in few bytes: differences, by bytes of equal rank, compressed."""
+    numbers = [*[np.diff(c, prepend=0) for c in columns], counts]
+    planes = np.concatenate([np.ascontiguousarray(x, dtype="<i8").view(np.uint8).reshape(-1, 8).T.ravel() for x in numbers])
+    return len(counts).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _columns(body: bytes, n_columns: int) -> list[np.ndarray]:
+    """The columns and counts of a `_body`."""
+    n = int.from_bytes(body[:8], "little")
+    planes = np.frombuffer(pa.decompress(body[8:], 8 * n * (n_columns + 1), codec="zstd", asbytes=True), np.uint8)
+    numbers = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes.reshape(n_columns + 1, 8, n)]
+    return [*[np.cumsum(x) for x in numbers[:-1]], numbers[-1]]
+
+
+def _by_cell(texts: DataFrame, grams, limits: list[int]) -> DataFrame:
+    """Rows (s, body): what the tasks have summed up of the n-grams that `grams(part)` gives as columns of numbers below
+    the limits, the first of them the cell `s`. A cell's rows may repeat an n-gram; it has as many as tokens at most."""
+
+    def count(batches):
+        held, n = [], 0
+        for batch in batches:
+            for _, part in pieces(batch.column(0)):
+                held.append(_packed(grams(part), limits))
+                n += len(held[-1][0])
+                if n >= GATHER:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held):
+        columns, counts = _sums([np.concatenate(c) for c in zip(*held, strict=True)], limits)
+        cells, bodies = [], []
+        for cell, part in _runs(columns[0]):
+            cells.append(cell)
+            bodies.append(_body(_packed([c[part] for c in columns[1:]], limits[1:]), counts[part]))
+        return pa.record_batch([pa.array(cells, pa.int64()), pa.array(bodies, pa.binary())], names=["s", "body"])
+
+    return texts.mapInArrow(count, "s long, body binary")
+
+
+def _cell_sums(table: pa.Table, limits: list[int]) -> tuple[np.ndarray, ...]:
+    """The columns after `s`, and the counts, of a cell's n-grams seen `LEAST_COUNT` times, in order."""
+    width = 1 if _packs(limits[1:]) else len(limits) - 1
+    parts = [_columns(b.as_buffer().to_pybytes(), width) for b in table.column("body").drop_null()]
+    if not parts:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in limits)
+    *columns, counts = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    columns, counts = _sums(columns, limits[1:], counts)
+    often = counts >= LEAST_COUNT
+    return *[c[often] for c in columns], counts[often]
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, slice]]:
+    """(key, slice) of ascending keys."""
+    heads = np.flatnonzero(np.diff(keys, prepend=-1)).tolist()
+    return [(int(keys[a]), slice(a, b)) for a, b in zip(heads, [*heads[1:], len(keys)])]
+
+
 def _counted(texts: DataFrame, grams, names: list[str], limits: list[int]) -> DataFrame:
     """Sums of the n-grams that `grams(part)` gives as columns of numbers below the limits, over all texts (text)."""
 
@@ -183,17 +248,19 @@ class Level:
     backoff: np.ndarray  # of the contexts
 
     @staticmethod
-    def arrays(n_contexts: int, context: np.ndarray, follower: np.ndarray, p: np.ndarray, backoff: np.ndarray) -> dict:
-        """Files of a level; the rows are in order of (context, follower)."""
+    def sequences(n_contexts: int, context: np.ndarray, follower: np.ndarray) -> dict:
+        """Files of a level's followers; the rows are in order of (context, follower)."""
         ends = np.cumsum(np.bincount(context, minlength=n_contexts)) if len(context) else np.zeros(n_contexts, np.int64)
-        return {
-            **sequence_arrays("ends", EliasFano.build(ends)), **sequence_arrays("sums", EliasFano.build(summed_up(ends, follower))),
-            "probability": quantise(p), "backoff": quantise(backoff),
-        }
+        return {**sequence_arrays("ends", EliasFano.build(ends)), **sequence_arrays("sums", EliasFano.build(summed_up(ends, follower)))}
+
+    @staticmethod
+    def weights(p: np.ndarray, backoff: np.ndarray) -> dict:
+        return {"probability": quantise(p), "backoff": quantise(backoff)}
 
     @staticmethod
-    def load(folder: str) -> Level:
-        return Level(load_sequence(folder, "ends"), load_sequence(folder, "sums"), load(folder, "probability"), load(folder, "backoff"))
+    def load(folder: str, weighed: bool = True) -> Level:
+        weights = [load(folder, k) if weighed else np.zeros(0, np.uint16) for k in ("probability", "backoff")]
+        return Level(load_sequence(folder, "ends"), load_sequence(folder, "sums"), *weights)
 
     def start(self, context: np.ndarray) -> np.ndarray:
         """Place of the first follower of each context."""
@@ -217,10 +284,11 @@ class Level:
 
     def follower(self, place: np.ndarray) -> np.ndarray:
         """The follower at each place."""
-        # The context is the first whose end lies beyond the place.
-        ends = self.ends.access(np.arange(self.ends.size))
-        context = np.searchsorted(ends, place, "right")
-        return self.sums.access(place) - self.base(self.start(context)) - 1
+        return self.sums.access(place) - self.base(self.start(self.context(place))) - 1
+
+    def context(self, place: np.ndarray) -> np.ndarray:
+        """The context at each place: the first whose end lies beyond it."""
+        return np.searchsorted(self.ends.access(np.arange(self.ends.size)), place, "right")
 
 
 def summed_up(ends: np.ndarray, follower: np.ndarray) -> np.ndarray:
@@ -246,6 +314,7 @@ class Facts:
     types: int  # V
     shift: int  # shard of a word = hash >> shift
     bases: tuple[int, ...]  # first id of each shard, and the number of ids
+    cells: tuple[int, ...]  # first cell of each shard, and the number of cells
 
 
 class Model:
@@ -256,12 +325,28 @@ class Model:
         self.bases = np.array(facts.bases, dtype=np.int64)
         self.words = [load_sequence(f"{facts.path}/words/{s}", "words") for s in range(len(self.bases) - 1)]
         self.counts = [load(f"{facts.path}/words/{s}", "counts") for s in range(len(self.bases) - 1)]
-        self.levels: dict[int, list[Level]] = {}
+        self.cells = np.array(facts.cells, dtype=np.int64)
+        self.levels: dict[tuple[int, int], Level] = {}
+
+    def level(self, n: int, cell: int) -> Level:
+        if (n, cell) not in self.levels:
+            self.levels[n, cell] = Level.load(f"{self.facts.path}/level{n}/{cell}")
+        return self.levels[n, cell]
+
+    def cell(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The cell of pairs of ids. Without a follower (-1) the shard's first: a context's backoff is in all of its cells."""
+        shard = np.searchsorted(self.bases, a, "right") - 1
+        first, n = self.cells[shard], np.diff(self.cells)[shard]
+        return first + np.maximum(b, 0) * n // max(int(self.bases[-1]), 1)
+
+    def shard_of(self, cell: int) -> int:
+        return int(np.searchsorted(self.cells, cell, "right")) - 1
 
-    def level(self, n: int) -> list[Level]:
-        if n not in self.levels:
-            self.levels[n] = [Level.load(f"{self.facts.path}/level{n}/{s}") for s in range(len(self.bases) - 1)]
-        return self.levels[n]
+    def first_follower(self, cell: np.ndarray) -> np.ndarray:
+        """The least id that a follower in the cell can have."""
+        shard = np.searchsorted(self.cells, cell, "right") - 1
+        n = np.diff(self.cells)[shard]
+        return -(-(cell - self.cells[shard]) * self.bases[-1] // n)
 
     def _by_shard(self, keys: np.ndarray, bounds: np.ndarray):
         """(shard, slice) of ascending keys."""
@@ -282,24 +367,29 @@ class Model:
         return ids[back], counts[back]
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(shard of a, place, rank, log10 p, log10 backoff of a) of pairs of ids; place is -1 where the pair is not
-        kept, the backoff 0 where a is unknown."""
+        """(cell, place, rank, log10 p, log10 backoff of a) of pairs of ids; place is -1 where the pair is not kept, the
+        backoff 0 where a is unknown. Ranks count from the least id of the cell, so they name the cell too, ascend with
+        the follower and stay below the number of ids."""
         live = np.flatnonzero(a >= 0)
-        live = live[np.argsort(a[live], kind="stable")]
-        shard, place, rank = np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)
+        homes = self.cell(a[live], b[live])
+        order = np.lexsort((a[live], homes))
+        live, homes = live[order], homes[order]
+        cell, place, rank = np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)
         logp, backoff = np.zeros(len(a)), np.zeros(len(a))
-        for s, part in self._by_shard(a[live], self.bases):
-            at, level = live[part], self.level(2)[s]
-            context = a[at] - self.bases[s]
+        cell[live] = homes
+        for c, part in _runs(homes):
+            at = live[part]
+            level = self.level(2, c)
+            context = a[at] - self.bases[self.shard_of(c)]
             fresh = np.ones(len(at), dtype=bool)
             fresh[1:] = context[1:] != context[:-1]
             contexts, back = context[fresh], np.cumsum(fresh) - 1
-            shard[at] = s
-            place[at], rank[at] = found, _ = level.find(contexts, back, b[at])
+            found, ranks = level.find(contexts, back, b[at])
+            place[at], rank[at] = found, np.where(found >= 0, ranks + self.first_follower(c), -1)
             backoff[at] = decades(level.backoff[contexts])[back]
             hit = found >= 0
             logp[at[hit]] = decades(level.probability[found[hit]])
-        return shard, place, rank, logp, backoff
+        return cell, place, rank, logp, backoff
 
     def score(self, part: pa.Array) -> list[np.ndarray]:
         """n_tokens, n_known, base_score, score of the rows of a slice from `pieces`."""
@@ -312,16 +402,16 @@ class Model:
         before[~token] = -1
         # A pair is kept only if both its words were seen often enough.
         often = token & (counts >= LEAST_COUNT) & (np.concatenate([[0], counts[:-1]]) >= LEAST_COUNT)
-        shard, place, rank, logp, backoff = self.pairs(before, np.where(often, ids, -1))
+        cell, place, rank, logp, backoff = self.pairs(before, np.where(often, ids, -1))
 
         total = np.where(place >= 0, logp, backoff + single)
 
         # The pair before a token is its context in level 3.
-        context, home = np.concatenate([[-1], place[:-1]]), np.concatenate([[-1], shard[:-1]])
+        context, home = np.concatenate([[-1], place[:-1]]), np.concatenate([[-1], cell[:-1]])
         context[~token] = -1
         for s in np.unique(home[context >= 0]):
             at = np.flatnonzero((home == s) & (context >= 0))
-            level = self.level(3)[s]
+            level = self.level(3, int(s))
             found, _ = level.find(*np.unique(context[at], return_inverse=True), rank[at])
             hit = found >= 0
             total[at] += np.where(hit, 0.0, decades(level.backoff[context[at]]))
@@ -360,25 +450,28 @@ def train(texts: DataFrame) -> Facts:
 
     def words(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
+        table = table.drop_null()
         word, count = table.column("word").to_numpy(), table.column("c").to_numpy()
         order = np.argsort(word)
         save(f"{path}/words/{s}", {**sequence_arrays("words", EliasFano.build(word[order] - (s << shift))), "counts": count[order]})
-        return pa.table({"s": [s], "n": [len(word)]})
+        return pa.table({"s": [s], "n": [len(word)], "c": [int(count.sum())]})
 
     # A row for each shard, so that one without words has its files too. The word 0 stands for none.
     every = spark.range(n_shards).select(F.col("id").alias("s"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("c"))
 
-    def sharded(rows: DataFrame, build) -> dict[int, int]:
-        """`build` of the rows of each shard, in a task each; its count by shard."""
+    def sharded(rows: DataFrame, build) -> dict[int, tuple[int, int]]:
+        """`build` of the rows of each shard or cell, in a task each; its counts by shard or cell."""
         def of(key: tuple, table: pa.Table) -> pa.Table:
-            return build(key, table.drop_null())
+            return build(key, table)
 
-        return {r.s: r.n for r in rows.groupBy("s").applyInArrow(of, "s long, n long").collect()}
+        return {r.s: (r.n, r.c) for r in rows.groupBy("s").applyInArrow(of, "s long, n long, c long").collect()}
 
     home = F.expr(f"shiftright(word, {shift})") if shift < 63 else F.lit(0)
     sizes = sharded(vocabulary.select(home.cast("long").alias("s"), "word", "c").unionByName(every), words)
-    bases = (0, *np.cumsum([sizes[s] for s in range(n_shards)]).tolist())
-    facts = Facts(path, tokens, types, shift, bases)
+    bases = (0, *np.cumsum([sizes[s][0] for s in range(n_shards)]).tolist())
+    cells = (0, *np.cumsum([max(1, -(-sizes[s][1] // CELL_TOKENS)) for s in range(n_shards)]).tolist())
+    n_cells = cells[-1]
+    facts = Facts(path, tokens, types, shift, bases, cells)
 
     def pair_ids(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stream, _ = token_stream(part)
@@ -390,60 +483,87 @@ def train(texts: DataFrame) -> Facts:
         # A pair cannot be seen more often than its words.
         good = (stream[1:] != BEGIN) & (counts[1:] >= LEAST_COUNT) & (counts[:-1] >= LEAST_COUNT)
         a, b = ids[:-1][good], ids[1:][good]
-        return [np.searchsorted(np.array(facts.bases), a, "right") - 1, a, b]
+        return [_opened(facts).cell(a, b), a, b]
 
     def level2(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        a, b, c = (table.column(k).to_numpy() for k in ("a", "b", "c"))
-        order = np.lexsort((b, a))
-        a, b, c = a[order] - facts.bases[s], b[order], c[order]
+        cell = key[0].as_py()
+        a, b, c = _cell_sums(table, pair_limits)
+        model = _opened(facts)
+        s = model.shard_of(cell)
+        a = a - facts.bases[s]
+        mass = np.bincount(a, c - DISCOUNT, minlength=len(model.counts[s])).astype(np.float64)
+        save(f"{path}/level2/{cell}", Level.sequences(len(mass), a, b) | {"counts": c, "mass": mass})
+        if facts.cells[s + 1] - facts.cells[s] == 1:
+            weigh2(cell, a, b, c, mass)
+        return pa.table({"s": [cell], "n": [len(a)], "c": [0]})
+
+    def weigh2(cell: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, mass: np.ndarray) -> None:
+        """Probabilities of a cell; `mass` is what the followers of each context take in all cells of the shard."""
         model = _opened(facts)
+        s = model.shard_of(cell)
         seen = model.counts[s].astype(np.float64)
-        back = 1 - np.bincount(a, c - DISCOUNT, minlength=len(seen)) / seen if len(seen) else seen
+        back = 1 - mass / seen if len(seen) else seen
         single = np.zeros(len(b))
         by_b = np.argsort(b, kind="stable")
         for t, cut in model._by_shard(b[by_b], model.bases):
             single[by_b[cut]] = model.counts[t][b[by_b[cut]] - facts.bases[t]]
         single = (single + 0.5) / (tokens + 0.5 * (types + 1))
         p = (c - DISCOUNT) / seen[a] + back[a] * single if len(a) else single
-        save(f"{path}/level2/{s}", Level.arrays(len(seen), a, b, p, back) | {"counts": c})
-        return pa.table({"s": [s], "n": [len(a)]})
+        save(f"{path}/level2/{cell}", Level.weights(p, back))
 
-    kept = _counted(texts, pairs, ["s", "a", "b"], [n_shards, bases[-1], bases[-1]]).where(F.col("c") >= LEAST_COUNT)
-    none = spark.range(n_shards).select(F.col("id").alias("s"), *[F.lit(None).cast("long").alias(k) for k in ("a", "b", "c")])
-    n_pairs = max(sharded(kept.unionByName(none), level2).values())
+    def finish2(batches):
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                s = _opened(facts).shard_of(cell)
+                level = Level.load(f"{path}/level2/{cell}", weighed=False)
+                mass = sum(load(f"{path}/level2/{k}", "mass") for k in range(facts.cells[s], facts.cells[s + 1]))
+                at = np.arange(level.sums.size)
+                weigh2(cell, level.context(at), level.follower(at), load(f"{path}/level2/{cell}", "counts"), mass)
+                yield pa.record_batch([pa.array([cell], pa.int64())], names=["s"])
+
+    def dealt(grams, limits: list[int]) -> DataFrame:
+        """The n-grams by cell, and a row for each cell, so that one without any has its files too."""
+        none = spark.range(n_cells).select(F.col("id").alias("s"), F.lit(None).cast("binary").alias("body"))
+        return _by_cell(texts, grams, limits).unionByName(none)
+
+    pair_limits = [n_cells, bases[-1], bases[-1]]
+    n_pairs = max(n for n, _ in sharded(dealt(pairs, pair_limits), level2).values())
+    split = [k for s in range(n_shards) if cells[s + 1] - cells[s] > 1 for k in range(cells[s], cells[s + 1])]
+    if split:
+        spark.createDataFrame([(k,) for k in split], "s long").repartition(len(split)).mapInArrow(finish2, "s long").count()
 
     def triples(part: pa.Array) -> list[np.ndarray]:
         stream, ids, counts = pair_ids(part)
         ids = np.where(counts >= LEAST_COUNT, ids, -1)
         before = np.concatenate([[-1], ids[:-1]])
         before[stream == BEGIN] = -1
-        shard, place, rank, *_ = _opened(facts).pairs(before, ids)
+        cell, place, rank, *_ = _opened(facts).pairs(before, ids)
         good = (place[:-1] >= 0) & (place[1:] >= 0)
-        return [shard[:-1][good], place[:-1][good], rank[1:][good]]
+        return [cell[:-1][good], place[:-1][good], rank[1:][good]]
 
     def level3(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        node, rank, c = (table.column(k).to_numpy() for k in ("node", "rank", "c"))
-        order = np.lexsort((rank, node))
-        node, rank, c = node[order], rank[order], c[order]
+        cell = key[0].as_py()
+        node, rank, c = _cell_sums(table, triple_limits)
         model = _opened(facts)
-        seen = load(f"{path}/level2/{s}", "counts").astype(np.float64)
+        seen = load(f"{path}/level2/{cell}", "counts").astype(np.float64)
         back = 1 - np.bincount(node, c - DISCOUNT, minlength=len(seen)) / seen if len(seen) else seen
         below = np.zeros(len(node))
         if len(node):
-            middle = model.level(2)[s].follower(node)
-            by = np.argsort(middle, kind="stable")
-            for t, cut in model._by_shard(middle[by], model.bases):
-                at, level = by[cut], model.level(2)[t]
-                below[at] = decades(level.probability[level.start(middle[at] - facts.bases[t]) + rank[at]])
+            middle = model.level(2, cell).follower(node)
+            # The rank is the last word's, among the followers of the middle one.
+            homes = model.cell(middle, rank)
+            by = np.argsort(homes, kind="stable")
+            for home, part in _runs(homes[by]):
+                at = by[part]
+                level = model.level(2, home)
+                context = middle[at] - facts.bases[model.shard_of(home)]
+                below[at] = decades(level.probability[level.start(context) + rank[at] - model.first_follower(home)])
         p = (c - DISCOUNT) / seen[node] + back[node] * 10**below if len(node) else below
-        save(f"{path}/level3/{s}", Level.arrays(len(seen), node, rank, p, back))
-        return pa.table({"s": [s], "n": [len(node)]})
+        save(f"{path}/level3/{cell}", Level.sequences(len(seen), node, rank) | Level.weights(p, back))
+        return pa.table({"s": [cell], "n": [len(node)], "c": [0]})
 
-    kept = _counted(texts, triples, ["s", "node", "rank"], [n_shards, n_pairs, bases[-1]]).where(F.col("c") >= LEAST_COUNT)
-    none = spark.range(n_shards).select(F.col("id").alias("s"), *[F.lit(None).cast("long").alias(k) for k in ("node", "rank", "c")])
-    sharded(kept.unionByName(none), level3)
+    triple_limits = [n_cells, n_pairs, bases[-1]]
+    sharded(dealt(triples, triple_limits), level3)
     return facts
 
 

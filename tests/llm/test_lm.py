@@ -122,3 +122,37 @@ def test_sums_of_rows():
         assert list(zip(zip(*[c.tolist() for c in found]), counts.tolist())) == want
         found, counts = lm._sums(lm._packed([c[:0] for c in columns], limits), limits)
         assert len(counts) == 0 and all(len(c) == 0 for c in found)
+
+
+@pytest.mark.parametrize("cell_tokens", [lm.CELL_TOKENS, 40])
+def test_every_pair_and_triple_counts(spark, monkeypatch, cell_tokens):
+    """N-grams seen once are in the levels too; a frequent word's followers lie in many cells, with the same scores."""
+    monkeypatch.setattr(lm, "LEAST_COUNT", 1)  # what `Plain` counts
+    monkeypatch.setattr(lm, "CELL_TOKENS", cell_tokens)
+    texts = [f"the w{i} of the w{i * 7 % 50} and the w{i % 9} ends" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    _, plain = check(spark, rows)
+    assert min(plain.two.values()) == min(plain.three.values()) == 1
+    facts = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (facts.cells[-1] > 8) == (cell_tokens == 40)
+
+
+def test_seen_once_is_known(spark):
+    frame = spark.createDataFrame([(0, "a b c"), (2, "d e f"), (3, "a b c"), (5, "x b y")], "doc_id long, text string")
+    facts = lm.train(frame.where("doc_id in (0, 2, 5)"))
+    seen, unseen = (lm.Model(facts).score(lm.pa.array([t], lm.pa.large_string()))[3][0] for t in ("d e f", "d f e"))
+    assert seen > unseen + 1
+
+
+def test_bodies():
+    rng = np.random.default_rng(5)
+    for limits in ([3, 40, 50], [3, 1 << 40, 1 << 40]):
+        columns = [np.sort(rng.integers(0, limits[1], 300)), rng.integers(0, limits[2], 300)]
+        packed, counts = lm._packed(columns, limits[1:]), rng.integers(1, 9, 300)
+        body = lm._body(packed, counts)
+        assert all((a == b).all() for a, b in zip(lm._columns(body, len(packed)), [*packed, counts]))
+        *found, sums = lm._cell_sums(lm.pa.table({"body": [body, None, body]}), limits)
+        want = Counter()
+        for a, b, c in zip(*[x.tolist() for x in (*columns, counts)]):
+            want[a, b] += 2 * c
+        assert dict(zip(zip(*[x.tolist() for x in found]), sums.tolist())) == want and len(sums) == len(want)
