@@ -5,6 +5,9 @@ of such templates are hash-joined, so that an item is found when its words stand
 values in the slots of one occurrence then have to be consistent: a value of the item stands for one value of the
 document wherever it comes, and the other way round.
 
+Beside the templates go plain windows of all tokens, case-folded and without placeholders, of items of any length: an
+exact copy is found whatever the item consists of and however it is capitalised.
+
 A Bloom filter of the items' windows, of bounded size, goes to the tasks that read the documents; only windows that
 pass it shuffle, and they are joined exactly. It sorts out rows only: whatever its size, the result is the same.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ from docstrata.llm.line_dedup import SEGMENT_BYTES, Bloom, _merged, filter_bits
 from docstrata.llm.shared import combine, hash_runs, pieces, settle, text_bytes
 
 WINDOW = 8
-LEAST_TOKENS = 5  # a shorter item cannot be told from common text and is not looked for
+LEAST_TOKENS = 5  # a shorter item has no template, only a plain window
 SHARE_LEAST = 0.5
 
 #: Words that are a unit after a number.
@@ -116,12 +120,39 @@ def windows(column: pa.Array, lengths: list[int]):
         yield begin, bounds, found, kinds, values
 
 
+def plain_windows(column: pa.Array, lengths: list[int]):
+    """For every slice: (first row, bounds, {length: (starts, hashes)}) of the case-folded tokens. Windows lie in one row."""
+    for begin, part in pieces(pc.utf8_lower(column.cast(pa.large_string()))):
+        data, offsets = text_bytes(part)
+        starts, values = hash_runs(data, _TOKEN[data], offsets)
+        bounds = np.searchsorted(starts, offsets)
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        found = {}
+        for length in lengths:
+            n = len(values) - length + 1
+            if n > 0:
+                at = np.arange(n)
+                at = at[at + length <= ends[:n]]
+                found[length] = at, combine([values[at + j] for j in range(length)], seed=60 + length)
+        yield begin, bounds, found
+
+
+def every_window(column: pa.Array, lengths: list[int], plain_lengths: list[int]):
+    """(is plain, first row, bounds, windows, kinds, values) of every slice; plain windows have no slots."""
+    if lengths:
+        for begin, bounds, found, kinds, values in windows(column, lengths):
+            yield False, begin, bounds, found, kinds, values
+    if plain_lengths:
+        for begin, bounds, found in plain_windows(column, plain_lengths):
+            yield True, begin, bounds, found, None, None
+
+
 _HIT = "window long, id long, place int, slots array<long>"
 
 
 def _rows(ids: list, starts, hashes, length: int, row_of, bounds, kinds, values) -> pa.RecordBatch:
-    slots = []
-    for at in starts:
+    slots = [[]] * len(starts) if kinds is None else []
+    for at in starts if kinds is not None else ():
         inside = np.flatnonzero(kinds[at : at + length]) + at
         # The kind is part of the value.
         slots.append((values[inside] ^ _MARKS[kinds[inside]]).view(np.int64))
@@ -135,22 +166,24 @@ def _rows(ids: list, starts, hashes, length: int, row_of, bounds, kinds, values)
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """Windows of the items (id, text), with `n`, the tokens of the window: `WINDOW`, or the whole shorter item."""
+    """Windows of the items (id, text), with `n`, the tokens of the window: `WINDOW`, or the whole shorter item; `plain`
+    tells those of all tokens from those of the template."""
 
     def cut(batches):
         lengths = list(range(LEAST_TOKENS, WINDOW + 1))
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for begin, bounds, found, kinds, values in windows(batch.column(1), lengths):
+            for plain, begin, bounds, found, kinds, values in every_window(batch.column(1), lengths, list(range(1, WINDOW + 1))):
                 for length, (starts, hashes) in found.items():
                     row = np.searchsorted(bounds, starts, "right") - 1
                     size = (bounds[1:] - bounds[:-1])[row]
                     take = (size >= WINDOW) if length == WINDOW else (size == length)
                     if take.any():
                         out = _rows(ids[begin:], starts[take], hashes[take], length, row[take], bounds, kinds, values)
-                        yield out.append_column("n", pa.array(np.full(out.num_rows, length, np.int32)))
+                        out = out.append_column("n", pa.array(np.full(out.num_rows, length, np.int32)))
+                        yield out.append_column("plain", pa.array(np.full(out.num_rows, plain)))
 
-    return items.mapInArrow(cut, f"{_HIT}, n int")
+    return items.mapInArrow(cut, f"{_HIT}, n int, plain boolean")
 
 
 def _window_filter(items: DataFrame) -> Bloom:
@@ -173,7 +206,7 @@ def _window_filter(items: DataFrame) -> Bloom:
     return whole
 
 
-def _suspected(texts: DataFrame, known: Bloom, lengths: list[int]) -> DataFrame:
+def _suspected(texts: DataFrame, known: Bloom, lengths: list[int], plain_lengths: list[int]) -> DataFrame:
     shipped = texts.sparkSession.sparkContext.broadcast(known.bytes.tobytes())
     n_bits = len(known.bytes) * 8
 
@@ -181,7 +214,7 @@ def _suspected(texts: DataFrame, known: Bloom, lengths: list[int]) -> DataFrame:
         bloom = Bloom(n_bits, shipped.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for begin, bounds, found, kinds, values in windows(batch.column(1), lengths):
+            for _, begin, bounds, found, kinds, values in every_window(batch.column(1), lengths, plain_lengths):
                 for length, (starts, hashes) in found.items():
                     hit = bloom.holds(hashes)
                     if hit.any():
@@ -201,38 +234,39 @@ def find_leaks(
     share_least: float = SHARE_LEAST,
 ) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_found, share, verbatim: one row for each document and item where at
-    least `share_least` of the item's template windows stand in the document with consistent slots.
+    least `share_least` of the item's template windows stand in the document with consistent slots, or of its plain
+    windows; the figures are those of the templates where they reach the share, else those of the plain windows.
 
-    verbatim: all slot values are the item's own. Windows have 8 tokens, or the whole item where it has 5 to 7; shorter
-    items are not looked for, and of windows with more placeholders than words none is used. Rows with a null id are
+    verbatim: all slot values are the item's own. Windows have 8 tokens, or the whole item where it has fewer; items under
+    5 canonical tokens and windows with more placeholders than words are looked for as plain windows only. Rows with a null id are
     left out; null and empty texts hold nothing; rows that repeat an id count as one document or item. Other columns
     are ignored; empty tables give an empty result.
     """
     asked = items.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     cut = settle(_item_windows(asked.where("id is not null").dropDuplicates()), "item-windows")
-    lengths = sorted(r[0] for r in cut.select("n").distinct().collect())  # at most 4 numbers
+    sizes = cut.select("plain", "n").distinct().collect()  # at most 12 rows
+    lengths, plain_lengths = (sorted(r.n for r in sizes if r.plain == kind) for kind in (False, True))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    hits = _suspected(texts.where("id is not null"), _window_filter(cut), lengths)
-    totals = cut.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("n_windows"))
-    theirs = cut.select("window", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    hits = _suspected(texts.where("id is not null"), _window_filter(cut), lengths, plain_lengths)
+    totals = cut.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("place").alias("n_windows"))
+    theirs = cut.select("window", "plain", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = hits.join(theirs, "window").select(
-        F.col("id").alias("doc_id"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        F.col("id").alias("doc_id"), "item_id", "plain", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip("item_slots", "slots").alias("slots"),
     )
     # An occurrence of the item lies on one shift; it has as many rows as the item has windows.
     pairs = F.array_distinct(F.flatten(F.collect_list("slots")))
-    seen = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"), pairs.alias("pairs"))
+    seen = met.groupBy("doc_id", "item_id", "plain", "shift").agg(F.collect_set("item_place").alias("places"), pairs.alias("pairs"))
     mine, own = F.col("pairs.slots"), F.col("pairs.item_slots")
     consistent = (F.size(F.array_distinct(mine)) == F.size("pairs")) & (F.size(F.array_distinct(own)) == F.size("pairs"))
     kept = seen.where(consistent).withColumn("verbatim", F.forall("pairs", lambda p: p["slots"] == p["item_slots"]))
-    found = kept.groupBy("doc_id", "item_id").agg(
+    found = kept.groupBy("doc_id", "item_id", "plain").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"), F.bool_and("verbatim").alias("verbatim")
     )
     share = F.col("n_found") / F.col("n_windows")
-    return (
-        found.join(totals, "item_id").where(share >= share_least)
-        .select("doc_id", "item_id", "n_windows", "n_found", F.round(share, 6).alias("share"), "verbatim")
-    )
+    reached = found.join(totals, ["item_id", "plain"]).where(share >= share_least)
+    figures = F.struct("n_windows", "n_found", F.round(share, 6).alias("share"), "verbatim")
+    return reached.groupBy("doc_id", "item_id").agg(F.min_by(figures, "plain").alias("f")).select("doc_id", "item_id", "f.*")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

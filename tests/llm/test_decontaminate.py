@@ -101,3 +101,16 @@ def test_documents(spark, sf):
     got = run(spark, docs, items)
     exact = {(i, j) for i, t in docs for j, b in items if plain(b) in plain(t)}
     assert exact <= set(got) and len(set(got) - exact) <= 2, set(got) ^ exact
+
+
+def test_exact_copies_of_every_kind(spark):
+    items = [
+        (1, "12 + 30 = 42, 7 + 8 = 15, 9 + 1 = 10, 2 + 2 = 4"), (2, "WHO WROTE THE BOOK ABOUT THE GREAT WHITE WHALE OF NANTUCKET"),
+        (3, "Did Anna Bell meet Carl Dorn in Oslo or did Erik Falk see Gina Holm in Rome"), (4, "name the river here please"), (5, "pi squared"),
+    ]
+    docs = [(i, f"Some text: {body} and more.") for i, body in items]
+    docs += [(10 + i, f"Some text: {body.lower()} and more.") for i, body in items]
+    docs += [(20 + i, f"Some text: {body.upper()} and more.") for i, body in items]
+    docs += [(31, "Name the lake here please"), (32, "pi is squared"), (33, "12 + 31 = 43")]
+    got = run(spark, docs, items)
+    assert set(got) == {(k + i, i) for i, _ in items for k in (0, 10, 20)}
