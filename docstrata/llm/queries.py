@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docstrata.llm import bpe, decontaminate, language, licenses, line_dedup, lm, minhash, page_text, quality, revisits
+from docstrata.llm import (
+    bpe, decontaminate, language, licenses, line_dedup, lm, minhash, page_text, quality, resample, revisits,
+)
 
 #: The tokenizer file; every executor has the package.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +72,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -81,10 +87,12 @@ QUERIES: dict[str, Query] = {
     "op8_page_text": op8_page_text,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_lm_score": op10_lm_score,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op5_host_quality": quality.SQL,
+    "op11_importance_resampling": resample.SQL,
 }
