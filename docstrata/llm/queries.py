@@ -11,6 +11,7 @@ import public_tokenizers
 
 from docstrata.llm import (
     bpe, decontaminate, language, licenses, line_dedup, lm, minhash, page_text, quality, resample, revisits,
+    substrings,
 )
 
 #: The tokenizer file; every executor has the package.
@@ -76,6 +77,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "deduped.n_words", "deduped.n_removed", F.sha2("deduped.text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_lm_score": op10_lm_score,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_host_quality": quality.SQL,
     "op11_importance_resampling": resample.SQL,
+    "op12_substring_dedup": substrings.SQL,
 }

@@ -23,7 +23,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as Parquet below the cluster's shared folder and reads it back, which cuts its lineage."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `settle` that nothing will read any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,11 +84,11 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, pa
         begin = end
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): 64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of a slice from `pieces`;
-    the words of row r are hashes[bounds[r]:bounds[r + 1]]."""
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes): 64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased if `fold`, of a slice from
+    `pieces`; the words of row r are hashes[bounds[r]:bounds[r + 1]]."""
     data, offsets = text_bytes(column)
-    starts, hashes = hash_runs(data, ~_SPACE[data], offsets)
+    starts, hashes = hash_runs(data, ~_SPACE[data], offsets, fold)
     return np.searchsorted(starts, offsets), hashes
 
 
@@ -90,8 +100,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_runs(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the runs of bytes that are `inside`, A-Z lower-cased; a run ends with its row."""
+def hash_runs(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the runs of bytes that are `inside`, A-Z lower-cased if `fold`; a run ends with its row."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -105,7 +115,7 @@ def hash_runs(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tupl
     np.maximum(place, 0, out=place)
     longest = int(place.max()) + 1
     powers = _POSITION if longest <= len(_POSITION) else _long_powers(longest)
-    parts = _BYTES[_LOWER[data]]
+    parts = _BYTES[_LOWER[data] if fold else data]
     parts *= powers[place]
     parts[~inside] = 0
     return starts, mix64(np.add.reduceat(parts, starts))
