@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from docstrata.llm import (
-    bpe, decontaminate, language, licenses, line_dedup, lm, minhash, page_text, quality, resample, revisits,
+    bpe, decontaminate, language, licenses, line_dedup, lm, minhash, negatives, page_text, quality, resample, revisits,
     substrings,
 )
 
@@ -84,6 +84,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op10_lm_score": op10_lm_score,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op5_host_quality": quality.SQL,
     "op11_importance_resampling": resample.SQL,
     "op12_substring_dedup": substrings.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
