@@ -17,8 +17,10 @@ raw one. Most of the features of a crawl stand in lines that occur many times, s
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,31 +39,56 @@ PERCENT = 5
 SEED = 42
 FREQUENT = 4096
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What is no word, newlines apart, once A-Z are lower-cased.
-_BETWEEN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCK = 1 << 16
+#: A-Z lower-cased; every other ASCII byte that is in no word, newlines apart, becomes a space.
+_FOLD = bytes(b if b > 127 or b == 10 or chr(b).isalnum() else 32 for b in range(256)).lower()
+_LONGEST = 64  # bytes of a word with its space; longer ones are hashed one by one
 
 
-def segments(text: Column) -> Column:
-    """The lines of a text that hold a word, each as its words joined by one space; null without text."""
-    words = F.regexp_replace(F.translate(text.cast("string"), _UPPER, _LOWER), _BETWEEN, " ")
-    return F.filter(F.transform(F.split(words, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+def segments(text: bytes) -> list[bytes]:
+    """The lines of a text that hold a word, each as its words joined by one space."""
+    return [x for line in text.translate(_FOLD).split(b"\n") if (x := b" ".join(line.split()))]
 
 
-def line_buckets(line: bytes, buckets: int = BUCKETS, orders: int = ORDERS) -> np.ndarray:
-    """The bucket of every run of 1 to `orders` words within a line."""
-    words = line.split(b" ")
-    found, before = [], None
-    for k in range(orders):
-        if k >= len(words):
-            break
-        # A run's checksum continues that of the run without its last word.
-        before = list(map(zlib.crc32, words)) if before is None else list(map(zlib.crc32, tails[k - 1 :], before))
-        found += [np.fromiter(before[at : at + _BLOCK], np.uint32) % np.uint32(buckets) for at in range(0, len(before), _BLOCK)]
-        if k == 0:
-            tails = [b" " + w for w in words[1:]]
-    return np.concatenate(found).astype(np.int32)
+@functools.cache
+def _shifts() -> np.ndarray:
+    """[n, j, b]: what the checksum b << 8 j becomes when n zero bytes follow. Checksums are linear, so that of two texts
+    is this of the first, by the length of the second, exclusive or that of the second."""
+    nil = [bytes(n) for n in range(_LONGEST + 1)]
+    return np.array(
+        [[[zlib.crc32(z, b << 8 * j) ^ zlib.crc32(z) for b in range(256)] for j in range(4)] for z in nil], np.uint32
+    )
+
+
+def _followed(before: np.ndarray, sizes: np.ndarray, after: np.ndarray, words: list[bytes], space: bytes) -> np.ndarray:
+    """Checksums of texts with the checksums `before`, each followed by `space` and a word, together of the given `sizes`
+    and with the checksums `after`."""
+    table, n = _shifts(), np.minimum(sizes, _LONGEST)
+    out = after.copy()
+    for j in range(4):
+        out ^= table[n, j, (before >> np.uint32(8 * j)) & np.uint32(255)]
+    for k in np.flatnonzero(sizes > _LONGEST):
+        out[k] = zlib.crc32(space + words[k], int(before[k]))
+    return out
+
+
+def line_buckets(lines: list[bytes], buckets: int = BUCKETS, orders: int = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all runs of 1 to `orders` words within a line, number of them by line), line after line."""
+    words, counts = [], []
+    for line in lines:
+        own = line.split(b" ")
+        words += own
+        counts.append(len(own))
+    counts = np.array(counts, np.int64)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    runs = np.zeros((len(words), orders), np.uint32)
+    runs[:, 0] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    after = _followed(np.full(len(words), zlib.crc32(b" "), np.uint32), sizes - 1, runs[:, 0], words, b"")
+    for k in range(1, orders):
+        runs[1:, k] = _followed(runs[:-1, k - 1], sizes[1:], after[1:], words[1:], b" ")
+    there = place[:, None] >= np.arange(orders)
+    ends = np.cumsum(there.sum(axis=1))[np.cumsum(counts) - 1] if len(lines) else np.zeros(0, np.int64)
+    return (runs[there] % np.uint32(buckets)).astype(np.int32), np.diff(ends, prepend=0)
 
 
 def crossing_buckets(lines: list[bytes], buckets: int = BUCKETS, orders: int = ORDERS) -> list[int]:
@@ -79,18 +106,14 @@ def crossing_buckets(lines: list[bytes], buckets: int = BUCKETS, orders: int = O
     return found
 
 
-def _packed(lists: list) -> pa.Array:
-    sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
-    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+def _packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _lists(column: pa.Array) -> Iterator[list[bytes]]:
-    flat = column.flatten().cast(pa.binary()).to_pylist()
-    at = 0
-    for n in column.value_lengths().fill_null(0).to_pylist():
-        yield flat[at : at + n]
-        at += n
+def _cut(column: pa.Array) -> Iterator[list[bytes]]:
+    for text in column.cast(pa.binary()).to_pylist():
+        yield segments(text or b"")
 
 
 def _texts(docs: DataFrame, buckets: int, orders: int) -> DataFrame:
@@ -99,13 +122,13 @@ def _texts(docs: DataFrame, buckets: int, orders: int) -> DataFrame:
     def read(batches):
         for batch in batches:
             words, crossing, keys = [], [], []
-            for lines in _lists(batch.column(1)):
+            for lines in _cut(batch.column(1)):
                 words.append(sum(x.count(b" ") + 1 for x in lines))
                 crossing.append(crossing_buckets(lines, buckets, orders))
                 keys.append([xxhash.xxh3_128_digest(x) for x in lines])
             runs = [sum(max(0, n - k) for k in range(orders)) for n in words]
             yield pa.record_batch(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array(runs, pa.int64()), _packed(crossing), pa.array(keys, pa.list_(pa.binary()))],
+                [batch.column(0), pa.array(words, pa.int64()), pa.array(runs, pa.int64()), pa.array(crossing, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.binary()))],
                 names=["doc_id", "n_words", "n_features", "crossing", "keys"],
             )
 
@@ -115,14 +138,19 @@ def _texts(docs: DataFrame, buckets: int, orders: int) -> DataFrame:
 def _lines(docs: DataFrame, buckets: int, orders: int) -> DataFrame:
     """A row a distinct line: key, times, inner (the buckets of its runs)."""
 
+    def cut(batches):
+        for batch in batches:
+            held = Counter(line for lines in _cut(batch.column(0)) for line in lines)
+            yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["line", "n"])
+
     def read(batches):
         for batch in batches:
-            lines = batch.column(0).cast(pa.binary()).to_pylist()
+            lines = batch.column(0).to_pylist()
             keys = pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary())
-            inner = _packed([line_buckets(x, buckets, orders) for x in lines])
+            inner = _packed(*line_buckets(lines, buckets, orders))
             yield pa.record_batch([keys, batch.column(1), inner], names=["key", "times", "inner"])
 
-    distinct = docs.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("times"))
+    distinct = docs.select("text").mapInArrow(cut, "line binary, n long").groupBy("line").agg(F.sum("n").alias("times"))
     return distinct.mapInArrow(read, "key binary, times long, inner array<int>")
 
 
@@ -143,10 +171,9 @@ def _counts(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, label: str, buckets: int, orders: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(texts, lines, count of each bucket) of rows (doc_id, text), the tables written."""
-    cut = docs.select("doc_id", segments(F.col("text")).alias("lines"))
     # The number of a row is written with it, so that it stays the same wherever it is read.
-    texts = settle(_texts(cut, buckets, orders).withColumn("row", F.monotonically_increasing_id()), f"{label}-texts")
-    lines = settle(_lines(cut, buckets, orders), f"{label}-lines")
+    texts = settle(_texts(docs, buckets, orders).withColumn("row", F.monotonically_increasing_id()), f"{label}-texts")
+    lines = settle(_lines(docs, buckets, orders), f"{label}-lines")
     parts = _counts(lines.select("times", "inner"), buckets).union(
         _counts(texts.select(F.lit(1).cast("long").alias("times"), F.col("crossing").alias("inner")), buckets)
     )

@@ -80,7 +80,8 @@ def test_empty_tables(spark):
 
 @pytest.mark.parametrize("orders", [1, 2, 3, 4])
 def test_lines_and_crossings_are_all_runs(orders):
-    for lines in (["a b c d", "e", "f g", "h i j k"], ["a", "b", "c", "d"], ["x"], ["a b", "c d"]):
+    for lines in (["a b c d", "e", "f g", "h i j k"], ["a", "b", "c", "d"], ["x"], ["y" * 70 + " " + "z" * 63 + " b " + "c" * 64 + " d"], []):
         own = [x.encode() for x in lines]
-        held = [int(b) for x in own for b in resample.line_buckets(x, orders=orders)]
-        assert sorted(held + resample.crossing_buckets(own, orders=orders)) == sorted(features("\n".join(lines), orders)[1])
+        held, sizes = resample.line_buckets(own, orders=orders)
+        assert [int(n) for n in sizes] == [len(features(x, orders)[1]) for x in lines]
+        assert sorted(held.tolist() + resample.crossing_buckets(own, orders=orders)) == sorted(features("\n".join(lines), orders)[1])
