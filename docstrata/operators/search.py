@@ -19,8 +19,11 @@ SCORE_DIGITS = 6
 
 # Queries are sent to the executors whole only up to this size; beyond it both sides are shuffled in cells.
 BROADCAST_BYTES = 64 * 1024 * 1024
-CELL_CHUNKS = 50_000
-CELL_QUERIES = 5_000
+# Bytes of either side's vectors in one task of the grid, and the least rows of a side worth a task.
+GRID_BYTES = 64 * 1024 * 1024
+LEAST_SIDE = 2_000
+# Queries ranked at a time within a task.
+QUERY_BLOCK = 4_096
 
 # Candidates per wanted row beyond which ties are cut by id before they are collected.
 TIES = 8
@@ -217,30 +220,55 @@ def _broadcast_nearest(chunks, asked, k, metric, schema, celled) -> DataFrame:
     return chunks.mapInArrow(score, schema)
 
 
+def _side(rows: int, queries: int, dims: int, tasks: int) -> int:
+    """Rows, and queries, of one cell of the grid. Over a fixed number of tasks both sides are repeated least, namely with
+    the root of their product, where cells are square; memory sets the upper limit."""
+    square = int((rows * queries / max(1, tasks)) ** 0.5)
+    return max(1, min(max(square, LEAST_SIDE), GRID_BYTES // (8 * max(1, dims))))
+
+
+def _sizes(rows: DataFrame, queries: DataFrame) -> tuple[int, int, int]:
+    n, dims = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return n, queries.count(), dims or 1
+
+
+def over_grid(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, go, schema) -> DataFrame:
+    """`go(rows, queries)` over every pair of groups of both sides, hashed by their ids into a grid."""
+    n, m, dims = _sizes(rows, queries)
+    side = _side(n, m, dims, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    down, across = max(1, -(-n // side)), max(1, -(-m // side))
+    left = rows.withColumn("__i", F.pmod(F.xxhash64(row_id), F.lit(down))).withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = queries.withColumn("__j", F.pmod(F.xxhash64(query_id), F.lit(across))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    cell = [F.col("__i").cast("int").alias("i"), F.col("__j").cast("int").alias("j")]
+    left, right = left.select("*", *cell).drop("__i", "__j"), right.select("*", *cell).drop("__i", "__j")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(go, schema)
+
+
 def _celled_nearest(chunks, queries, k, metric, schema, query_count, celled) -> DataFrame:
     """Both sides hashed into groups of bounded size within each cell; every group pair is one task's work.
 
-    The number of row groups of a cell follows from its row count, so a cell holding most rows is split into
+    The numbers of groups of a cell follow from its rows and its queries, so a cell holding most of either is split into
     as many groups as its size asks for.
     """
     asked = queries.withColumn("cell", F.explode("cells"))
+    n, m, dims = _sizes(chunks, asked)
+    side = F.lit(_side(n, m, dims, 2 * chunks.sparkSession.sparkContext.defaultParallelism))
     if celled:
-        groups = chunks.groupBy("cell").agg(
-            F.ceil(F.count("*") / F.lit(CELL_CHUNKS)).cast("int").alias("row_groups")
-        )
+        row_groups = chunks.groupBy("cell").agg(F.ceil(F.count("*") / side).cast("int").alias("row_groups"))
+        query_groups = asked.groupBy("cell").agg(F.ceil(F.count("*") / side).cast("int").alias("query_groups"))
+        groups = row_groups.join(query_groups, "cell")
         rows, asked = chunks.join(groups, "cell"), asked.join(groups, "cell")
     else:
-        row_groups = F.lit(max(1, -(-chunks.count() // CELL_CHUNKS)))
-        rows, asked = chunks.withColumn("row_groups", row_groups), asked.withColumn("row_groups", row_groups)
-    query_groups = -(-query_count // CELL_QUERIES)
+        groups = [F.ceil(F.lit(x) / side).cast("int").alias(c) for x, c in ((max(n, 1), "row_groups"), (m, "query_groups"))]
+        rows, asked = chunks.select("*", *groups), asked.select("*", *groups)
     left = (
         rows.withColumn("row_group", F.pmod(F.xxhash64("id"), F.col("row_groups")).cast("int"))
-        .withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+        .withColumn("query_group", F.explode(F.sequence(F.lit(0), F.col("query_groups") - 1)))
         .select("cell", "row_group", "query_group", "id", "vector")
     )
     right = (
         asked.withColumn("row_group", F.explode(F.sequence(F.lit(0), F.col("row_groups") - 1)))
-        .withColumn("query_group", F.pmod(F.xxhash64("query_id"), F.lit(query_groups)).cast("int"))
+        .withColumn("query_group", F.pmod(F.xxhash64("query_id"), F.col("query_groups")).cast("int"))
         .select("cell", "row_group", "query_group", "query_id", "vector")
     )
     query_type = _arrow_type(schema["query_id"].dataType)
@@ -251,10 +279,13 @@ def _celled_nearest(chunks, queries, k, metric, schema, query_count, celled) ->
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or asked.num_rows == 0:
             return out.empty_table()
-        top = _TopK(_matrix(asked.column("vector")), k, metric)
-        top.add(_combined(rows.column("id")), _matrix(rows.column("vector")))
-        found = top.batch(_combined(asked.column("query_id")), out)
-        return out.empty_table() if found is None else pa.Table.from_batches([found])
+        ids, vectors, found = _combined(rows.column("id")), _matrix(rows.column("vector")), []
+        for begin in range(0, asked.num_rows, QUERY_BLOCK):
+            part = asked.slice(begin, QUERY_BLOCK)
+            top = _TopK(_matrix(part.column("vector")), k, metric)
+            top.add(ids, vectors)
+            found.append(top.batch(_combined(part.column("query_id")), out))
+        return pa.Table.from_batches([b for b in found if b is not None], out)
 
     keys = ["cell", "row_group", "query_group"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docstrata.operators import ann, chunking, embedding, evaluation, lookups, search
+from docstrata.operators import ann, cell_tree, chunking, embedding, evaluation, lookups, search
 from docstrata.plans import indexing
 from docstrata.session import fresh_dir
 from docstrata.workload import tables as t
@@ -159,6 +160,83 @@ def ivf_recall(spark, sf):
     return ann.recall_at(found, exact).select(F.round("recall", 6).alias("recall"))
 
 
+_UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
+
+_FIXED_TREE = f"""
+with e as (select vec_id, embedding::double[] as v, {_UNIT} as u, label from embeddings),
+seeds as (select label, v as c, row_number() over (partition by label order by vec_id) - 1 as j from e where label < 5),
+tops as (select label as top, c from seeds where j = 0),
+leaves as (select label as top, label * 4 + j as leaf, c from seeds where j < 4),
+placed as (
+  select vec_id, v, top, row_number() over (partition by vec_id order by list_distance(u, c), top) as a,
+    row_number() over (partition by vec_id order by round(list_distance(u, c), 6), top) as b from e join tops on true),
+leafed as (
+  select p.vec_id, e.v, p.a, l.leaf, row_number() over (partition by p.vec_id, p.a order by list_distance(e.u, l.c), l.leaf) as k
+  from placed p join e using (vec_id) join leaves l on l.top = p.top where p.a = 1),
+asked as (
+  select p.vec_id, e.v, l.leaf, row_number() over (partition by p.vec_id order by round(list_distance(e.u, l.c), 6), l.leaf) as k
+  from placed p join e using (vec_id) join leaves l on l.top = p.top where p.b <= 2),
+probed as (
+  select q.vec_id as query_id, d.vec_id as id, round(1.0 - list_cosine_similarity(q.v, d.v), 6) as distance
+  from asked q join leafed d on q.leaf = d.leaf and q.k <= 3 and d.k = 1)
+"""
+
+
+def _fixed_tree(spark, sf):
+    """A stored tree around the first vectors of five labels, four leaves each."""
+    first = Window.partitionBy("label").orderBy("id")
+    seeds = t.vectors(spark, sf).where("label < 5").withColumn("j", F.row_number().over(first) - 1)
+    tops = seeds.where("j = 0").select(F.col("label").alias("top"), "vector")
+    leaves = seeds.where("j < 4").select((F.col("label") * 4 + F.col("j")).cast("long").alias("leaf"), F.col("label").alias("top"), "vector")
+    return cell_tree.assign_tree(t.vectors(spark, sf), tops, leaves, at=fresh_dir(spark, "tree"))
+
+
+@query("q6_probe_tree", _FIXED_TREE + _top("select * from probed", 10))
+def probe_tree(spark, sf):
+    """Three leaves of two tops of a fixed tree for every query."""
+    return cell_tree.probe_tree(_fixed_tree(spark, sf), _asked(spark, sf), 10, n_tops=2, n_leaves=3)
+
+
+@query("q6_tree_with_delta", _top(_PAIRS, 10))
+def tree_with_delta(spark, sf):
+    """A tree of two thirds of the vectors, written, and the others stored since, some first with a wrong vector and some
+    rows of the tree taken away and stored again: with every leaf probed the result is the exact one."""
+    rows, path = t.vectors(spark, sf), fresh_dir(spark, "tree")
+    cell_tree.build_tree(rows.where("id % 3 <> 0"), n_tops=4, branch=4, at=path)
+    wrong = F.transform("vector", lambda x: -x).alias("vector")
+    cell_tree.store_rows(path, rows.where("id % 6 = 0").select("id", wrong, "label"))
+    cell_tree.store_rows(path, rows.where("id % 5 = 1").select("id", F.lit(None).cast("array<float>").alias("vector"), "label"))
+    cell_tree.store_rows(path, rows.where("id % 3 = 0 or id % 5 = 1"))
+    return cell_tree.probe_tree(cell_tree.open_tree(spark, path), _asked(spark, sf), 10, n_tops=4, n_leaves=16)
+
+
+def _built_tree(spark, sf):
+    return cell_tree.build_tree(t.vectors(spark, sf), n_tops=4, branch=6, at=fresh_dir(spark, "tree"))
+
+
+@query("q3_filtered_tree", _top(_PAIRS.replace("on true", "on d.label >= 8"), 10))
+def filtered_tree(spark, sf):
+    """Exact filtered search over a trained tree, by widening probes and the radii of cells."""
+    return cell_tree.exact_topk(_built_tree(spark, sf), _asked(spark, sf), 10, where="label >= 8", n_tops=1, n_leaves=1)
+
+
+@query("q2_topk_by_bounds", _top(_PAIRS, 10))
+def topk_by_bounds(spark, sf):
+    """Exact search that skips the cells too far away."""
+    return cell_tree.exact_topk(_built_tree(spark, sf), _asked(spark, sf), 10)
+
+
+@query("q6_tree_recall")
+def tree_recall(spark, sf):
+    """Probes measured to reach a recall of 0.9 on a tenth of the vectors, and what they reach on all of them."""
+    tree = _built_tree(spark, sf)
+    sample = _asked(spark, sf).where("query_id % 10 = 0")
+    n_tops, n_leaves = cell_tree.probes_for(tree, sample, 10, 0.9)
+    found = cell_tree.probe_tree(tree, _asked(spark, sf), 10, n_tops, n_leaves)
+    exact = search.batch_topk(t.vectors(spark, sf), _asked(spark, sf), 10)
+    return ann.recall_at(found, exact).select(F.round("recall", 6).alias("recall"), F.lit(n_tops).alias("tops"), F.lit(n_leaves).alias("leaves"))
+
+
 def _by_label(spark, sf):
     """Vector hits with the label as their file."""
     hits = search.batch_topk(t.vectors(spark, sf), _asked(spark, sf), 10)

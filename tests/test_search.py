@@ -40,8 +40,9 @@ def data(spark):
 @pytest.mark.parametrize("limit,ties", [(search.BROADCAST_BYTES, 8), (search.BROADCAST_BYTES, 1), (0, 1)])
 def test_topk_equals_brute_force(data, metric, limit, ties, monkeypatch):
     monkeypatch.setattr(search, "TIES", ties)
-    monkeypatch.setattr(search, "CELL_CHUNKS", 40)
-    monkeypatch.setattr(search, "CELL_QUERIES", 5)
+    monkeypatch.setattr(search, "LEAST_SIDE", 40)
+    monkeypatch.setattr(search, "GRID_BYTES", 8 * 8 * 20)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
     monkeypatch.setattr(search, "MATRIX_ELEMENTS", 1000)
     rows, queries, chunks, asked = data
     got = search.batch_topk(chunks, asked, 7, metric, broadcast_bytes=limit)
@@ -75,7 +76,8 @@ def test_filter_before_ranking(data):
 
 @pytest.mark.parametrize("limit", [search.BROADCAST_BYTES, 0])
 def test_all_cells_are_exact(data, limit, monkeypatch):
-    monkeypatch.setattr(search, "CELL_CHUNKS", 40)
+    monkeypatch.setattr(search, "LEAST_SIDE", 40)
+    monkeypatch.setattr(search, "GRID_BYTES", 8 * 8 * 20)
     rows, queries, chunks, asked = data
     index = ann.build_ivf(chunks.where("vector is not null"), n_cells=4)
     near = ann.nearest_cells(asked, index.centroids, 4)
