@@ -13,6 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from docstrata.operators import ann, chunking, embedding, search, stats  # noqa: E402
 from docstrata.plans import indexing, reindex  # noqa: E402
+from docstrata.sources import store  # noqa: E402
 from docstrata.session import build_session, fresh_dir  # noqa: E402
 from docstrata.streaming import feed  # noqa: E402
 from docstrata.workload import search_queries, stream_queries, tables as t  # noqa: E402
