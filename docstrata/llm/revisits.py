@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.ordering import sliced, with_last
+from docstrata.llm.shared import settle
 
 #: Header fields of a not-modified answer that never update a stored response: those that describe its
 #: own (absent) body and those of one connection.
@@ -89,7 +90,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     is_full = F.coalesce((F.col("record_type") == "response") & (F.col("status") == 200), F.lit(False))
     order = ("url_key", "captured", "record_id")
     needed = parsed.where(is_revisit | is_full)
-    slices = sliced(needed, order, "captures")
+    # Dealing by range reads its input twice, once to find the ranges; so what is parsed is written first.
+    slices = sliced(settle(needed, "parsed-captures"), order, "captures")
     full = F.when(is_full & ~is_revisit, F.struct("url_key", "record_id", "headers", "digest"))
     found = with_last(slices, order, full).where(is_revisit).dropDuplicates(["record_id", "url_key", "captured"])
     last = F.when(F.col("__last.url_key") == F.col("url_key"), F.col("__last"))
