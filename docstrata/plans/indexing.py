@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from docstrata.frames import values_frame
 from docstrata.operators import chunking, embedding, lookups, maintenance, search
 from docstrata.plans import reindex
 from docstrata.session import ensure_checkpoint_dir, fresh_dir
-from docstrata.sources import documents, listing
+from docstrata.sources import documents, walk
 from docstrata.sources.store import NO_BATCH, SnapshotTable
 
 
@@ -117,15 +118,17 @@ def index_tree(
     exclude: Sequence[str] = (),
     bundles: Sequence[str] = (),
     force: bool = False,
+    opened: Accumulator | None = None,
     **checks: bool,
 ) -> DataFrame:
     """The whole job over file trees: list, plan, read, chunk, embed, store, record. Returns the plan it carried out.
+    `opened` counts the files it reads.
 
     Files to index are new ones and those the plan names; recorded files below the roots that are gone lose their
     chunks and become `deleted`. Files of a type without an extractor are recorded as `failed`.
     """
     enabled = [r.ext for r in registry.where("enabled").select("ext").collect()]  # a dozen
-    files = listing.list_corpus(spark, roots, exclude, bundles, enabled)
+    files = walk.walk_corpus(spark, roots, exclude, bundles, enabled)
     folders = values_frame(spark, [(r.rstrip("/") or "/", i) for i, r in enumerate(roots)], "folder string, position int")
     path = fresh_dir(spark, "plan")
     # The plan depends on the status table, which this job changes: fix it before the first write.
@@ -134,8 +137,10 @@ def index_tree(
     ).write.parquet(path)
     plan = spark.read.parquet(path)
     wanted, gone = plan.where("action = 'index'").select("path"), plan.where("action = 'remove'").select("path")
-    docs = documents.ingest_corpus(spark, roots).join(wanted, "path", "left_semi")
-    unread = wanted.join(docs.select("path"), "path", "left_anti").select(
+    # Only the planned files are opened. They are dealt evenly, since a listing keeps those of a folder together.
+    planned = files.join(wanted, "path", "left_semi").repartition(F.xxhash64("path"))
+    docs = documents.ingest_named(planned, opened)
+    unread = wanted.where(~documents.has_extractor("path")).select(
         "path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("mtime_ms"),
         F.lit("parse").alias("error_kind"), F.lit("No extractor for this file type").alias("error_message"),
     )

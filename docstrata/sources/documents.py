@@ -7,11 +7,14 @@ import io
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.functions import paths
 from docstrata.functions import text as tx
 from docstrata.functions.text import WHITESPACE
+from docstrata.sources.walk import read_named
 
 # The UTF-16 heuristic looks at 100 bytes of files of at least 20 bytes, wants more than 20
 # zero bytes, and more than twice as many at odd as at even positions.
@@ -137,7 +140,7 @@ def paginate(df: DataFrame, text: str = "text", size: int = PAGE_CHARS) -> DataF
     return out.withColumn("page", F.col("page") + 1)
 
 
-# Extractors by extension: each maps `(path, content, ...)` to `(path, text, ...)`.
+# Extractors by extension: each maps `(path, content, ...)` to `(path, text, ...)`; content is null where a named file could not be read.
 _EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "txt": ingest_text,
     "md": ingest_markdown,
@@ -159,14 +162,32 @@ def ingest_corpus(spark: SparkSession, roots: list[str]) -> DataFrame:
     Each extractor reads the files of its extension only, so every file is read once. An extractor reports a file it
     cannot parse by a non-null `error_message`; that file has the kind `parse` and no text.
     """
+    return _extracted({ext: read_files(spark, roots, ext) for ext in _EXTRACTORS})
+
+
+def ingest_named(files: DataFrame, opened: Accumulator | None = None) -> DataFrame:
+    """The same of `files(path, size_bytes, mtime_ms)` whose extension has an extractor, and of no others: each is opened
+    by its name. A file that cannot be read has the kind `read` and no text; its extractor sees a null content."""
+    ext = F.lower(paths.extension("path"))
+    return _extracted({e: read_named(files.where(ext == e), opened) for e in _EXTRACTORS})
+
+
+def has_extractor(path: Column | str) -> Column:
+    return F.lower(paths.extension(path)).isin(list(_EXTRACTORS))
+
+
+def _extracted(files: dict[str, DataFrame]) -> DataFrame:
     columns = ["path", "size_bytes", "mtime_ms", "text", "error_kind", "error_message"]
     out = None
     for ext, extractor in _EXTRACTORS.items():
-        part = extractor(read_files(spark, roots, ext))
-        for name, kind in (("error_message", "string"), ("size_bytes", "long"), ("mtime_ms", "long")):
+        part = extractor(files[ext])
+        for name, kind in (("error_message", "string"), ("size_bytes", "long"), ("mtime_ms", "long"), ("read_error", "string")):
             if name not in part.columns:
                 part = part.withColumn(name, F.lit(None).cast(kind))
+        unread = F.col("read_error").isNotNull()
+        part = part.withColumn("error_message", F.coalesce("read_error", "error_message"))
         failed = F.col("error_message").isNotNull()
-        part = part.withColumn("error_kind", F.when(failed, "parse")).withColumn("text", F.when(~failed, F.col("text")))
+        kind = F.when(unread, "read").when(failed, "parse")
+        part = part.withColumn("error_kind", kind).withColumn("text", F.when(~failed, F.col("text")))
         out = part.select(columns) if out is None else out.unionByName(part.select(columns))
     return out

@@ -17,7 +17,7 @@ def bundle_suffixes(patterns: Sequence[str]) -> list[str]:
     return ["." + m.group(1) for m in found if m]
 
 
-def _excluded(path: Column, exclude: Sequence[str]) -> Column:
+def excluded(path: Column, exclude: Sequence[str]) -> Column:
     """Plain patterns are substrings; those with `*` or `?` are globs."""
     hit = F.lit(False)
     for pattern in exclude:
@@ -48,7 +48,7 @@ def filter_supported(
     Extensions compare without case and with or without a leading dot; an empty list supports all.
     """
     path = F.col("path")
-    keep = ~in_bundle(path, bundles) & ~_excluded(path, exclude)
+    keep = ~in_bundle(path, bundles) & ~excluded(path, exclude)
     if exts:
         keep = keep & F.lower(paths.extension(path)).isin([e.lower().lstrip(".") for e in exts])
     return listing.where(keep)
