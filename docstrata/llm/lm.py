@@ -17,9 +17,13 @@ Probabilities are smoothed by absolute discounting, interpolated down to the cou
 
 from __future__ import annotations
 
-import io
+import json
 import math
+import mmap
+import re
+import sys
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, fields
 from functools import cache
 
@@ -41,6 +45,9 @@ SHARD_TOKENS = 1 << 22
 CELL_TOKENS = 1 << 23  # a shard that stands for more, because of frequent words, is split by followers
 GATHER = 1 << 21  # n-grams a task sums up before it hands them on
 
+#: Files of words, and cells of levels, that a worker keeps mapped. Where Python keeps a handle for each, fewer.
+OPEN_FILES = 4096 if sys.version_info >= (3, 13) else 128
+
 #: Words are 63-bit hashes; these two are no word's.
 END, BEGIN = 1, 2
 
@@ -188,30 +195,63 @@ def _counted(texts: DataFrame, grams, names: list[str], limits: list[int]) -> Da
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of the same store
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def save(folder: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file an array. Each appears whole or not at all, and repeated tasks write the same."""
+def save(folder: str, label: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of flat arrays, after a line that says where each begins. It appears whole or not at all, and repeated
+    tasks write the same."""
     system, base = _file_system(folder)
     system.create_dir(base, recursive=True)
+    held, at = {}, 0
     for name, array in arrays.items():
-        buffer = io.BytesIO()
-        np.save(buffer, array)
-        draft = f"{base}/.{name}-{uuid.uuid4().hex}"
-        with system.open_output_stream(draft) as out:
-            out.write(buffer.getbuffer())
-        system.move(draft, f"{base}/{name}.npy")
-
-
-def load(folder: str, name: str) -> np.ndarray:
-    """The array, mapped into memory where the folder is one of the machine's file systems."""
-    system, base = _file_system(folder)
-    path = f"{base}/{name}.npy"
-    if isinstance(system, pafs.LocalFileSystem):
-        return np.asarray(np.load(path, mmap_mode="r"))
-    with system.open_input_file(path) as file:
-        return np.load(io.BytesIO(file.read()))
+        held[name] = [array.dtype.str, len(array), at]
+        at += -(-array.nbytes // 64) * 64
+    head = json.dumps(held).encode()
+    head += b" " * (-(len(head) + 1) % 64) + b"\n"
+    draft = f"{base}/.{label}-{uuid.uuid4().hex}"
+    with system.open_output_stream(draft) as out:
+        out.write(head)
+        for array in arrays.values():
+            out.write(np.ascontiguousarray(array).data.cast("B") if array.nbytes else b"")
+            out.write(bytes(-array.nbytes % 64))
+    system.move(draft, f"{base}/{label}.arrays")
+
+
+def _content(path: str):
+    """A file's bytes, mapped into memory without a file handle where it is one of the machine's."""
+    system, base = _file_system(path)
+    if not isinstance(system, pafs.LocalFileSystem):
+        with system.open_input_file(base) as file:
+            return file.read()
+    with open(base, "rb") as file:
+        untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **untracked)
+
+
+def load(folder: str, label: str) -> dict[str, np.ndarray]:
+    """The arrays of a file that `save` wrote."""
+    content = _content(f"{folder}/{label}.arrays")
+    end = content.find(b"\n") + 1
+    held = json.loads(content[:end])
+    return {k: np.frombuffer(content, kind, n, end + at) if n else np.zeros(0, kind) for k, (kind, n, at) in held.items()}
+
+
+class Opened:
+    """What `open_one(key)` gave, of the `most` keys used last."""
+
+    def __init__(self, open_one, most: int):
+        self.open_one, self.most, self.held = open_one, most, OrderedDict()
+
+    def __getitem__(self, key):
+        if key in self.held:
+            self.held.move_to_end(key)
+        else:
+            self.held[key] = self.open_one(key)
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        return self.held[key]
 
 
 def sequence_arrays(name: str, seq: EliasFano) -> dict[str, np.ndarray]:
@@ -220,9 +260,9 @@ def sequence_arrays(name: str, seq: EliasFano) -> dict[str, np.ndarray]:
     }
 
 
-def load_sequence(folder: str, name: str) -> EliasFano:
-    size, bits = map(int, load(folder, f"{name}-head"))
-    return EliasFano(size, bits, *[load(folder, f"{name}-{k}") for k in ("low", "high", "ones")])
+def sequence_of(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
+    size, bits = map(int, arrays[f"{name}-head"])
+    return EliasFano(size, bits, *[arrays[f"{name}-{k}"] for k in ("low", "high", "ones")])
 
 
 # -- levels ------------------------------------------------------------------------------------------------------------
@@ -259,8 +299,10 @@ class Level:
 
     @staticmethod
     def load(folder: str, weighed: bool = True) -> Level:
-        weights = [load(folder, k) if weighed else np.zeros(0, np.uint16) for k in ("probability", "backoff")]
-        return Level(load_sequence(folder, "ends"), load_sequence(folder, "sums"), *weights)
+        held = load(folder, "followers")
+        weights = load(folder, "weights") if weighed else {}
+        weights = [weights.get(k, np.zeros(0, np.uint16)) for k in ("probability", "backoff")]
+        return Level(sequence_of(held, "ends"), sequence_of(held, "sums"), *weights)
 
     def start(self, context: np.ndarray) -> np.ndarray:
         """Place of the first follower of each context."""
@@ -323,15 +365,22 @@ class Model:
     def __init__(self, facts: Facts):
         self.facts = facts
         self.bases = np.array(facts.bases, dtype=np.int64)
-        self.words = [load_sequence(f"{facts.path}/words/{s}", "words") for s in range(len(self.bases) - 1)]
-        self.counts = [load(f"{facts.path}/words/{s}", "counts") for s in range(len(self.bases) - 1)]
         self.cells = np.array(facts.cells, dtype=np.int64)
-        self.levels: dict[tuple[int, int], Level] = {}
+        self._words = Opened(self._open_words, OPEN_FILES)
+        self._levels = Opened(lambda key: Level.load(f"{facts.path}/level{key[0]}/{key[1]}"), OPEN_FILES)
+
+    def _open_words(self, shard: int) -> tuple[EliasFano, np.ndarray]:
+        held = load(f"{self.facts.path}/words/{shard}", "words")
+        return sequence_of(held, "words"), held["counts"]
+
+    def words(self, shard: int) -> EliasFano:
+        return self._words[shard][0]
+
+    def counts(self, shard: int) -> np.ndarray:
+        return self._words[shard][1]
 
     def level(self, n: int, cell: int) -> Level:
-        if (n, cell) not in self.levels:
-            self.levels[n, cell] = Level.load(f"{self.facts.path}/level{n}/{cell}")
-        return self.levels[n, cell]
+        return self._levels[n, cell]
 
     def cell(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The cell of pairs of ids. Without a follower (-1) the shard's first: a context's backoff is in all of its cells."""
@@ -357,11 +406,11 @@ class Model:
         """(ids, counts) of word hashes; -1 and 0 where a word is unknown."""
         words, back = np.unique(stream, return_inverse=True)
         ids, counts = np.full(len(words), -1, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        bounds = np.arange(len(self.words) + 1) << self.facts.shift
+        bounds = np.arange(len(self.bases)) << self.facts.shift
         bounds[-1] = np.iinfo(np.int64).max
         for s, part in self._by_shard(words, bounds):
-            found = self.words[s].find(words[part] - (s << self.facts.shift))
-            held = self.counts[s]
+            found = self.words(s).find(words[part] - (s << self.facts.shift))
+            held = self.counts(s)
             counts[part] = np.where(found >= 0, held[np.maximum(found, 0)] if len(held) else 0, 0)
             ids[part] = np.where(found >= 0, found + self.bases[s], -1)
         return ids[back], counts[back]
@@ -371,24 +420,20 @@ class Model:
         backoff 0 where a is unknown. Ranks count from the least id of the cell, so they name the cell too, ascend with
         the follower and stay below the number of ids."""
         live = np.flatnonzero(a >= 0)
-        homes = self.cell(a[live], b[live])
-        order = np.lexsort((a[live], homes))
-        live, homes = live[order], homes[order]
+        homes, back, (home, first, follower) = _looked_up(self.cell(a[live], b[live]), a[live], b[live])
         cell, place, rank = np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)
         logp, backoff = np.zeros(len(a)), np.zeros(len(a))
-        cell[live] = homes
-        for c, part in _runs(homes):
-            at = live[part]
+        own = np.full(len(home), -1), np.full(len(home), -1), np.zeros(len(home)), np.zeros(len(home))
+        for c, part in homes:
             level = self.level(2, c)
-            context = a[at] - self.bases[self.shard_of(c)]
-            fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = context[1:] != context[:-1]
-            contexts, back = context[fresh], np.cumsum(fresh) - 1
-            found, ranks = level.find(contexts, back, b[at])
-            place[at], rank[at] = found, np.where(found >= 0, ranks + self.first_follower(c), -1)
-            backoff[at] = decades(level.backoff[contexts])[back]
-            hit = found >= 0
-            logp[at[hit]] = decades(level.probability[found[hit]])
+            contexts, at = _heads(first[part] - self.bases[self.shard_of(c)])
+            found, ranks = level.find(contexts, at, follower[part])
+            own[0][part], own[1][part] = found, np.where(found >= 0, ranks + self.first_follower(c), -1)
+            own[2][part] = np.where(found >= 0, decades(level.probability[found]) if level.sums.size else 0.0, 0.0)
+            own[3][part] = decades(level.backoff[contexts])[at]
+        cell[live] = home[back]
+        for whole, part in zip((place, rank, logp, backoff), own, strict=True):
+            whole[live] = part[back]
         return cell, place, rank, logp, backoff
 
     def score(self, part: pa.Array) -> list[np.ndarray]:
@@ -409,13 +454,17 @@ class Model:
         # The pair before a token is its context in level 3.
         context, home = np.concatenate([[-1], place[:-1]]), np.concatenate([[-1], cell[:-1]])
         context[~token] = -1
-        for s in np.unique(home[context >= 0]):
-            at = np.flatnonzero((home == s) & (context >= 0))
-            level = self.level(3, int(s))
-            found, _ = level.find(*np.unique(context[at], return_inverse=True), rank[at])
-            hit = found >= 0
-            total[at] += np.where(hit, 0.0, decades(level.backoff[context[at]]))
-            total[at[hit]] = decades(level.probability[found[hit]])
+        live = np.flatnonzero(context >= 0)
+        homes, back, (_, first, follower) = _looked_up(home[live], context[live], rank[live])
+        hit, own = np.zeros(len(first), bool), np.zeros(len(first))
+        for c, span in homes:
+            level = self.level(3, c)
+            contexts, at = _heads(first[span])
+            found, _ = level.find(contexts, at, follower[span])
+            hit[span] = found >= 0
+            low = decades(level.backoff[contexts])[at]
+            own[span] = np.where(found >= 0, decades(level.probability[found]), low) if level.sums.size else low
+        total[live] = np.where(hit[back], own[back], total[live] + own[back])
 
         heads = bounds[:-1]
         known = (counts > 0) & token
@@ -425,6 +474,30 @@ class Model:
         ]
 
 
+def _heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, place of each among them) of ascending keys."""
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return keys[fresh], np.cumsum(fresh) - 1
+
+
+def _looked_up(home: np.ndarray, context: np.ndarray, follower: np.ndarray):
+    """(runs of equal cells, place of each row, the distinct rows) of (cell, context, follower), distinct rows in order:
+    look-ups then go through a level once, from its beginning to its end."""
+    columns = [home, context, follower + 1]
+    limits = [int(c.max(initial=0)) + 1 for c in columns]
+    key = _packed(columns, limits)
+    order = np.argsort(key[0]) if len(key) == 1 else np.lexsort(key[::-1])
+    fresh = np.ones(len(order), dtype=bool)
+    if len(order):
+        fresh[1:] = np.logical_or.reduce([(k := c[order])[1:] != k[:-1] for c in key])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    rows = order[fresh]
+    held = home[rows], context[rows], follower[rows]
+    return _runs(held[0]), back, held
+
+
 @cache
 def open_model(path: str, *rest) -> Model:
     """One for each model and Python worker."""
@@ -453,7 +526,7 @@ def train(texts: DataFrame) -> Facts:
         table = table.drop_null()
         word, count = table.column("word").to_numpy(), table.column("c").to_numpy()
         order = np.argsort(word)
-        save(f"{path}/words/{s}", {**sequence_arrays("words", EliasFano.build(word[order] - (s << shift))), "counts": count[order]})
+        save(f"{path}/words/{s}", "words", {**sequence_arrays("words", EliasFano.build(word[order] - (s << shift))), "counts": count[order]})
         return pa.table({"s": [s], "n": [len(word)], "c": [int(count.sum())]})
 
     # A row for each shard, so that one without words has its files too. The word 0 stands for none.
@@ -491,8 +564,9 @@ def train(texts: DataFrame) -> Facts:
         model = _opened(facts)
         s = model.shard_of(cell)
         a = a - facts.bases[s]
-        mass = np.bincount(a, c - DISCOUNT, minlength=len(model.counts[s])).astype(np.float64)
-        save(f"{path}/level2/{cell}", Level.sequences(len(mass), a, b) | {"counts": c, "mass": mass})
+        mass = np.bincount(a, c - DISCOUNT, minlength=len(model.counts(s))).astype(np.float64)
+        save(f"{path}/level2/{cell}", "followers", Level.sequences(len(mass), a, b))
+        save(f"{path}/level2/{cell}", "counts", {"counts": c, "mass": mass})
         if facts.cells[s + 1] - facts.cells[s] == 1:
             weigh2(cell, a, b, c, mass)
         return pa.table({"s": [cell], "n": [len(a)], "c": [0]})
@@ -501,24 +575,24 @@ def train(texts: DataFrame) -> Facts:
         """Probabilities of a cell; `mass` is what the followers of each context take in all cells of the shard."""
         model = _opened(facts)
         s = model.shard_of(cell)
-        seen = model.counts[s].astype(np.float64)
+        seen = model.counts(s).astype(np.float64)
         back = 1 - mass / seen if len(seen) else seen
         single = np.zeros(len(b))
         by_b = np.argsort(b, kind="stable")
         for t, cut in model._by_shard(b[by_b], model.bases):
-            single[by_b[cut]] = model.counts[t][b[by_b[cut]] - facts.bases[t]]
+            single[by_b[cut]] = model.counts(t)[b[by_b[cut]] - facts.bases[t]]
         single = (single + 0.5) / (tokens + 0.5 * (types + 1))
         p = (c - DISCOUNT) / seen[a] + back[a] * single if len(a) else single
-        save(f"{path}/level2/{cell}", Level.weights(p, back))
+        save(f"{path}/level2/{cell}", "weights", Level.weights(p, back))
 
     def finish2(batches):
         for batch in batches:
             for cell in batch.column(0).to_pylist():
                 s = _opened(facts).shard_of(cell)
                 level = Level.load(f"{path}/level2/{cell}", weighed=False)
-                mass = sum(load(f"{path}/level2/{k}", "mass") for k in range(facts.cells[s], facts.cells[s + 1]))
+                mass = sum(load(f"{path}/level2/{k}", "counts")["mass"] for k in range(facts.cells[s], facts.cells[s + 1]))
                 at = np.arange(level.sums.size)
-                weigh2(cell, level.context(at), level.follower(at), load(f"{path}/level2/{cell}", "counts"), mass)
+                weigh2(cell, level.context(at), level.follower(at), load(f"{path}/level2/{cell}", "counts")["counts"], mass)
                 yield pa.record_batch([pa.array([cell], pa.int64())], names=["s"])
 
     def dealt(grams, limits: list[int]) -> DataFrame:
@@ -545,7 +619,7 @@ def train(texts: DataFrame) -> Facts:
         cell = key[0].as_py()
         node, rank, c = _cell_sums(table, triple_limits)
         model = _opened(facts)
-        seen = load(f"{path}/level2/{cell}", "counts").astype(np.float64)
+        seen = load(f"{path}/level2/{cell}", "counts")["counts"].astype(np.float64)
         back = 1 - np.bincount(node, c - DISCOUNT, minlength=len(seen)) / seen if len(seen) else seen
         below = np.zeros(len(node))
         if len(node):
@@ -559,7 +633,8 @@ def train(texts: DataFrame) -> Facts:
                 context = middle[at] - facts.bases[model.shard_of(home)]
                 below[at] = decades(level.probability[level.start(context) + rank[at] - model.first_follower(home)])
         p = (c - DISCOUNT) / seen[node] + back[node] * 10**below if len(node) else below
-        save(f"{path}/level3/{cell}", Level.sequences(len(seen), node, rank) | Level.weights(p, back))
+        save(f"{path}/level3/{cell}", "followers", Level.sequences(len(seen), node, rank))
+        save(f"{path}/level3/{cell}", "weights", Level.weights(p, back))
         return pa.table({"s": [cell], "n": [len(node)], "c": [0]})
 
     triple_limits = [n_cells, n_pairs, bases[-1]]

@@ -1,9 +1,11 @@
 import math
 import re
+import resource
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -156,3 +158,23 @@ def test_bodies():
         for a, b, c in zip(*[x.tolist() for x in (*columns, counts)]):
             want[a, b] += 2 * c
         assert dict(zip(zip(*[x.tolist() for x in found]), sums.tolist())) == want and len(sums) == len(want)
+
+
+def test_many_shards_with_few_file_handles(spark, monkeypatch):
+    """200 shards are looked up in a process that may open 256 files, and few of them stay mapped."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20)
+    rows = spark.createDataFrame([(" ".join(f"w{(i * 7 + k) % 900}" for i in range(60)),) for k in range(60)], "text string")
+    facts = lm.train(rows)
+    assert len(facts.bases) > 128
+    texts = pa.array([r.text for r in rows.collect()], pa.large_string())
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, hard))
+    try:
+        whole = lm.Model(facts)
+        first = whole.score(texts)
+        assert len(whole._words.held) > 100
+        monkeypatch.setattr(lm, "OPEN_FILES", 16)
+        small = lm.Model(facts)
+        assert all((a == b).all() for a, b in zip(first, small.score(texts))) and len(small._words.held) == 16
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
