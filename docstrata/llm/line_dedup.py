@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import settle, text_rows
+from docstrata.llm.shared import packed, settle, text_rows, unpacked
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
@@ -177,7 +177,7 @@ def dedup_lines(
 
     Keys of at least `least_chars` code points that occur in two documents lose all their lines except in the smallest
     doc_id that holds them; there also repeated lines stay. A null or empty text is one empty line. Rows that repeat an
-    id are one document. A row without an id is left as it is and counts for no key. All other columns pass through,
+    id are one document. A row without an id is left as it is and counts for no key. `result` replaces a column of that name, all others pass through,
     whatever their names; an empty table gives an empty result.
     """
     texts = text_rows(docs, id_col, text_col)
@@ -189,9 +189,10 @@ def dedup_lines(
         suspects.join(repeated, "key").where("doc_id > first")
         .groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__keys"))
     )
-    joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    cleaned = _clean(least_chars)(F.col(text_col).cast("string"), F.col("__keys"))
-    return joined.withColumn("__cleaned", cleaned).drop("__doc", "__keys", result).withColumnRenamed("__cleaned", result)
+    joined = packed(docs).join(drops, F.col(f"row.`{id_col}`").cast("long") == F.col("__doc"), "left")
+    cleaned = joined.withColumn("clean", _clean(least_chars)(F.col(f"row.`{text_col}`").cast("string"), F.col("__keys")))
+    kept = unpacked(cleaned, [c for c in docs.columns if c != result])
+    return cleaned.select(*kept, F.col("clean").alias(result))
 
 
 #: DuckDB SQL of op4.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import combine, pieces, settle, text_rows, word_hashes
+from docstrata.llm.shared import combine, discard, key_filter, packed, pieces, settle, text_rows, unpacked, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -141,7 +141,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
     both = settle(both, "links")
     labels = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label"))
-    labels = settle(labels, "labels")
+    labels = held = settle(labels, "labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other")
@@ -153,8 +153,10 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(ends, "label").select("node", "old", F.least("label", "end").alias("label")), "labels"
         )
         changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
+        discard(held)
+        held, labels = moved, moved.select("node", "label")
         if not changed:
+            discard(both)
             return labels
 
 
@@ -183,12 +185,14 @@ def near_duplicates(
         F.min(F.struct("doc_id", "keys")).alias("first")
     )
     first = settle(classes.select("c1", "c2", F.col("first.doc_id").alias("rep"), F.col("first.keys").alias("keys")), "classes")
+    narrow = settle(signed.drop("keys"), "classed")
+    discard(signed)
     labels = _linked(texts, first.select(F.col("rep").alias("doc_id"), "keys"), shingle, percent)
     named = first.select("c1", "c2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
         "c1", "c2", F.coalesce("label", "rep").alias("component")
     )
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return signed.drop("keys").join(named, ["c1", "c2"], "left").select(
+    return narrow.join(named, ["c1", "c2"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -199,21 +203,28 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     id one stays; rows with a null id all stay. Rows with equal columns elsewhere, clashing names included, are left
     as they are."""
     found = near_duplicates(docs, id_col, **options)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    left = docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    rows = packed(docs).withColumn("doc_id", F.col(f"row.`{id_col}`").cast("long"))
+    left = rows.join(dropped, "doc_id", "left_anti")
     # The window meets the rows as the join has dealt and sorted them.
-    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    again = F.row_number().over(Window.partitionBy(id_col, "__alone").orderBy(id_col))
-    return left.withColumn("__alone", alone).withColumn("__again", again).where("__again = 1").drop("__alone", "__again")
+    left = left.withColumn("alone", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    again = F.row_number().over(Window.partitionBy("doc_id", "alone").orderBy("doc_id"))
+    left = left.withColumn("again", again).where("again = 1")
+    return left.select(unpacked(left, docs.columns))
 
 
 def _linked(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, label) of every representative that is linked with another one."""
     members = reps.select("doc_id", F.explode("keys").alias("bucket"))
     live = members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = settle(members.join(live.drop("n"), "bucket"), "buckets")
-    wanted = members.select("doc_id").distinct()
-    sets = settle(_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
+    live = settle(live.drop("n"), "live")
+    # Most keys are their document's alone, and most documents have no other; neither has to be shuffled to be dropped.
+    members = settle(members.where(key_filter(live, "bucket")("bucket")).join(live, "bucket"), "buckets")
+    wanted = settle(members.select("doc_id").distinct(), "wanted")
+    near = texts.where(key_filter(wanted, "doc_id")("doc_id"))
+    discard(live)
+    sets = settle(_sets(near.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
+    discard(wanted)
     pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = settle(_compared(pairs, sets, percent), "stars")
     links = stars.where("linked").select("a", "b")
@@ -224,24 +235,33 @@ def _linked(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Da
     left = settle(_unfinished(_split(met.select("bucket", "doc_id", "zone").join(sizes, "doc_id"), percent), labels), "unfinished")
     counted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.greatest("size", F.lit(1000))).alias("weight"))
     few = left.join(counted.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
-    one = few.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    pairs = one.join(few, "bucket").where("a < doc_id and la <> label").select("a", F.col("doc_id").alias("b")).distinct()
+    one = few.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.col("large").alias("ga"))
+    # Two members of both the upper zone, or both the upper class, also meet in the bucket where these are the lower ones.
+    met = one.join(few, "bucket").where("a < doc_id and la <> label and not (fa and far) and not (ga and large)")
+    pairs = met.select("a", F.col("doc_id").alias("b")).distinct()
     found = _compared(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b")
-    many = left.join(counted.where(F.col("n") > SMALL).select("bucket", "weight"), "bucket").join(sets, "doc_id")
+    many = left.drop("far", "large").join(counted.where(F.col("n") > SMALL).select("bucket", "weight"), "bucket").join(sets, "doc_id")
     found = settle(found.union(_blockwise(many, percent)), "links")
-    return components(links.union(found)) if found.limit(1).count() else labels
+    labels = components(links.union(found)) if found.limit(1).count() else labels
+    discard(members, sets, stars, left, found)
+    return labels
 
 
 def _split(met: DataFrame, percent: int) -> DataFrame:
     """Splits the members (bucket, doc_id, zone, size) of each bucket where no link can lie: linked documents are in one
     zone of distance from the bucket's pivot or in two adjacent ones (triangle inequality), and likewise in one class of
-    set sizes or two adjacent ones. Each two adjacent zones and classes make a bucket."""
+    set sizes or two adjacent ones. Each two adjacent zones and classes make a bucket; `far` and `large` mark a member of
+    the upper ones."""
     base = math.log(100 / percent) + 0.005  # above the greatest ratio of sizes, so that rounding splits no link
     rank = F.floor(F.log("size") / base).cast("int")
+
+    def lower_and_upper(value, upper: str):
+        return F.explode(F.array(*[F.struct((value - k).alias("low"), F.lit(bool(k)).alias(upper)) for k in (0, 1)]))
+
     return (
-        met.select("bucket", "doc_id", "size", F.explode(F.array(F.col("zone") - 1, F.col("zone"))).alias("zone"), rank.alias("rank"))
-        .select("bucket", "doc_id", "size", "zone", F.explode(F.array(F.col("rank") - 1, F.col("rank"))).alias("rank"))
-        .select(F.xxhash64("bucket", "zone", "rank").alias("bucket"), "doc_id", "size")
+        met.select("bucket", "doc_id", "size", lower_and_upper(F.col("zone"), "far").alias("z"), rank.alias("rank"))
+        .select("bucket", "doc_id", "size", "z", lower_and_upper(F.col("rank"), "large").alias("r"))
+        .select(F.xxhash64("bucket", "z.low", "r.low").alias("bucket"), "doc_id", "size", "z.far", "r.large")
     )
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import settle
+from docstrata.llm.shared import packed, settle, unpacked
 
 WORDS_LEAST = 10
 REPEAT_PERCENT_MOST = 20
@@ -143,11 +143,13 @@ def judged(
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", rate_most: float = HOST_RATE_MOST) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept. Documents are judged where they are read."""
-    good = docs.withColumn("__rules", rules(F.col(text_col))).where(~fails("__rules")).drop("__rules")
-    scored = measured(docs, text_col, text_col, host_col).select("host", "base_failed")
-    bad = settle(host_verdicts(scored, rate_most).where("not host_kept").select(F.col("host").alias("__host")), "bad-hosts")
-    return good.join(bad, F.col(host_col).cast("string") == F.col("__host"), "left_anti")
+    """The rows of `docs`, all columns, whatever their names, that are kept. The rules are applied once, where the rows are
+    read; what they say is written with the rows."""
+    measured_ = packed(docs).withColumn("m", rules(F.col(f"row.`{text_col}`")))
+    rows = settle(measured_.select("row", F.col(f"row.`{host_col}`").cast("string").alias("host"), fails("m").alias("base_failed")), "judged")
+    bad = settle(host_verdicts(rows.select("host", "base_failed"), rate_most).where("not host_kept").select("host"), "bad-hosts")
+    good = rows.where(~F.col("base_failed")).join(bad, "host", "left_anti")
+    return good.select(unpacked(good, docs.columns))
 
 
 #: DuckDB SQL of `judged` over documents.

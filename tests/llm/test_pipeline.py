@@ -56,7 +56,8 @@ def test_stages_take_odd_rows(spark, sf):
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text + " x", None, None, None), (None, text, "en", "s", None), (3, None, "de", "s", 0),
             (4, "", None, "s", 0), (5, " ".join(f"a{i}" for i in range(60_000)), "en", "t", 1), (6, "one line that repeats\n" + text[::-1], "en", "s", 1),
             (7, "one line that repeats\nq " + " ".join(f"z{i}" for i in range(30)), "en", "s", 2)]
-    extra = "component_id, kept, host, key, ids, label, deduped, window, n, a, b"
+    extra = "component_id, kept, host, key, ids, label, deduped, window, n, a, b, row, m, clean, alone, again, base_failed"
+    extra += ", __dropped, __alone, __again, __host, __rules, __leak, __doc, __keys, __cleaned, __deduped, __salt"
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     frame = frame.selectExpr("*", *[f"cast(doc_id as string) as `{c}`" for c in extra.split(", ")])
     for start in (frame, frame.where("false")):
