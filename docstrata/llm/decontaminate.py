@@ -3,10 +3,12 @@
 Benchmark items and documents become token sequences in which numbers, names and units are typed placeholders. Windows
 of such templates are hash-joined, so that an item is found when its words stand but its parameters are others. The
 values in the slots of one occurrence then have to be consistent: a value of the item stands for one value of the
-document wherever it comes, and the other way round.
+document wherever it comes. Windows in which it stands for another one than in most of them do not count.
 
 Beside the templates go plain windows of all tokens, case-folded and without placeholders, of items of any length: an
-exact copy is found whatever the item consists of and however it is capitalised.
+exact copy is found whatever the item consists of and however it is capitalised. So is a part of an item, copied word by
+word, that is too short for the share: a run of `RUN_LEAST` windows, which are 20 tokens. Items of under `LEAST_PLAIN`
+tokens say nothing within a longer text; for them the document has to be the item.
 
 A Bloom filter of the items' windows, of bounded size, goes to the tasks that read the documents; only windows that
 pass it shuffle, and they are joined exactly. It sorts out rows only: whatever its size, the result is the same.
@@ -14,6 +16,8 @@ pass it shuffle, and they are joined exactly. It sorts out rows only: whatever i
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.line_dedup import SEGMENT_BYTES, Bloom, _merged, filter_bits
-from docstrata.llm.shared import combine, hash_runs, pieces, settle, text_bytes
+from docstrata.llm.shared import combine, hash_runs, pieces, settle, text_bytes, without
 
 WINDOW = 8
 LEAST_TOKENS = 5  # a shorter item has no template, only a plain window
+LEAST_PLAIN = 4
+RUN_LEAST = 13
 SHARE_LEAST = 0.5
 
 #: Words that are a unit after a number.
@@ -121,18 +127,22 @@ def windows(column: pa.Array, lengths: list[int]):
 
 
 def plain_windows(column: pa.Array, lengths: list[int]):
-    """For every slice: (first row, bounds, {length: (starts, hashes)}) of the case-folded tokens. Windows lie in one row."""
+    """For every slice: (first row, bounds, {length: (starts, hashes)}) of the case-folded tokens. Windows lie in one row; one
+    of under `LEAST_PLAIN` tokens is a whole row."""
     for begin, part in pieces(pc.utf8_lower(column.cast(pa.large_string()))):
         data, offsets = text_bytes(part)
         starts, values = hash_runs(data, _TOKEN[data], offsets)
         bounds = np.searchsorted(starts, offsets)
-        ends = np.repeat(bounds[1:], np.diff(bounds))
+        begins, ends = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], bounds[1:]))
         found = {}
         for length in lengths:
             n = len(values) - length + 1
             if n > 0:
                 at = np.arange(n)
-                at = at[at + length <= ends[:n]]
+                fits = at + length <= ends[:n]
+                if length < LEAST_PLAIN:
+                    fits &= (at == begins[:n]) & (at + length == ends[:n])
+                at = at[fits]
                 found[length] = at, combine([values[at + j] for j in range(length)], seed=60 + length)
         yield begin, bounds, found
 
@@ -224,6 +234,26 @@ def _suspected(texts: DataFrame, known: Bloom, lengths: list[int], plain_lengths
     return texts.mapInArrow(find, _HIT)
 
 
+def _occurrence(windows: pa.Array) -> pa.Array:
+    """Of the windows (place, slots) of an occurrence: the places of those whose slots agree, whether all their values are
+    the item's own, and the longest run of places."""
+    out = []
+    for rows in windows.to_pylist():
+        stands = defaultdict(Counter)
+        for row in rows:
+            for slot in row["slots"]:
+                stands[slot["item_slots"]][slot["slots"]] += 1
+        for_ = {own: min(c, key=lambda value: (-c[value], value)) for own, c in stands.items()}
+        kept = [r for r in rows if all(for_[x["item_slots"]] == x["slots"] for x in r["slots"])]
+        places, run, longest = sorted({r["place"] for r in kept}), 0, 0
+        for k, place in enumerate(places):
+            run = run + 1 if k and place == places[k - 1] + 1 else 1
+            longest = max(longest, run)
+        own = all(x["item_slots"] == x["slots"] for r in kept for x in r["slots"])
+        out.append({"places": places, "own": own, "longest": longest})
+    return pa.array(out, pa.struct([("places", pa.list_(pa.int32())), ("own", pa.bool_()), ("longest", pa.int32())]))
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -235,9 +265,10 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_found, share, verbatim: one row for each document and item where at
     least `share_least` of the item's template windows stand in the document with consistent slots, or of its plain
-    windows; the figures are those of the templates where they reach the share, else those of the plain windows.
+    windows, or a run of `RUN_LEAST` plain windows does; the figures are those of the templates where they reach the share,
+    else those of the plain windows.
 
-    verbatim: all slot values are the item's own. Windows have 8 tokens, or the whole item where it has fewer; items under
+    verbatim: all slot values are the item's own, or all of its plain windows stand there. Windows have 8 tokens, or the whole item where it has fewer; items under
     5 canonical tokens and windows with more placeholders than words are looked for as plain windows only. Rows with a null id are
     left out; null and empty texts hold nothing; rows that repeat an id count as one document or item. Other columns
     are ignored; empty tables give an empty result.
@@ -255,21 +286,24 @@ def find_leaks(
         F.arrays_zip("item_slots", "slots").alias("slots"),
     )
     # An occurrence of the item lies on one shift; it has as many rows as the item has windows.
-    pairs = F.array_distinct(F.flatten(F.collect_list("slots")))
-    seen = met.groupBy("doc_id", "item_id", "plain", "shift").agg(F.collect_set("item_place").alias("places"), pairs.alias("pairs"))
-    mine, own = F.col("pairs.slots"), F.col("pairs.item_slots")
-    consistent = (F.size(F.array_distinct(mine)) == F.size("pairs")) & (F.size(F.array_distinct(own)) == F.size("pairs"))
-    kept = seen.where(consistent).withColumn("verbatim", F.forall("pairs", lambda p: p["slots"] == p["item_slots"]))
+    rows = F.collect_set(F.struct(F.col("item_place").alias("place"), "slots"))
+    seen = met.groupBy("doc_id", "item_id", "plain", "shift").agg(rows.alias("rows"))
+    judged = F.arrow_udf(_occurrence, "struct<places: array<int>, own: boolean, longest: int>")
+    kept = seen.select("doc_id", "item_id", "plain", judged("rows").alias("o"))
     found = kept.groupBy("doc_id", "item_id", "plain").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"), F.bool_and("verbatim").alias("verbatim")
-    )
+        F.size(F.array_distinct(F.flatten(F.collect_set("o.places")))).cast("long").alias("n_found"),
+        F.bool_and("o.own").alias("own"), F.max("o.longest").alias("longest"),
+    )
     share = F.col("n_found") / F.col("n_windows")
-    reached = found.join(totals, ["item_id", "plain"]).where(share >= share_least)
-    figures = F.struct("n_windows", "n_found", F.round(share, 6).alias("share"), "verbatim")
+    enough = (share >= share_least) | (F.col("plain") & (F.col("longest") >= RUN_LEAST))
+    reached = found.join(totals, ["item_id", "plain"]).where(enough)
+    verbatim = F.when(F.col("plain"), F.col("n_found") == F.col("n_windows")).otherwise(F.col("own"))
+    figures = F.struct("n_windows", "n_found", F.round(share, 6).alias("share"), verbatim.alias("verbatim"))
     return reached.groupBy("doc_id", "item_id").agg(F.min_by(figures, "plain").alias("f")).select("doc_id", "item_id", "f.*")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, without the documents that hold an item. Rows with a null id stay."""
-    leaks = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long") == F.col("__leak"), "left_anti")
+    """The rows of `docs`, all columns, whatever their names, without the documents that hold an item. Rows with a null id
+    stay."""
+    leaks = find_leaks(docs, items, id_col, **options).select("doc_id").distinct()
+    return without(docs, id_col, leaks)

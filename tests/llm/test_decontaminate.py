@@ -1,4 +1,6 @@
+import itertools
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 
@@ -31,29 +33,48 @@ def canon(text):
     return out
 
 
+def occurrences(spots, windows, key):
+    """{place: slots} of every shift."""
+    shifts = {}
+    for j, seen in windows.items():
+        for i, window in spots.items():
+            if key(window) == key(seen):
+                shifts.setdefault(j - i, {})[i] = [(a, b) for a, b in zip(window, seen) if a[0] != "w"]
+    return shifts.values()
+
+
+def agreeing(rows):
+    values = {}
+    for slots in rows.values():
+        for a, b in slots:
+            values.setdefault(a, Counter())[b] += 1
+    # Of values that are equally common either may stand; the tests have none.
+    stands = {a: c.most_common(1)[0][0] for a, c in values.items()}
+    return {i: slots for i, slots in rows.items() if all(stands[a] == b for a, b in slots)}
+
+
+def longest(places):
+    return max((sum(1 for _ in g) for _, g in itertools.groupby(enumerate(sorted(places)), lambda x: x[1] - x[0])), default=0)
+
+
 def brute(docs, items):
     leaks = {}
-    for item_id, body in items:
-        c = canon(body)
-        if len(c) < d.LEAST_TOKENS:
-            continue
-        w = min(len(c), d.WINDOW)
-        key = lambda seq: tuple(v if k == "w" else k for k, v in seq)
-        spots = {i: c[i : i + w] for i in range(len(c) - w + 1) if 2 * sum(k == "w" for k, _ in c[i : i + w]) >= w}
-        for doc_id, text in docs:
-            t = canon(text)
-            shifts = {}
-            for j in range(len(t) - w + 1):
-                for i, window in spots.items():
-                    if key(window) == key(t[j : j + w]):
-                        pairs = {(a, b) for a, b in zip(window, t[j : j + w]) if a[0] != "w"}
-                        places, seen = shifts.setdefault(j - i, (set(), set()))
-                        places.add(i)
-                        seen |= pairs
-            good = [(p, s) for p, s in shifts.values() if len({a for a, _ in s}) == len(s) == len({b for _, b in s})]
-            n = len(set().union(*[p for p, _ in good])) if good else 0
-            if spots and n >= d.SHARE_LEAST * len(spots):
-                leaks[doc_id, item_id] = (len(spots), n, all(a == b for _, s in good for a, b in s))
+    folded = lambda text: [("w", t) for t in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())]
+    for (item_id, body), (doc_id, text) in itertools.product(items, docs):
+        for plain in (False, True):
+            c, t = (folded(body), folded(text)) if plain else (canon(body), canon(text))
+            if not c or (not plain and len(c) < d.LEAST_TOKENS) or (plain and len(c) < d.LEAST_PLAIN and len(t) != len(c)):
+                continue
+            w = min(len(c), d.WINDOW)
+            key = lambda seq: tuple(v if k == "w" else k for k, v in seq)
+            cut = lambda x: {i: x[i : i + w] for i in range(len(x) - w + 1) if plain or 2 * sum(k == "w" for k, _ in x[i : i + w]) >= w}
+            spots = cut(c)
+            good = [agreeing(rows) for rows in occurrences(spots, cut(t), key)]
+            n = len(set().union(*good)) if good else 0
+            if spots and (n >= d.SHARE_LEAST * len(spots) or (plain and max(map(longest, good), default=0) >= d.RUN_LEAST)):
+                same = n == len(spots) if plain else all(a == b for rows in good for slots in rows.values() for a, b in slots)
+                leaks[doc_id, item_id] = (len(spots), n, same)
+                break
     return leaks
 
 
@@ -82,7 +103,7 @@ def test_reparameterised_and_inconsistent(spark):
     got = run(spark, docs, ITEMS)
     assert got == brute([r for r in docs if r[0] is not None], [r for r in ITEMS if r[0] is not None])
     assert got[10, 1][2] and not got[11, 1][2] and (13, 1) in got and (17, 2) in got and (18, 5) in got and (19, 1) in got
-    assert got.get((12, 1), (9, 0))[1] < got[11, 1][1] and not any(k[0] in (14, 20) for k in got)
+    assert 0 < got[12, 1][1] < got[11, 1][1] and not any(k[0] in (14, 20) for k in got)
 
 
 def test_empty(spark):
@@ -106,7 +127,7 @@ def test_documents(spark, sf):
 def test_exact_copies_of_every_kind(spark):
     items = [
         (1, "12 + 30 = 42, 7 + 8 = 15, 9 + 1 = 10, 2 + 2 = 4"), (2, "WHO WROTE THE BOOK ABOUT THE GREAT WHITE WHALE OF NANTUCKET"),
-        (3, "Did Anna Bell meet Carl Dorn in Oslo or did Erik Falk see Gina Holm in Rome"), (4, "name the river here please"), (5, "pi squared"),
+        (3, "Did Anna Bell meet Carl Dorn in Oslo or did Erik Falk see Gina Holm in Rome"), (4, "name the river here please"),
     ]
     docs = [(i, f"Some text: {body} and more.") for i, body in items]
     docs += [(10 + i, f"Some text: {body.lower()} and more.") for i, body in items]
@@ -114,3 +135,21 @@ def test_exact_copies_of_every_kind(spark):
     docs += [(31, "Name the lake here please"), (32, "pi is squared"), (33, "12 + 31 = 43")]
     got = run(spark, docs, items)
     assert set(got) == {(k + i, i) for i, _ in items for k in (0, 10, 20)}
+
+
+def test_short_items_runs_and_equal_values(spark):
+    long = " ".join(f"word{i}" for i in range(59))
+    items = [(1, "Yes"), (2, "pi squared"), (3, long), (4, ITEMS[0][1])]
+    part = " ".join(long.split()[7:32])
+    same_value = ITEMS[0][1].replace("12", "7").replace("5 apples", "7 apples")
+    docs = [(1, "I said yes to a plan, pi squared"), (2, "Yes!"), (3, "PI SQUARED"), (4, f"Before. {part} after it."),
+            (5, " ".join(long.split()[7:25])), (6, same_value), (7, "pi squared " * 3)]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items)
+    assert set(got) == {(2, 1), (3, 2), (4, 3), (6, 4)} and got[4, 3] == (52, 18, False) and not got[6, 4][2] and got[2, 1][2]
+
+
+def test_other_columns_pass_whatever_their_names(spark):
+    docs = spark.createDataFrame([(1, ITEMS[0][1], 5, 6), (2, "clean", 7, 8)], "doc_id long, text string, __leak int, row int")
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert [tuple(r) for r in d.drop_leaks(docs, items).collect()] == [(2, "clean", 7, 8)]
