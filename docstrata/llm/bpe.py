@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -292,20 +293,22 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     where it is read.
     """
 
-    def roundtrip(texts: pa.Array) -> pa.Array:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kinds = [rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    schema = T.StructType(kinds)
+
+    # One pass for both: as two functions, Spark would encode once for the ids and once more for what is decoded. Results
+    # leave in small batches, so that neither side holds those of a whole input batch.
+    def roundtrip(batches):
         own = codec(path)
-        ids, decoded = [], []
-        for k in range(0, len(texts), SLICE_ROWS):
-            found = own.encode_all([t or "" for t in texts.slice(k, SLICE_ROWS).to_pylist()])
-            ids.append(pa.array(found, pa.list_(pa.int32())))
-            decoded.append(pa.array([own.decode(i) for i in found], pa.string()))
-        columns = [pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32())), pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())]
-        return pa.StructArray.from_arrays(columns, names=["ids", "decoded"])
-
-    # One function for both: as two, Spark would encode once for the ids and once more for what is decoded.
-    run = F.arrow_udf(roundtrip, "struct<ids: array<int>, decoded: string>")
-    found = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("r"))
-    return found.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids", "r.decoded")
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                found = own.encode_all([t or "" for t in part.column(1).to_pylist()])
+                columns = [pa.array([len(i) for i in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array([own.decode(i) for i in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+
+    return rows.mapInArrow(roundtrip, schema)
 
 
 def digests(tokens: DataFrame, *more: str) -> DataFrame:
