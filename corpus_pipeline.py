@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document with a smaller id holds go; every document stays, if only with an empty text. n_chars
     follows the text."""
-    cleaned = line_dedup.dedup_lines(docs, result="__deduped")
-    changed = F.col("__deduped.n_dropped") > 0
-    new = {"text": F.col("__deduped.text"), "n_chars": F.length("__deduped.text")}
+    name = "deduped" + "_" * max(map(len, docs.columns))  # no column of `docs`
+    cleaned = line_dedup.dedup_lines(docs, result=name)
+    changed = F.col(f"{name}.n_dropped") > 0
+    new = {"text": F.col(f"{name}.text"), "n_chars": F.length(f"{name}.text")}
     kinds = dict(docs.dtypes)
     return cleaned.select(
         *[
