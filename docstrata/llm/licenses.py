@@ -2,7 +2,7 @@
 
 The segments of a document are its lines, its paragraphs (runs of lines between blank ones) and its whole text. A
 segment and a template that differ too much in size cannot reach the least coefficient, so only templates within the
-size bounds are compared. Only DataFrame functions, no shuffle: every row is judged where it is read.
+size bounds are compared. A template that names a version needs a segment that names it too. Only DataFrame functions, no shuffle: every row is judged where it is read.
 """
 
 from __future__ import annotations
@@ -43,11 +43,37 @@ later version."""
 _MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
 not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+_GPL2 = _GPL3.replace("version 3", "version 2")
+_LGPL3 = _GPL3.replace("General Public", "Lesser General Public")
+_LGPL21 = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+later version."""
+_AGPL3 = _GPL3.replace("General Public", "Affero General Public")
+_MIT_WHOLE = _MIT + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_CC0 = """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide. This software is distributed without any warranty."""
+
+#: Identifiers of licences as source files name them, and the licence each stands for.
+SPDX: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("Apache-2.0", "Apache-2.0"), ("BSD-2-Clause", "BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD-3-Clause"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC0-1.0", "CC0-1.0"),
+    ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"),
+    ("ISC", "ISC"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0-only"),
+    ("LGPL-3.0", "LGPL-3.0-or-later"), ("MIT", "MIT"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"),
+)
+
 #: Licence id and template text. An id may have several templates.
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", _AGPL3),
     ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", _BSD2),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", _BSD3),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -56,15 +82,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", _CC0),
+    ("GPL-2.0", _GPL2),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", _GPL3),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", _ISC),
+    ("LGPL-2.1", _LGPL21),
+    ("LGPL-3.0", _LGPL3),
     ("MIT", _MIT),
+    ("MIT", _MIT_WHOLE),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License"),
     ("MPL-2.0", _MPL2),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, f"SPDX-License-Identifier: {said}") for name, said in SPDX),
 )
 
+#: Words that name a version with the number that follows. Such a pair of a template has to stand in what is
+#: compared with it: licences that differ in their version share nearly all of their text.
+VERSIONED = (
+    "version v license apache gpl lgpl agpl mpl bsd cc0 by nc sa attribution noncommercial sharealike"
+).split()
+
+
+def versions(grams: set[str]) -> list[str]:
+    """The pairs of a template that name a version."""
+    return sorted(g for g in grams if (p := g.split(" "))[0] in VERSIONED and p[1].isdigit() and p[1].isascii())
+
 
 def bigram_set(text: str) -> set[str]:
     """Distinct word bigrams of a normalised text; as `bigrams` has them."""
@@ -114,6 +161,8 @@ def matches(text: Column, templates: Sequence[tuple[str, str]], dice_least: floa
                     both = F.size(F.array_intersect(shared, F.array(*map(F.lit, body))))
                     dice = F.lit(2.0) * both / (n + size)
                     fits = (n >= low) & (n <= high) & (2 * F.size(shared) >= dice_least * (n + size))
+                    for named in versions(set(body)):
+                        fits = fits & F.array_contains(shared, named)
                     options.append(F.when(fits, dice))
                 # The first of equal scores: the templates are in order of their ids.
                 return let(
@@ -166,6 +215,7 @@ def scan_licenses(
 
 def _sql() -> str:
     rows = ", ".join(f"""({i}, '{name}', '{body.replace("'", "''")}')""" for i, (name, body) in enumerate(sorted(TEMPLATES)))
+    named = f"regexp_full_match(gram, '({'|'.join(VERSIONED)}) [0-9]+')"
     grams = (
         "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     )
@@ -180,10 +230,12 @@ s as (
 sw as (select doc_id, segment, {words.format(t="segment")} as w from s where regexp_matches(segment, '[^\x20\x09-\x0D]')),
 sg as (select doc_id, segment, {grams.format(w="w")} as g, row_number() over () as sid from sw),
 bg as (select sid, doc_id, len(g) as n, unnest(g) as gram from sg),
-tb as (select tid, license, len(g) as n, unnest(g) as gram from tg),
+tb as (select *, {named} as named, count(*) filter ({named}) over (partition by tid) as n_named
+  from (select tid, license, len(g) as n, unnest(g) as gram from tg)),
 d as (
   select bg.sid, bg.doc_id, tb.license, tb.tid, 2.0::double * count(*) / (any_value(bg.n) + any_value(tb.n)) as dice
-  from bg join tb using (gram) group by bg.sid, bg.doc_id, tb.license, tb.tid having dice >= {DICE_LEAST}),
+  from bg join tb using (gram) group by bg.sid, bg.doc_id, tb.license, tb.tid
+  having dice >= {DICE_LEAST} and count(*) filter (tb.named) = any_value(tb.n_named)),
 b as (select sid, doc_id, license, dice from d qualify row_number() over (partition by sid order by dice desc, license, tid) = 1),
 r as (
   select doc_id, count(*) as n_matches, arg_max(license, (dice, -row_rank)) as license, max(dice) as dice,

@@ -1,9 +1,9 @@
+import re
+
 from docstrata.llm import licenses
 
 
 def brute(text):
-    import re
-
     parts = {*(text or "").split("\n"), *re.split(r"\n[\x20\x09-\x0D]*\n", text or ""), text or ""}
     out = []
     for part in parts:
@@ -12,7 +12,8 @@ def brute(text):
         for name, body in licenses.TEMPLATES:
             other = licenses.bigram_set(body)
             dice = 2 * len(found & other) / ((len(found) + len(other)) or 1)
-            if dice >= licenses.DICE_LEAST:
+            numbers = {g for g in other if re.fullmatch(f"({'|'.join(licenses.VERSIONED)}) [0-9]+", g)}
+            if dice >= licenses.DICE_LEAST and numbers <= found:
                 scores.append((-dice, name))
         if scores:
             out.append(min(scores))
@@ -36,3 +37,19 @@ def test_against_all_templates(spark):
     assert got[5].license == "MIT" and got[6].license == "MIT" and got[8].license == "MIT" and got[0].license is None
     assert licenses.scan_licenses(frame.where("false")).count() == 0
     assert licenses.scan_licenses(frame, templates=()).where("license is not null").count() == 0
+
+
+def test_common_forms_and_versions(spark):
+    """The usual notices are found; licences of another version are not taken for this one."""
+    notice = licenses._GPL3
+    texts = {
+        "Licensed under the MIT License.": "MIT", "Licensed under the Apache License 2.0": "Apache-2.0", "MIT License": "MIT",
+        "// SPDX-License-Identifier: MIT": "MIT", " * SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", notice: "GPL-3.0",
+        notice.replace("version 3", "version 2"): "GPL-2.0", notice.replace("version 3", "version 1"): None,
+        notice.replace("General Public", "Affero General Public"): "AGPL-3.0", licenses._LGPL21: "LGPL-2.1", "Licensed under CC BY 3.0.": None,
+        licenses._MIT_WHOLE: "MIT", "a line about the MIT campus": None, "SPDX-License-Identifier: X11": None,
+    }
+    frame = spark.createDataFrame([(t,) for t in [*texts, *texts]], "text string")
+    got = licenses.scan_licenses(frame, id_col="text").collect()
+    assert len(got) == 2 * len(texts)  # repeated rows give a row each
+    assert {r.doc_id: r.license for r in got} == texts
