@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docstrata.workload import (  # noqa: F401
+    file_queries,
     index_queries,
     search_queries,
     stats_queries,
