@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.llm.shared import mix64
@@ -152,7 +152,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     for name, size in sorted(counts.items()):
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / size))).otherwise(share)
     spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    picked = rows.where(spread < share).select("lang", "text")
+    # Copies of a text are one before they meet in a task, and a task has at most `sample` texts.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    picked = rows.where(spread < share).select("lang", "text").distinct()
+    picked = picked.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("k")
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
         model = Model(idf, np.zeros((0, 0)), [], {})
@@ -166,7 +169,6 @@ def fit(rows: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         rows = [centre.astype(np.float32).tobytes() for centre in centres]
         return pa.table({"lang": [key[0].as_py()] * len(rows), "centre": rows, "least": [least] * len(rows)})
 
-    # At most about `sample` texts a language meet in a task.
     fitted = picked.groupBy("lang").applyInArrow(train, "lang string, centre binary, least double").collect()
     fitted.sort(key=lambda r: (r.lang, bytes(r.centre)))
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in fitted]) if fitted else np.zeros((0, DIMENSIONS))
