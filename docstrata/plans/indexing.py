@@ -153,6 +153,14 @@ def index_tree(
     return plan
 
 
+def save_chunks(rows: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """Writes chunk rows as a table bucketed by id, and reads it. Hits then fetch their texts from the buckets they are in:
+    neither the look-up nor a semi-join moves the chunks. `buckets` should give files of some hundred MB."""
+    # Dealt as the buckets are, so that every bucket is one file.
+    rows.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def search_text(
     chunks: DataFrame,
     queries: DataFrame,

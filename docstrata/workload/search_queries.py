@@ -160,6 +160,18 @@ def ivf_recall(spark, sf):
     return ann.recall_at(found, exact).select(F.round("recall", 6).alias("recall"))
 
 
+@query(
+    "q5_search_bucketed",
+    _with_hits('select query_id, id, path, page, "offset", text, score, title, cast(rank as int) as rank from hits'),
+)
+def search_bucketed(spark, sf):
+    """The same over a chunk table bucketed by id."""
+    path = fresh_dir(spark, "bucketed")
+    chunks = indexing.save_chunks(_text_chunks(spark, sf), "chunks_" + path.rsplit("-", 1)[-1], path, 8)
+    questions = t.given(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return indexing.search_text(chunks, questions, 10, prefix="query: ").withColumn("score", F.round("score", 6))
+
+
 _UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
 
 _FIXED_TREE = f"""

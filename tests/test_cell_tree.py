@@ -125,3 +125,24 @@ def test_groups_of_the_grid_by_size(data, monkeypatch):
     monkeypatch.setattr(search, "LEAST_SIDE", 8)
     monkeypatch.setattr(search, "GRID_BYTES", 8 * 8 * 10)
     assert found(search.batch_topk(rows, queries, 4, broadcast_bytes=0)) == want
+
+
+def test_hits_fetch_texts_without_moving_the_chunks(spark, tmp_path):
+    """Over a table bucketed by id only the hits are shuffled."""
+    from docstrata.plans import indexing
+
+    rows = spark.range(400).selectExpr(
+        "cast(id as string) as id", "concat('/', id) as path", "1 as page", "0L as offset", "concat('text ', id) as text", "'' as title",
+        "array(cast(id as double), 1.0D) as vector",
+    )
+    chunks = indexing.save_chunks(rows, f"chunks_{tmp_path.name}", str(tmp_path / "chunks"), 4)
+    assert len([f for f in (tmp_path / "chunks").iterdir() if f.name.startswith("part-")]) == 4
+    hits = spark.createDataFrame([(1, "7", 0.1, 1), (1, "8", 0.2, 2), (2, "7", 0.3, 1)], "query_id int, id string, distance double, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.project_hits(hits, chunks)
+        assert sorted((r["query_id"], r["id"], r["text"]) for r in found.collect()) == [(1, "7", "text 7"), (1, "8", "text 8"), (2, "7", "text 7")]
+        semi = chunks.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in semi and semi.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
