@@ -42,6 +42,10 @@ def test_recall_query(spark, sf):
     assert 0.3 < value <= 1.0
 
 
+def test_measured_probes_reach_their_recall(spark, sf):
+    assert QUERIES["q6_tree_recall"](spark, sf).first()["recall"] >= 0.85  # probes are measured on a tenth, for 0.9
+
+
 def test_entry_has_rows(spark):
     frame = contract.entry(spark)
     assert frame.columns == ["query_id", "id", "path", "page", "offset", "text", "score", "title", "rank"]
