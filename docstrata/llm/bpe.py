@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 300_000  # of each of two generations, and those of one slice of texts
+CACHE_PIECES = 100_000  # of each of two generations, and those of one slice of texts
 SHORT_BYTES = 64
 SLICE_ROWS = 256
 FOREST_ROWS = 8_192
