@@ -308,5 +308,9 @@ def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         *members.columns, F.coalesce("label", "doc_id").alias("label")
     )
-    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    spread = named.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("far").alias("all_far"), F.min("large").alias("all_large")
+    )
+    # Where all members are of the upper zone, or class, the bucket in which these are the lower ones has them all.
+    spread = spread.where("low <> high and not all_far and not all_large")
     return named.join(spread.select("bucket"), "bucket", "left_semi")
