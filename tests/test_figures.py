@@ -164,3 +164,12 @@ def test_no_slice_of_a_heavy_tail_is_ranked_whole(spark):
     assert "slice" in plan and "Window" in plan
     row = stats.latency_stats(frame, "op").first()
     assert row["samples"] == 4000 and row["p50"] < row["p95"] < row["p99"] <= row["max"]
+
+
+def test_slope_of_a_constant_over_many_rows(spark):
+    """Merged partial means of 200 000 ones are not exactly one."""
+    points = spark.range(200_000, numPartitions=7).selectExpr("'a' as g", "1 as x", "id % 97 * 1.1D as y")
+    varied = spark.createDataFrame([("b", x, 3.0 * x + 1) for x in range(5)], "g string, x int, y double")
+    hollow = spark.createDataFrame([("c", 1, 2.0), ("c", 2, None), ("c", 1, 5.0)], "g string, x int, y double")
+    rows = points.unionByName(varied).unionByName(hollow)
+    assert sorted(map(tuple, stats.slope(rows, "x", "y", "g").collect())) == [("a", 0.0), ("b", pytest.approx(3.0)), ("c", 0.0)]
