@@ -116,13 +116,14 @@ state as (select rel, {_collapse("case when " + _CHANGED + " then text || ' More
 kept as (select rel, text from state where not gone),
 cut as ({sentence_chunk_sql("kept", "rel", 500, 60)})
 select rel as path, case when gone then 'deleted' else 'indexed' end as status,
-  case when gone then 0 else (select count(*) from cut where cut.rel = state.rel) end::int as chunk_count
+  case when gone then 0 else (select count(distinct "offset") from cut where cut.rel = state.rel) end::int as chunk_count
 from state
 """,
 )
 def index_tree(spark, sf):
     """The whole index job over a tree, then once more after files were added, changed and removed. The second run may
-    open the added and the changed files only."""
+    open the added and the changed files only. Of chunks that begin at one offset, and so share their id, the last is
+    stored and counted; it contains the others."""
     root = fresh_dir(spark, "files")
     docs = _docs(spark, sf)
     chunks, status = store.chunk_store(spark, fresh_dir(spark, "chunks"), buckets=8), store.status_store(spark, fresh_dir(spark, "status"), buckets=8)
