@@ -20,7 +20,7 @@ SCORE_DIGITS = 6
 # Queries are sent to the executors whole only up to this size; beyond it both sides are shuffled in cells.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Bytes of either side's vectors in one task of the grid, and the least rows of a side worth a task.
-GRID_BYTES = 64 * 1024 * 1024
+GRID_BYTES = 32 * 1024 * 1024
 LEAST_SIDE = 2_000
 # Queries ranked at a time within a task.
 QUERY_BLOCK = 4_096
@@ -30,6 +30,9 @@ TIES = 8
 
 # Elements of one score matrix held in memory.
 MATRIX_ELEMENTS = 4_000_000
+# Rows that set the first limits, and pairs computed exactly at a time.
+FIRST_ROWS = 256
+EXACT_PAIRS = 20_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -55,30 +58,64 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+class _Rows:
+    """Vectors as the metric compares them, and the same in single precision for a first look."""
+
+    def __init__(self, vectors: np.ndarray, metric: str):
+        self.exact = _unit_rows(vectors) if metric == "cosine" else vectors
+        self.quick = self.exact.astype(np.float32)
+        self.length = np.sqrt(np.einsum("ij,ij->i", self.exact, self.exact))
+        if metric != "cosine":
+            self.quick = np.column_stack([self.quick, (-0.5 * self.length**2).astype(np.float32)])
+        # Squares of longer vectors leave single precision.
+        self.plain = bool((self.length < 1e15).all())
+
+    def part(self, at: int, n: int) -> _Rows:
+        out = object.__new__(_Rows)
+        out.exact, out.quick, out.length, out.plain = self.exact[at : at + n], self.quick[at : at + n], self.length[at : at + n], self.plain
+        return out
+
+
 class _TopK:
     """Running k nearest rows per query, ordered by (distance, id)."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.metric, self.k = metric, k
         self.queries = _unit_rows(queries) if metric == "cosine" else queries
+        self.length = np.sqrt(np.einsum("ij,ij->i", self.queries, self.queries))
         self.limit = np.full(len(queries), np.inf)
-        self.q = np.empty(0, dtype=np.int64)
-        self.d = np.empty(0)
+        self.found = np.zeros(len(queries), dtype=np.int64)
+        self.d = np.full((len(queries), k), np.inf)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: pa.Array, vectors: np.ndarray, members: np.ndarray | None = None) -> None:
+    def add(self, ids: pa.Array, vectors: np.ndarray | _Rows, members: np.ndarray | None = None) -> None:
         """Offers rows to all queries, or to those at the positions `members`."""
         if not len(ids):
             return
         members = np.arange(len(self.queries)) if members is None else members
-        vectors = _unit_rows(vectors) if self.metric == "cosine" else vectors
-        step = max(1, MATRIX_ELEMENTS // max(1, len(members)))
-        for at in range(0, len(ids), step):
-            self._block(ids.slice(at, step), vectors[at : at + step], members)
-
-    def _block(self, ids: pa.Array, vectors: np.ndarray, members: np.ndarray) -> None:
-        d = np.round(_distances(self.queries[members], vectors, self.metric), SCORE_DIGITS) + 0.0
+        rows = vectors if isinstance(vectors, _Rows) else _Rows(vectors, self.metric)
+        for begin in range(0, len(members), QUERY_BLOCK):
+            part = members[begin : begin + QUERY_BLOCK]
+            most = max(1, MATRIX_ELEMENTS // len(part))
+            # The first rows set the limits; later blocks grow with what was seen, so that few rows of each pass.
+            at, step = 0, most if np.isfinite(self.limit[part]).all() else max(FIRST_ROWS, 2 * self.k)
+            while at < len(ids):
+                n = min(step, most)
+                self._block(ids.slice(at, n), rows.part(at, n), part)
+                at, step = at + n, 2 * step
+
+    def _block(self, ids: pa.Array, rows: _Rows, members: np.ndarray) -> None:
         limit = self.limit[members]
+        ready = np.isfinite(limit) & (self.length[members] < 1e15) if rows.plain else np.zeros(len(members), dtype=bool)
+        if ready.any():
+            near = self._near(rows, members[ready], limit[ready])
+            if near is not None:
+                row, col, d = near
+                self._merge(members[ready][row], d, ids, col)
+                members, limit = members[~ready], limit[~ready]
+        if not len(members):
+            return
+        d = np.round(_distances(self.queries[members], rows.exact, self.metric), SCORE_DIGITS) + 0.0
         if d.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
         keep = d <= limit[:, None]
@@ -90,30 +127,68 @@ class _TopK:
             room = self.k - below.sum(axis=1)
             keep = below | (equal & (np.cumsum(equal, axis=1) <= room[:, None]))
         row, col = np.nonzero(keep)
-        if not len(row):
+        self._merge(members[row], d[row, col], ids, col)
+
+    def _near(self, rows: _Rows, members: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(place in members, row, distance) of the rows within the limits; None where too many are close to them.
+
+        Products in single precision leave out what is too far by more than their error; the rest is computed exactly."""
+        q, far = self.queries[members], limit + 10.0**-SCORE_DIGITS
+        quick, length = q.astype(np.float32), self.length[members]
+        error = (q.shape[1] + 16) * 2.0**-23
+        if self.metric == "cosine":
+            least = 1.0 - far - error
+        else:
+            quick = np.column_stack([quick, np.ones(len(quick), dtype=np.float32)])
+            longest = rows.length.max()
+            least = 0.5 * (length**2 - far**2) - error * (length**2 + far**2 + length * longest + longest**2)
+        close = quick @ rows.quick.T >= least.astype(np.float32)[:, None]
+        if np.count_nonzero(close) > TIES * self.k * len(members):
+            return None
+        row, col = np.divmod(np.flatnonzero(close), close.shape[1])
+        d = np.empty(len(row))
+        for begin in range(0, len(row), EXACT_PAIRS):
+            i, j = row[begin : begin + EXACT_PAIRS], col[begin : begin + EXACT_PAIRS]
+            product = np.einsum("ij,ij->i", q[i], rows.exact[j])
+            if self.metric != "cosine":
+                product = np.sqrt(np.maximum(length[i] ** 2 + rows.length[j] ** 2 - 2.0 * product, 0.0))
+            d[begin : begin + EXACT_PAIRS] = 1.0 - product if self.metric == "cosine" else product
+        d = np.round(d, SCORE_DIGITS) + 0.0
+        keep = d <= limit[row]
+        return row[keep], col[keep], d[keep]
+
+    def _merge(self, q: np.ndarray, dist: np.ndarray, ids: pa.Array, col: np.ndarray) -> None:
+        """Adds candidates, rows `col` of `ids`, to the queries `q`."""
+        if not len(q):
             return
-        q = np.concatenate([self.q, members[row]])
-        dist = np.concatenate([self.d, d[row, col]])
         # Only the candidates' ids leave Arrow: few, once the first rows have set the limits.
         names = np.array(ids.take(pa.array(col)).to_pylist())
-        names = names if self.ids is None else np.concatenate([self.ids, names])
+        changed = np.unique(q)
+        if self.ids is None:
+            self.ids = np.zeros((len(self.queries), self.k), dtype=names.dtype)
+        else:
+            self.ids = self.ids.astype(np.result_type(self.ids, names), copy=False)
+            held, place = np.nonzero(np.arange(self.k) < self.found[changed][:, None])
+            held = changed[held]
+            q, dist = np.concatenate([q, held]), np.concatenate([dist, self.d[held, place]])
+            names = np.concatenate([names, self.ids[held, place]])
         order = np.lexsort((names, dist, q))
         q, dist, names = q[order], dist[order], names[order]
-        first = np.searchsorted(q, q, side="left")
-        place = np.arange(len(q)) - first
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
-        self.q, self.d, self.ids = q[keep], dist[keep], names[keep]
-        full = place == self.k - 1
-        self.limit[q[full]] = dist[full]
+        self.d[q[keep], place[keep]], self.ids[q[keep], place[keep]] = dist[keep], names[keep]
+        self.found[changed] = np.minimum(np.searchsorted(q, changed, side="right") - np.searchsorted(q, changed), self.k)
+        self.limit[changed] = self.d[changed, self.k - 1]
 
     def batch(self, query_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch | None:
         if self.ids is None:
             return None
+        q, place = np.nonzero(np.arange(self.k) < self.found[:, None])
         return pa.RecordBatch.from_arrays(
             [
-                query_ids.take(pa.array(self.q)).cast(schema.field(0).type),
-                pa.array(self.ids.tolist(), schema.field(1).type),
-                pa.array(self.d, pa.float64()),
+                query_ids.take(pa.array(q)).cast(schema.field(0).type),
+                pa.array(self.ids[q, place].tolist(), schema.field(1).type),
+                pa.array(self.d[q, place], pa.float64()),
             ],
             schema=schema,
         )
@@ -279,7 +354,7 @@ def _celled_nearest(chunks, queries, k, metric, schema, query_count, celled) ->
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or asked.num_rows == 0:
             return out.empty_table()
-        ids, vectors, found = _combined(rows.column("id")), _matrix(rows.column("vector")), []
+        ids, vectors, found = _combined(rows.column("id")), _Rows(_matrix(rows.column("vector")), metric), []
         for begin in range(0, asked.num_rows, QUERY_BLOCK):
             part = asked.slice(begin, QUERY_BLOCK)
             top = _TopK(_matrix(part.column("vector")), k, metric)

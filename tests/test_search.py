@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_probing_skips_cells(spark, sf, tmp_path):
     asked = rows.orderBy("id").limit(1).selectExpr("id as query_id", "vector")
     plan = ann.probe_ivf(index, asked, 5, nprobe=2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell") and "PartitionFilters: []" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_most_pairs_are_left_out_by_single_precision(metric, monkeypatch):
+    """Only rows near a query's limit are computed in full; the result is that of all pairs in full."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6_000, 16)) * rng.choice([1.0, 3.0], size=(6_000, 1))
+    v[5_000:] = v[rng.integers(0, 30, 1_000)]
+    full, distances = [], search._distances
+    monkeypatch.setattr(search, "_distances", lambda q, v, m: full.append(len(q) * len(v)) or distances(q, v, m))
+    top = search._TopK(v[:300], 10, metric)
+    top.add(pa.array(np.arange(6_000)), v[:6_000])
+    assert sum(full) < 0.5 * 300 * 6_000
+    unit = search._unit_rows(v) if metric == "cosine" else v
+    d = np.round(distances(unit[:300], unit, metric), 6) + 0.0
+    for q in range(300):
+        order = np.lexsort((np.arange(6_000), d[q]))[:10]
+        assert top.ids[q].tolist() == order.tolist()
+        assert top.d[q] == pytest.approx(d[q][order], abs=2e-6)
