@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from docstrata.functions import vectors as vx
 from docstrata.operators import search
 from docstrata.operators.search import _matrix, _unit_rows
+from docstrata.session import ensure_checkpoint_dir
 
 #: Rows of a top cell that one task assigns to its leaves.
 TASK_ROWS = 50_000
@@ -238,14 +239,16 @@ def _lined_up(tree: CellTree, queries: DataFrame) -> DataFrame:
 
 def nearest_leaves(tree: CellTree, queries: DataFrame, n_tops: int, n_leaves: int) -> DataFrame:
     """Adds `tops` and `cells`: a query's nearest tops, and of these its nearest leaves. The leaves are searched as the
-    chunks are, by top cell, so that no task holds them all."""
+    chunks are, by top cell, so that no task holds them all. Written, since a search reads its queries several times."""
+    ensure_checkpoint_dir(queries.sparkSession)
     asked = _lined_up(tree, queries)
     tops = search.nearest_in_cells(tree.tops.select(F.col("top").alias("id"), "vector"), asked, n_tops, "l2")
     named = tops.groupBy("query_id").agg(F.collect_list("id").alias("cells"))
+    met = asked.join(named, "query_id").checkpoint()
     leaves = tree.leaves.select(F.col("leaf").alias("id"), "vector", F.col("top").alias("cell"))
-    found = search.nearest_in_cells(leaves, asked.join(named, "query_id"), n_leaves, "l2")
-    found = found.groupBy("query_id").agg(F.collect_list("id").alias("cells"))
-    return queries.join(named.withColumnRenamed("cells", "tops"), "query_id").join(found, "query_id")
+    found = search.nearest_in_cells(leaves, met, n_leaves, "l2").groupBy("query_id").agg(F.collect_list("id").alias("cells"))
+    tops = met.select("query_id", F.col("cells").alias("tops"))
+    return queries.join(tops, "query_id").join(found, "query_id").checkpoint()
 
 
 def _within(tree: CellTree, asked: DataFrame, k: int, where: Column | str | None) -> DataFrame:
@@ -317,7 +320,7 @@ def exact_topk(
     n_queries = queries.count()
     while True:
         asked = nearest_leaves(tree, queries, n_tops, n_leaves)
-        hits = _with_delta(tree, _within(tree, asked, k, where), queries, k, where)
+        hits = _with_delta(tree, _within(tree, asked, k, where), queries, k, where).checkpoint()
         full = n_tops >= n_tops_all and n_leaves >= n_leaves_all
         if full or hits.where(F.col("rank") == k).count() == n_queries:
             break
@@ -328,13 +331,14 @@ def exact_topk(
     seen = asked.select("query_id", F.explode("cells").alias("leaf"))
     left = open_leaves(tree, queries.join(limits, "query_id", "left")).join(seen, ["query_id", "leaf"], "left_anti")
     cells = left.groupBy("query_id").agg(F.collect_list("leaf").alias("cells"), F.collect_set("top").alias("tops"))
-    more = _within(tree, queries.join(cells, "query_id"), k, where)
+    more = _within(tree, queries.join(cells, "query_id").checkpoint(), k, where)
     return search._rank(hits.drop("rank").unionByName(more.drop("rank")), k)
 
 
 def probes_for(tree: CellTree, queries: DataFrame, k: int = 10, recall: float = 0.9, n_tops: int = 1, n_leaves: int = 1) -> tuple[int, int]:
     """(n_tops, n_leaves) that reach `recall` at k on the given queries, doubled from a small start."""
-    exact = exact_topk(tree, queries, k)
+    ensure_checkpoint_dir(queries.sparkSession)
+    exact = exact_topk(tree, queries, k).checkpoint()
     wanted = exact.count()
     n_tops_all, n_leaves_all = tree.tops.count(), tree.leaves.count()
     while n_tops < n_tops_all or n_leaves < n_leaves_all:

@@ -146,3 +146,11 @@ def test_hits_fetch_texts_without_moving_the_chunks(spark, tmp_path):
         assert "Bucketed: true" in semi and semi.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_asked_leaves_are_written_once(spark):
+    """A search reads its queries several times; the joins that name their leaves must not run for each."""
+    rows = spark.range(200).selectExpr("id", "array(cos(id), sin(id), cos(3 * id)) as vector")
+    tree = cell_tree.build_tree(rows, n_tops=2, branch=2)
+    asked = cell_tree.nearest_leaves(tree, rows.selectExpr("id as query_id", "vector"), 1, 2)
+    assert "Join" not in asked._jdf.queryExecution().executedPlan().toString() and asked.count() == 200
