@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from docstrata.frames import salted_join
 from docstrata.functions import paths
 from docstrata.functions.vectors import BYTE_CENTRE, DIGEST_BYTES
+from docstrata.session import ensure_checkpoint_dir
 
 # Limits of one model call, retries after the first attempt, characters per token.
 MAX_ROWS = 32
@@ -176,6 +177,9 @@ def pack_batches(
         F.col(order).cast("long").alias("o"),
         paths.est_tokens(text, BATCH_CHARS_PER_TOKEN).alias("tokens"),
     ).withColumn("block", F.floor(F.col("o") / block_rows).cast("long"))
+    # Three numbers a row, written: the texts they come from, often cut on the way, are read once.
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = rows.checkpoint()
 
     # Keys of a single block, the usual case, start at their first row and need no description.
     long_keys = rows.where("block > 0").select("k").distinct()

@@ -93,3 +93,17 @@ def test_zero_vector_stays(spark):
 
     row = spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(vx.l2_normalize("v").alias("v")).first()
     assert row["v"] == [0.0, 0.0]
+
+
+def test_texts_are_read_once(spark):
+    """The rows are used for keys, blocks and numbers; what makes their texts must run once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200).selectExpr("id % 2 as path", "id div 2 as n", "repeat('x', 900) as text")
+    packed = embedding.pack_batches(rows.mapInArrow(count, rows.schema), "path", "n", block_rows=32)
+    assert packed.count() == 200 and read.value == 200
