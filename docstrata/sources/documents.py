@@ -22,6 +22,9 @@ PROBE_BYTES = 100
 PROBE_MIN_LENGTH = 20
 PROBE_MIN_ZEROS = 20
 
+# Files whose records are held at a time.
+FILES_AT_A_TIME = 64
+
 # Fixed value: characters per page of extracted text.
 PAGE_CHARS = 50_000
 
@@ -118,17 +121,21 @@ def delimited_text(content: str, sep: str) -> str:
     return "\n".join(lines).strip(WHITESPACE)
 
 
+def _delimited(batches: Iterator[pa.RecordBatch], at: int, sep: str) -> Iterator[pa.RecordBatch]:
+    """A few files at a time: their texts are held as Python strings, and once more as records."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, FILES_AT_A_TIME):
+            part = batch.slice(k, FILES_AT_A_TIME)
+            texts = [None if t is None else delimited_text(t, sep) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+
 def ingest_delimited(files: DataFrame, sep: str = ",") -> DataFrame:
     """CSV or TSV `content` -> `text`, keeping the record order of each file."""
     decoded = files.withColumn("text", decode_content("content")).drop("content")
     at = decoded.columns.index("text")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if t is None else delimited_text(t, sep) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return decoded.mapInArrow(convert, decoded.schema)
+    return decoded.mapInArrow(lambda batches: _delimited(batches, at, sep), decoded.schema)
 
 
 def paginate(df: DataFrame, text: str = "text", size: int = PAGE_CHARS) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from docstrata.plans import indexing
@@ -352,3 +353,11 @@ def test_times_without_zone_are_utc(spark):
         assert row["s"] == 1_704_067_200
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_delimited_texts_are_held_a_few_at_a_time():
+    texts = [f"a, {i}\nb,c" for i in range(1_000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_001)), pa.array(texts)], names=["id", "text"])
+    parts = list(documents._delimited(iter([batch]), 1, ","))
+    assert max(p.num_rows for p in parts) <= documents.FILES_AT_A_TIME
+    assert pa.Table.from_batches(parts).to_pylist() == [{"id": i, "text": t and f"a {i}\nb c"} for i, t in enumerate(texts)]
