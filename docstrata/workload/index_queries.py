@@ -185,8 +185,11 @@ union all select 'removed_files', cast(count(*) as varchar) from status x where
     ),
 )
 def remove_folders(spark, sf):
+    """From a stored chunk table, read several times: the corpus must not be cut for each."""
+    path = fresh_dir(spark, "chunks")
+    t.chunks(spark, sf).select("id", "path").write.parquet(path)
     chunks, status, counts = maintenance.remove_folders(
-        t.chunks(spark, sf), t.status(spark, sf), t.removed_folders(spark)
+        spark.read.parquet(path), t.status(spark, sf), t.removed_folders(spark)
     )
     totals = counts.select(
         F.explode(

@@ -47,3 +47,8 @@ def test_chunking_reads_key_and_text_only(spark, sf):
     plan = plan_of(chunking.chunk_sentences(docs, "doc_id"))
     assert "Exchange" not in plan
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)
+
+
+def test_remove_folders_reads_a_stored_chunk_table(spark, sf):
+    plan = contract.queries()["m5_remove_folders"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
