@@ -25,23 +25,33 @@ def _rows(order: Sequence[str]):
     return Window.partitionBy(SLICE).orderBy(*order)
 
 
-def with_neighbours(slices: DataFrame, order: Sequence[str], value: Column) -> DataFrame:
-    """The rows with `__before` and `__after`: `value` of the rows before and after in the order; null at the ends."""
-    rows = _rows(order)
+def with_others(slices: DataFrame, order: Sequence[str], key: Column, value: Column) -> DataFrame:
+    """The rows with `__before` and `__after`: `value` of the nearest rows before and after that differ in `key`, however
+    many rows with the same key are between; null where there are none."""
+    held = slices.withColumn("__key", key).withColumn("__value", value)
+    found = held
+    for name, forward in (("__before", True), ("__after", False)):
+        rows = Window.partitionBy(SLICE).orderBy(*[F.col(c).asc() if forward else F.col(c).desc() for c in order])
+        prior = F.lag(F.struct("__key", "__value")).over(rows)
+        found = found.withColumn("__prior", prior)
+        other = F.when(F.col("__prior.__key") != F.col("__key"), F.struct("__prior.__value"))
+        found = found.withColumn(name, F.last(other, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.drop("__prior")
     rank = F.struct(*order)
-    held = slices.withColumn("__value", value)
-    ends = held.groupBy(SLICE).agg(F.min_by("__value", rank).alias("first"), F.max_by("__value", rank).alias("last"))
-    # A row a slice: as many as partitions.
-    across = Window.orderBy(SLICE)
-    ends = ends.select(SLICE, F.lag("last").over(across).alias("__prior"), F.lead("first").over(across).alias("__next"))
-    place = held.withColumn("__at", F.row_number().over(rows)).withColumn("__n", F.count("*").over(Window.partitionBy(SLICE)))
-    near = place.withColumn("__lag", F.lag("__value").over(rows)).withColumn("__lead", F.lead("__value").over(rows))
-    return (
-        near.join(ends, SLICE)
-        .withColumn("__before", F.when(F.col("__at") == 1, F.col("__prior")).otherwise(F.col("__lag")))
-        .withColumn("__after", F.when(F.col("__at") == F.col("__n"), F.col("__next")).otherwise(F.col("__lead")))
-        .drop("__value", "__at", "__n", "__lag", "__lead", "__prior", "__next", SLICE)
-    )
+    last = F.struct("__key", "__value", "__before", "__after")
+    across = found.groupBy(SLICE).agg(F.min_by(last, rank).alias("first"), F.max_by(last, rank).alias("last"))
+    # A row a slice: as many as partitions. What a slice's first rows of one key look back to lies in earlier slices.
+    for name, near, far, side in (("__before", "first", "last", F.col(SLICE).asc()), ("__after", "last", "first", F.col(SLICE).desc())):
+        walk = Window.orderBy(side)
+        across = across.withColumn("__prior", F.lag(far).over(walk))
+        other = F.when(F.col("__prior.__key") != F.col(f"{far}.__key"), F.struct("__prior.__value"))
+        at_end = F.coalesce(F.col(f"{far}.{name}"), other)
+        across = across.withColumn("__carried", F.last(at_end, ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, -1)))
+        into = F.when(F.col("__prior.__key") == F.col(f"{near}.__key"), F.col("__carried")).otherwise(F.struct("__prior.__value"))
+        across = across.withColumn(f"{name}_into", into)
+    across = across.select(SLICE, "__before_into", "__after_into")
+    near = [F.coalesce(F.col(c), F.col(f"{c}_into"))["__value"].alias(c) for c in ("__before", "__after")]
+    return found.join(across, SLICE).select(*[c for c in slices.columns if c != SLICE], *near)
 
 
 def with_last(slices: DataFrame, order: Sequence[str], value: Column) -> DataFrame:

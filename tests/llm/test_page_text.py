@@ -102,3 +102,92 @@ def test_pages(spark, sf):
         truth[r["page_id"]] = " ".join(H.unescape(re.sub(r"</?(?:p|br|b|h1)>", " ", body)).split())
     rows = queries.op8_page_text(spark, sf).collect()
     assert {r.page_id: r.text for r in rows} == truth and all(r.n_chars == len(r.text) for r in rows)
+
+
+def plain(rows, copy_share=0.8):
+    """page_id -> (text, n_lines, n_shared): the pages of a host in order of path, each against the nearest that differ."""
+    hosts, found = {}, {}
+    for i, url, html in rows:
+        host, path = re.match(r"https?://([^/?#]*)([^?#]*)", url).groups()
+        lines = page_text.marked_lines(html)
+        hosts.setdefault(host.lower(), []).append((path, i, lines, [text for text, _ in lines]))
+    for pages in hosts.values():
+        pages.sort(key=lambda p: p[:2])
+        for k, (_, i, lines, texts) in enumerate(pages):
+            near = [next((p[3] for p in side if p[3] != texts), None) for side in (pages[:k][::-1], pages[k + 1 :])]
+            whole = sum(len(t) for t, at in lines if at != page_text.MARKUP)
+            gone, seen = set(), []
+            for theirs in filter(None, near):
+                shared = page_text.shared_lines(texts, theirs)
+                size = sum(len(texts[j]) for j in shared if lines[j][1] != page_text.MARKUP)
+                if not size or size < whole:
+                    seen.append(shared)
+                    gone |= shared if size <= copy_share * whole else set()
+            gone |= seen[0] & seen[1] if len(seen) == 2 else set()
+            main = any(at == page_text.MAIN for _, at in lines)
+            kept = [t for j, (t, at) in enumerate(lines) if at == page_text.MAIN or (not main and not at and j not in gone)]
+            found[i] = (" ".join(kept), len(lines), len(gone))
+    return found
+
+
+def both(spark, rows, partitions=7):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        got = page_text.extract_text(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(got) == len(rows)
+    return {r.page_id: r for r in got}
+
+
+def test_every_page_is_differenced(spark):
+    """Shared lines are deleted on pages with an article too; the markup restores the article's and removes single ones."""
+    rows = [
+        (i, f"http://h.example.com/{i}", f"<nav>Menu</nav><p>Site</p><p>Box {i}</p><article><p>Text {i}</p><p>Same words</p></article><footer>Own {i}</footer>")
+        for i in range(8)
+    ]
+    for i, r in both(spark, rows).items():
+        assert r.text == f"Text {i} Same words"
+        assert (r.n_lines, r.n_shared, r.n_restored, r.n_removed) == (6, 3, 1, 2)
+
+
+def test_much_boilerplate_and_copies(spark):
+    menu = [f"Menu entry {k} of the site" for k in range(20)]
+    rows = [page(i, [*menu, f"Words of {i}"]) for i in range(6)]
+    # A text with many copies between its neighbours, over several slices.
+    copied = [*menu, "The same text", "twice"]
+    rows += [page(10 + i, copied) for i in range(300)] + [page(900, [*menu, "Last"])]
+    # Nearly the same text twice, and two pages of which one holds the other.
+    rows += [(2000 + k, f"http://n.example.com/{k}", f"<p>A long text of a page</p><p>with more</p><p>{k}</p>") for k in range(2)]
+    rows += [(3000 + k, f"http://p.example.com/{k}", "<p>A part</p>" + "<p>and all the rest of it</p>" * k) for k in range(2)]
+    got = both(spark, rows)
+    assert all(got[i].text == f"Words of {i}" for i in range(1, 6))
+    assert all(got[10 + i].text == "The same text twice" for i in range(300))
+    assert [got[2000 + k].text for k in range(2)] == [f"A long text of a page with more {k}" for k in range(2)]
+    assert [got[3000 + k].text for k in range(2)] == ["A part", "and all the rest of it"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    words = [f"<p>line {k} {'x' * k}</p>" for k in range(7)] + ["<nav>menu</nav>", "<article>a<p>b</article>", "<footer>f</footer>"]
+    pool = ["".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(40)]
+    rows = [(i, f"http://h{rng.randrange(3)}.example.com/{rng.randrange(60)}", rng.choice(pool[: rng.choice([2, 40])])) for i in range(400)]
+    got = both(spark, rows, 9)
+    assert {i: (r.text, r.n_lines, r.n_shared) for i, r in got.items()} == plain(rows)
+
+
+def test_given_pages_against_a_plain_version(spark, sf):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(f"{sf}/pages.parquet").to_pylist()]
+    got = queries.op8_page_text(spark, sf).collect()
+    assert {r.page_id: (r.text, r.n_lines, r.n_shared) for r in got} == plain(rows)
+    assert any(r.n_shared for r in got)
+
+
+def test_longest_common_subsequence_of_long_pages():
+    rng = random.Random(3)
+    a, b = ([rng.randrange(3) for _ in range(4_000)] for _ in range(2))
+    found = sorted(page_text.shared_lines(a, b))
+    rest = iter(b)
+    assert len(found) > 2_500 and all(a[i] in rest for i in found)
