@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docstrata.frames import key_filter  # noqa: F401, also for the operators
 from docstrata.session import fresh_dir
 
 #: Bytes of text hashed at a time; bounds the arrays a task holds, whatever the batch size. A longer text is a piece
@@ -36,36 +37,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of a key filter, 32 MiB at most; beyond it more keys pass that are not in it.
-MAX_FILTER_BITS = 1 << 28
-
-
-def key_filter(keys: DataFrame, column: str, most_bits: int = MAX_FILTER_BITS):
-    """A function of a column that is true for all values of `column` in `keys` and for few others: a bitmap of hashes, of
-    16 bits a key up to `most_bits`. It cuts down what an exact join shuffles."""
-    spark, n = keys.sparkSession, keys.count()
-    n_bits = min(most_bits, max(1 << 15, 1 << (16 * max(n, 1) - 1).bit_length()))
-
-    def place(c) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n_bits)) + 1  # bitmaps count from 1
-
-    parts = keys.select(place(column).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
-    )
-    held = np.zeros(n_bits // 8, np.uint8)
-    for k, bits in parts.collect():  # n_bits / 8 bytes at most
-        held[(k - 1) * len(bits) : k * len(bits)] = np.frombuffer(bits, np.uint8)
-    shared = spark.sparkContext.broadcast(held.tobytes())
-
-    @F.arrow_udf("boolean")
-    def known(at: pa.Array) -> pa.Array:
-        at = at.to_numpy() - 1
-        bits = np.frombuffer(shared.value, np.uint8)
-        return pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-
-    return lambda c: known(place(c))
-
-
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as a long) and the text, whatever other columns there are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

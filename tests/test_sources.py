@@ -1,6 +1,8 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from docstrata.frames import key_filter
 from docstrata.plans import indexing
 from docstrata.registry import registry_frame
 from docstrata.sources import documents, listing, reports, store
@@ -361,3 +363,55 @@ def test_delimited_texts_are_held_a_few_at_a_time():
     parts = list(documents._delimited(iter([batch]), 1, ","))
     assert max(p.num_rows for p in parts) <= documents.FILES_AT_A_TIME
     assert pa.Table.from_batches(parts).to_pylist() == [{"id": i, "text": t and f"a {i}\nb c"} for i, t in enumerate(texts)]
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have shuffled so far."""
+    context = spark.sparkContext
+    listed = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(listed.apply(i).shuffleWriteBytes() for i in range(listed.size()))
+
+
+def test_replace_moves_only_what_changes(spark, table):
+    """Rows of other files stay where they are, whatever share of the buckets changes."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha1(F.concat_ws(":", "id", k))), "")
+    many = spark.range(4_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("/"), (F.col("id") % 200).cast("string")).alias("path"))
+    rows = many.withColumn("text", text).selectExpr(
+        "id", "path", "0L as mtime_ms", "0 as page", "0L as offset", "text", "cast(null as array<float>) as vector", "'txt' as type", "path as title", "0 as chunk_index"
+    )
+    table.overwrite(rows)
+    keys = spark.createDataFrame([(f"/{k}",) for k in range(20)], "path string")
+    before = shuffled_bytes(spark)
+    table.replace(keys, chunk_frame(spark, [chunk("new", "/3")]), batch_id=1)
+    table.delete_where("path = '/30'")
+    moved = shuffled_bytes(spark) - before
+    left = {str(i) for i in range(4_000) if i % 200 >= 20 and i % 200 != 30} | {"new"}
+    assert {r["id"] for r in table.read().select("id").collect()} == left
+    assert moved < 0.3 * 4_000 * 1_600
+
+
+def test_replace_against_a_plain_table(spark, table, monkeypatch):
+    """Keys that a small bitmap cannot tell apart, repeated rows, null keys, and buckets that are packed anew."""
+    monkeypatch.setattr(store, "key_filter", lambda keys, column: key_filter(keys, column, 1 << 15))
+    monkeypatch.setattr(store, "MOST_FILES", 0.5)
+    rows = [chunk(str(i), f"/{i % 3_000}", "old") for i in range(6_000)] + [chunk("none", None)]
+    table.overwrite(chunk_frame(spark, rows))
+    held = {(r[0], r[1], r[5]) for r in rows}
+    for batch, (low, high) in enumerate([(0, 1_500), (1_000, 1_010), (10_000, 13_000), (2_000, 2_900)]):
+        new = [chunk(f"n{i}", f"/{i}", f"{batch}:{k}", k) for i in range(low, min(high, low + 30)) for k in (1, 0, 2)]
+        keys = spark.createDataFrame([(f"/{i}",) for i in [*range(low, high), low]] + [(None,)], "path string")
+        assert table.replace(keys, chunk_frame(spark, new), batch) is not None
+        gone = {f"/{i}" for i in range(low, high)}
+        held = {r for r in held if r[1] not in gone} | {(f"n{i}", f"/{i}", f"{batch}:2") for i in range(low, min(high, low + 30))}
+        found = [(r["id"], r["path"], r["text"]) for r in table.read().collect()]
+        assert len(found) == len(held) and set(found) == held
+
+
+def test_files_of_a_bucket_stay_few(spark, table):
+    table.overwrite(chunk_frame(spark, [chunk(str(i), f"/{i}") for i in range(100)]))
+    most = 0
+    for i in range(6):
+        table.replace(spark.createDataFrame([(f"/{k}",) for k in range(i, 100, 7)], "path string"), chunk_frame(spark, [chunk(f"n{i}{k}", f"/{k}") for k in range(i, 100, 7)]))
+        live = {(f"version={v}", f"bucket={b}") for v, held in table._newest().items() for b in held}
+        most = max(most, sum(tuple(name.split("/")[-3:-1]) in live for name in table.read().inputFiles()))
+    assert most <= 4 * (store.MOST_FILES + 2) * table.salts and table.read().count() == 100
