@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docstrata.frames import key_filter
 from docstrata.operators import embedding, maintenance
 from docstrata.plans import indexing
 from docstrata.session import ensure_checkpoint_dir
@@ -15,6 +16,15 @@ from docstrata.sources.store import SnapshotTable
 from docstrata.streaming import feed
 
 
+def loader(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """`load` of `apply_changes` from a table of files: of their texts hardly more is shuffled than what is asked for."""
+
+    def load(paths: DataFrame) -> DataFrame:
+        return files.where(key_filter(paths, "path")("path")).join(paths, "path", "left_semi")
+
+    return load
+
+
 def apply_changes(
     events: DataFrame,
     batch_id: int,

@@ -153,7 +153,7 @@ def _maintain(spark, sf):
         table.overwrite(rows)
     running = maintain.maintain(
         _with_files(spark, sf, event_stream(spark, sf)),
-        lambda paths: corpus.join(paths, "path", "left_semi"),
+        maintain.loader(corpus),
         chunks,
         status,
         t.registry(spark),

@@ -415,3 +415,34 @@ def test_files_of_a_bucket_stay_few(spark, table):
         live = {(f"version={v}", f"bucket={b}") for v, held in table._newest().items() for b in held}
         most = max(most, sum(tuple(name.split("/")[-3:-1]) in live for name in table.read().inputFiles()))
     assert most <= 4 * (store.MOST_FILES + 2) * table.salts and table.read().count() == 100
+
+
+def test_maintenance_moves_only_changed_files(spark, tmp_path):
+    """A batch with a few files shuffles neither the other files' texts nor their chunks."""
+    from docstrata.operators.embedding import HashEmbedder
+
+    chunks, status, _ = stores(spark, tmp_path)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha1(F.concat_ws(":", "id", k))), "")
+    named = spark.range(3_000).select("id", F.format_string("/%d.txt", "id").alias("path")).withColumn("text", text)
+    path = str(tmp_path / "files")
+    named.selectExpr("path", "1000L as size_bytes", "id as mtime_ms", "text").write.parquet(path)
+    files = spark.read.parquet(path)
+    chunks.overwrite(named.selectExpr(
+        "cast(id as string) as id", "path", "0L as mtime_ms", "0 as page", "0L as offset", "text", "cast(null as array<float>) as vector", "'txt' as type", "path as title", "0 as chunk_index"
+    ))
+    events = spark.createDataFrame(
+        [(f"/{k}.txt", "change", 1, k) for k in range(40)] + [("/50.txt", "unlink", 1, 50), ("/gone.txt", "change", 1, 51)],
+        "path string, op string, ts long, event_id long",
+    )
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is with many paths
+    before = shuffled_bytes(spark)
+    try:
+        maintain.apply_changes(events, 0, maintain.loader(files), chunks, status, registry_frame(spark), HashEmbedder, NOW)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = shuffled_bytes(spark) - before
+    got = {r["path"]: r["mtime_ms"] for r in chunks.read().collect()}
+    assert set(got) == {f"/{k}.txt" for k in range(3_000) if k != 50} and all(got[f"/{k}.txt"] == k for k in range(40))
+    assert recorded(status)["/50.txt"][0] == recorded(status)["/gone.txt"][0] == "deleted"
+    assert moved < 0.5 * 3_000 * 1_600
