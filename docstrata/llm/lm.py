@@ -45,6 +45,11 @@ SHARD_TOKENS = 1 << 22
 CELL_TOKENS = 1 << 23  # a shard that stands for more, because of frequent words, is split by followers
 GATHER = 1 << 21  # n-grams a task sums up before it hands them on
 
+#: Bytes of text whose tokens are looked up together: so many a cell, at least and at most. Every look-up goes through
+#: all cells that the tokens need, so the more cells, the more tokens it takes to pay for that. A task holds some twenty
+#: numbers a token.
+LOOK_UP_BYTES = 1 << 14, 1 << 22, 1 << 24
+
 #: Files of words, and cells of levels, that a worker keeps mapped. Where Python keeps a handle for each, fewer.
 OPEN_FILES = 4096 if sys.version_info >= (3, 13) else 128
 
@@ -56,8 +61,11 @@ END, BEGIN = 1, 2
 
 
 def token_stream(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds) of a slice from `pieces`: each row is BEGIN, its words, END."""
-    bounds, words = word_hashes(part)
+    """(hashes, bounds) of a slice from `pieces`: each row is BEGIN, its words, END. Hashed a small piece at a time, as
+    that takes far more memory than the tokens."""
+    found = [word_hashes(p) for _, p in pieces(part)]
+    words = np.concatenate([w for _, w in found])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for b, _ in found]))])
     n = np.diff(bounds) + 2
     ends = np.cumsum(n)
     stream = np.empty(int(ends[-1]), dtype=np.int64)
@@ -123,6 +131,12 @@ def _columns(body: bytes, n_columns: int) -> list[np.ndarray]:
     return [*[np.cumsum(x) for x in numbers[:-1]], numbers[-1]]
 
 
+def blocks(texts: pa.Array, n_cells: int) -> list[pa.Array]:
+    """Slices of a string column, each to be looked up at once."""
+    each, least, most = LOOK_UP_BYTES
+    return [part for _, part in pieces(texts, min(max(n_cells * each, least), most))]
+
+
 def _by_cell(texts: DataFrame, grams, limits: list[int]) -> DataFrame:
     """Rows (s, body): what the tasks have summed up of the n-grams that `grams(part)` gives as columns of numbers below
     the limits, the first of them the cell `s`. A cell's rows may repeat an n-gram; it has as many as tokens at most."""
@@ -130,7 +144,7 @@ def _by_cell(texts: DataFrame, grams, limits: list[int]) -> DataFrame:
     def count(batches):
         held, n = [], 0
         for batch in batches:
-            for _, part in pieces(batch.column(0)):
+            for part in blocks(batch.column(0), limits[0]):
                 held.append(_packed(grams(part), limits))
                 n += len(held[-1][0])
                 if n >= GATHER:
@@ -257,12 +271,13 @@ class Opened:
 def sequence_arrays(name: str, seq: EliasFano) -> dict[str, np.ndarray]:
     return {
         f"{name}-head": np.array([seq.size, seq.bits]), f"{name}-low": seq.low, f"{name}-high": seq.high, f"{name}-ones": seq.ones,
+        f"{name}-zeros": seq.zeros,
     }
 
 
 def sequence_of(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
     size, bits = map(int, arrays[f"{name}-head"])
-    return EliasFano(size, bits, *[arrays[f"{name}-{k}"] for k in ("low", "high", "ones")])
+    return EliasFano(size, bits, *[arrays[f"{name}-{k}"] for k in ("low", "high", "ones", "zeros")])
 
 
 # -- levels ------------------------------------------------------------------------------------------------------------
@@ -315,13 +330,18 @@ class Level:
     def find(self, contexts: np.ndarray, back: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, rank among the context's followers) of each follower of contexts[back], both -1 where the follower is
         negative or not kept."""
-        start = self.start(contexts)
-        base, end = self.base(start), self.ends.access(contexts)
+        start, end = self.ends.around(contexts)
         place = np.full(len(back), -1, dtype=np.int64)
-        asked = np.flatnonzero(follower >= 0)
-        at = back[asked]
-        found = self.sums.find(base[at] + follower[asked] + 1)
-        place[asked] = np.where((found >= start[at]) & (found < end[at]), found, -1)
+        if self.sums.size:
+            base, first = self.sums.around(np.minimum(start, self.sums.size - 1))
+            asked = np.flatnonzero(follower >= 0)
+            at = back[asked]
+            want, head, begin, stop = base[at] + follower[asked] + 1, first[at], start[at], end[at]
+            found = np.where((head == want) & (begin < stop), begin, -1)
+            more = np.flatnonzero((head < want) & (begin + 1 < stop))  # contexts with one follower need no search
+            other = self.sums.find(want[more])
+            found[more] = np.where((other > begin[more]) & (other < stop[more]), other, -1)
+            place[asked] = found
         return place, np.where(place >= 0, place - start[back], -1)
 
     def follower(self, place: np.ndarray) -> np.ndarray:
@@ -647,7 +667,7 @@ def score(text: Column, facts: Facts) -> Column:
 
     def scored(texts: pa.Array) -> pa.Array:
         model = _opened(facts)
-        found = [model.score(part) for _, part in pieces(texts)]
+        found = [model.score(part) for part in blocks(texts, facts.cells[-1])]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         arrays = [pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(arrays, names=["n_tokens", "n_known", "base_score", "score"])

@@ -178,3 +178,44 @@ def test_many_shards_with_few_file_handles(spark, monkeypatch):
         assert all((a == b).all() for a, b in zip(first, small.score(texts))) and len(small._words.held) == 16
     finally:
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
+@pytest.mark.parametrize("n,top", [(1, 1), (5, 10), (1000, 1000), (1000, 1 << 62), (5000, 5200)])
+def test_values_around_places(n, top):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, top, n))
+    seq = EliasFano.build(values)
+    index = np.sort(rng.integers(0, n, 200))
+    before, at = seq.around(index)
+    assert (at == values[index]).all() and (before == np.where(index > 0, values[np.maximum(index - 1, 0)], 0)).all()
+    assert (seq.values() == values).all()
+
+
+def test_whole_sequences_and_lone_followers_are_not_searched(monkeypatch):
+    """All values are read in one pass, and a context with one follower is looked up without a search."""
+    level = lm.Level(EliasFano.build(np.arange(1, 1001)), EliasFano.build(lm.summed_up(np.arange(1, 1001), np.arange(1000) % 7)), *[np.zeros(0, np.uint16)] * 2)
+    searched = []
+    find, select = EliasFano.find, EliasFano._select
+    monkeypatch.setattr(EliasFano, "find", lambda self, values: searched.extend(values) or find(self, values))
+    contexts = np.array([0, 3, 500, 999])
+    place, rank = level.find(contexts, np.array([0, 0, 1, 2, 3, 3]), np.array([0, 1, 3, 500 % 7, 999 % 7, -1]))
+    assert place.tolist() == [0, -1, 3, 500, 999, -1] and rank.tolist() == [0, -1, 0, 0, 0, -1] and not searched
+    monkeypatch.setattr(EliasFano, "_select", lambda self, rank, zeros: searched.extend(rank) or select(self, rank, zeros))
+    assert (level.follower(np.arange(1000)) == np.arange(1000) % 7).all() and not searched
+
+
+def test_look_ups_go_through_each_cell_once_for_megabytes(spark, monkeypatch):
+    """3 MB of texts take one look-up a cell and level, with the scores that each text has alone; more cells, larger blocks."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
+    rows = [" ".join(f"w{(i * 7 + k) % 900}" for i in range(60)) for k in range(60)]
+    facts = lm.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+    texts = pa.array([t for t in rows for _ in range(180)], pa.large_string())
+    assert 3 << 20 < texts.nbytes < 4 << 20
+    alone = [lm.Model(facts).score(pa.array([t], pa.large_string()))[3][0] for t in rows]
+    asked = []
+    find = lm.Level.find
+    monkeypatch.setattr(lm.Level, "find", lambda self, *of: asked.append(self) or find(self, *of))
+    got = [lm.Model(facts).score(p)[3] for p in lm.blocks(texts, facts.cells[-1])]
+    assert np.concatenate(got) == pytest.approx(np.repeat(alone, 180))
+    assert len(asked) <= 2 * facts.cells[-1]
+    assert len(lm.blocks(texts, 8)) == 1 and len(lm.blocks(pa.concat_arrays([texts] * 3), 8)) > len(lm.blocks(pa.concat_arrays([texts] * 3), 4096)) == 1
