@@ -2,8 +2,8 @@
 
 The merges of a piece are found with a segment tree over the ranks of its adjacent pairs: the root holds the least rank
 and, of equal ones, the leftmost pair; a merge changes the leaves of three pairs at most, each in logarithmic time,
-until the root holds no rank. A piece of n bytes so takes O(n log n), however long it is. The trees of many short pieces
-are the rows of one array and take their steps together; a long piece has a tree of its own.
+until the root holds no rank. A piece of n bytes so takes O(n log n), however long it is. Short pieces need no tree: many
+are the columns of one array and take their steps together.
 
 Texts are split as the file says: special tokens first, then by the byte-level pattern. Pieces repeat, so each task
 keeps the ids of those it has met, in a table of bounded size.
@@ -14,11 +14,11 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from functools import cache
-from itertools import chain
-from operator import itemgetter
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,55 +113,42 @@ class PairTable:
 
 
 def merge_forest(rows: list[bytes], start: np.ndarray, table: PairTable) -> list[list[int]]:
-    """All merges of many pieces of at most `SHORT_BYTES` bytes: one segment tree a row, a merge a row at each step."""
+    """All merges of many pieces of at most `SHORT_BYTES` bytes, a merge a piece at each step. A piece is a column; `pairs`
+    has rank and place of the pair that begins in each place, so a column's least entry is its next merge."""
     if not rows:
         return []
     lengths = np.array([len(r) for r in rows])
-    width = 1 << max(int(lengths.max()) - 1, 1).bit_length()
-    column = np.arange(width)
-    inside = column < lengths[:, None]
-    ids = np.full((len(rows), width), -1, dtype=np.int32)
-    ids[inside] = start[np.frombuffer(b"".join(rows), dtype=np.uint8)]
-    nodes = np.full((len(rows), 2 * width), _IDLE, dtype=np.int64)
-    pair = column[:-1] < lengths[:, None] - 1
-    row, at = np.nonzero(pair)
-    nodes[row, width + at] = table.leaves(ids[row, at], ids[row, at + 1], at)
-    for k in range(width - 1, 0, -1):
-        np.minimum(nodes[:, 2 * k], nodes[:, 2 * k + 1], out=nodes[:, k])
-    after = np.broadcast_to(column + 1, ids.shape).astype(np.int16)
-    before = np.broadcast_to(column - 1, ids.shape).astype(np.int16)
-
-    flat_ids, flat_nodes, flat_after, flat_before = ids.ravel(), nodes.ravel(), after.ravel(), before.ravel()
-    live = np.arange(len(rows))
+    place = np.arange(lengths.max())[:, None]
+    inside = place < lengths
+    ids = np.full((len(rows), len(place)), -1, dtype=np.int32)
+    ids[inside.T] = start[np.frombuffer(b"".join(rows), dtype=np.uint8)]
+    ids = np.ascontiguousarray(ids.T)
+    pairs = np.full(ids.shape, _IDLE, dtype=np.int64)
+    at, piece = np.nonzero(place < lengths - 1)
+    pairs[at, piece] = table.leaves(ids[at, piece], ids[at + 1, piece], at)
+    after = np.broadcast_to(place + 1, ids.shape).astype(np.int64)
+    before = np.broadcast_to(place - 1, ids.shape).astype(np.int64)
+
     while True:
-        root = flat_nodes[live * (2 * width) + 1]
-        more = root < _IDLE
-        live, root = live[more], root[more]
-        if not len(live):
+        least = pairs.min(axis=0)
+        piece = np.flatnonzero(least < _IDLE)
+        if not len(piece):
             break
-        base, tree, n = live * width, live * (2 * width), lengths[live]
-        at = root & 255
-        gone = flat_after[base + at].astype(np.int64)
-        right = flat_after[base + gone].astype(np.int64)
-        left = flat_before[base + at].astype(np.int64)
-        merged = table.merged[root >> 8]
-        flat_ids[base + at] = merged
-        flat_ids[base + gone] = -1
-        flat_after[base + at] = right
-        has_right, has_left = right < n, left >= 0
-        flat_before[(base + right)[has_right]] = at[has_right]
-        # The three pairs that change; where there is no neighbour the leaf of the merged pair is set idle again.
-        flat_nodes[tree + width + gone] = _IDLE
-        new = table.leaves(merged, flat_ids[base + np.where(has_right, right, at)], at)
-        flat_nodes[tree + width + at] = np.where(has_right, new, _IDLE)
-        new = table.leaves(flat_ids[base + np.where(has_left, left, at)], merged, left)
-        flat_nodes[(tree + width + left)[has_left]] = new[has_left]
-        for place in (gone, at, np.where(has_left, left, at)):
-            k = (place + width) >> 1
-            while k[0]:
-                np.minimum(flat_nodes[tree + 2 * k], flat_nodes[tree + 2 * k + 1], out=root)
-                flat_nodes[tree + k] = root
-                k >>= 1
+        at, merged = least[piece] & 255, table.merged[least[piece] >> 8]
+        gone, left = after[at, piece], before[at, piece]
+        right = after[gone, piece]
+        ids[at, piece], ids[gone, piece] = merged, -1
+        after[at, piece] = right
+        pairs[gone, piece] = pairs[at, piece] = _IDLE
+        # The pairs with the neighbours change, where there are neighbours.
+        has = right < lengths[piece]
+        one, low, high = piece[has], at[has], right[has]
+        before[high, one] = low
+        pairs[low, one] = table.leaves(merged[has], ids[high, one], low)
+        has = left >= 0
+        one, low = piece[has], left[has]
+        pairs[low, one] = table.leaves(ids[low, one], merged[has], low)
+    ids = ids.T
     kept = ids >= 0
     values, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
     return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -197,52 +184,64 @@ class Codec:
         n_ids = max(self.bytes) + 1
         self.starts, self.table = np.array(self.start, dtype=np.int32), PairTable(self.pairs, n_ids)
         self.spelled = [self.bytes.get(i, b"") for i in range(n_ids)]
+        self.spellings = pa.array(self.spelled, pa.binary())
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.find = regex.compile(PIECES).findall
-        # Two generations of met pieces: when the younger is full, it becomes the older one.
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.forget()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        """Empties the two generations of met pieces, each a piece's row of a table of ids: when the younger is full, it
+        becomes the older one."""
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.young_ids = self.old_ids = pa.array([], pa.list_(pa.int32()))
+
+    def token_ids(self, texts: list[str]) -> pa.ListArray:
         """Token ids of each text."""
-        parts = [(k, j, part) for k, t in enumerate(texts) for j, part in enumerate(self.cut.split(t) if self.cut else [t])]
-        pieces = [[] if j % 2 else self.find(part) for _, j, part in parts]
-        known, long = self._met(set(chain.from_iterable(pieces)))
-        out: list[list[int]] = [[] for _ in texts]
-        for (k, j, part), found in zip(parts, pieces, strict=True):
-            if j % 2:
-                out[k].append(self.special[part])
-            else:
-                out[k] += chain.from_iterable(map(known.__getitem__, found))
-        for p in long:
-            del known[p]
-        return out
+        pieces = [self._pieces(t) for t in texts]
+        rows, ids = self._met(set(chain.from_iterable(pieces)))
+        by_piece = ids.take(pa.array(map(rows.__getitem__, chain.from_iterable(pieces)), pa.int32()))
+        ends = np.cumsum([0, *map(len, pieces)])
+        return pa.ListArray.from_arrays(by_piece.offsets.take(pa.array(ends)), by_piece.values)
+
+    def _pieces(self, text: str) -> list[str]:
+        """The special tokens of a text, and the pieces of what is between them; no piece holds a special token."""
+        if not self.cut:
+            return self.find(text)
+        parts = self.cut.split(text)
+        return list(chain.from_iterable([part] if j % 2 else self.find(part) for j, part in enumerate(parts)))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return self.token_ids(texts).to_pylist()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
-    def _met(self, pieces: set[str]) -> tuple[dict[str, list[int]], list[str]]:
-        """The younger generation, holding the ids of the given pieces, and those too long to be kept in it."""
+    def _met(self, pieces: set[str]) -> tuple[dict[str, int], pa.ListArray]:
+        """(rows, ids): the ids of a given piece are ids[rows[piece]]. Short pieces are kept in the younger generation."""
         if len(self.young) >= CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh: list[tuple[int, str, bytes]] = []
-        for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    b = p.encode()
-                    fresh.append((len(b), p, b))
-        fresh.sort(key=itemgetter(0))  # rows of like length share an array
-        short = bisect_right(fresh, SHORT_BYTES, key=itemgetter(0))
+            self.old, self.old_ids = self.young, self.young_ids
+            self.young, self.young_ids = {}, self.young_ids.slice(0, 0)
+        unknown = pieces.difference(self.young)
+        new = unknown.difference(self.old)
+        known = list(unknown.difference(new))
+        fresh = [(p, p.encode()) for p in new.difference(self.special)]
+        fresh.sort(key=lambda x: len(x[1]))  # rows of like length share an array
+        short = bisect_right(fresh, SHORT_BYTES, key=lambda x: len(x[1]))
+        parts = [self.young_ids, self.old_ids.take(pa.array(map(self.old.__getitem__, known), pa.int32()))]
         for low in range(0, short, FOREST_ROWS):
-            group = fresh[low : min(low + FOREST_ROWS, short)]
-            young |= zip([p for _, p, _ in group], merge_forest([b for _, _, b in group], self.starts, self.table), strict=True)
-        for _, p, b in fresh[short:]:
-            young[p] = merge([self.start[c] for c in b], self.pairs)
-        return young, [p for _, p, _ in fresh[short:]]
+            group = [b for _, b in fresh[low : min(low + FOREST_ROWS, short)]]
+            parts.append(pa.array(merge_forest(group, self.starts, self.table), pa.list_(pa.int32())))
+        self.young |= zip([*known, *(p for p, _ in fresh[:short])], count(len(self.young)))
+        self.young_ids = pa.concat_arrays(parts)
+
+        own = [*new.intersection(self.special), *(p for p, _ in fresh[short:])]
+        if not own:
+            return self.young, self.young_ids
+        found = [[self.special[p]] if p in self.special else merge([self.start[c] for c in p.encode()], self.pairs) for p in own]
+        ids = pa.concat_arrays([self.young_ids, pa.array(found, pa.list_(pa.int32()))])
+        return self.young | dict(zip(own, count(len(self.young)))), ids
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; an unknown id has no bytes."""
@@ -252,6 +251,14 @@ class Codec:
             parts = b"".join(self.bytes.get(i, b"") for i in ids)
         return parts.decode("utf-8", "replace")
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """`decode` of each list of ids of the vocabulary."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.spellings.take(ids.values)), b"")
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:  # no UTF-8
+            return pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+
 
 @cache
 def codec(path: str) -> Codec:
@@ -304,9 +311,10 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(k, SLICE_ROWS)
-                found = own.encode_all([t or "" for t in part.column(1).to_pylist()])
-                columns = [pa.array([len(i) for i in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array([own.decode(i) for i in found], pa.string())]
+                ids = own.token_ids([t or "" for t in part.column(1).to_pylist()])
+                columns = [ids.value_lengths().cast(pa.int64()), ids, own.decode_all(ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+        own.forget()  # a worker that goes on with other work has its memory for that
 
     return rows.mapInArrow(roundtrip, schema)
 

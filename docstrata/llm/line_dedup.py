@@ -14,6 +14,7 @@ Only this filter is broadcast.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ BITS_PER_LINE = 12
 MAX_BITS = 1 << 28  # 32 MiB
 SEGMENT_BYTES = 1 << 14
 PROBES = 3
+SLICE_ROWS = 512
 
 
 def line_key(line: bytes) -> bytes:
@@ -48,6 +50,13 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, so that no task holds the lines of a whole batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
 class Bloom:
     """A Bloom filter of a power of two of bits over 64-bit hashes."""
 
@@ -55,17 +64,24 @@ class Bloom:
         self.mask = np.uint64(n_bits - 1)
         self.bytes = np.frombuffer(data, np.uint8) if data else np.zeros(n_bits // 8, np.uint8)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
+    def places(self, hashes: np.ndarray, probe: int) -> np.ndarray:
         step = (hashes >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(hashes + np.uint64(i) * step) & self.mask for i in range(PROBES)])
+        return (hashes + np.uint64(probe) * step) & self.mask
 
     def add(self, hashes: np.ndarray) -> None:
-        at = self.places(hashes).ravel()
-        np.bitwise_or.at(self.bytes, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for probe in range(PROBES):
+            at = self.places(hashes, probe)
+            np.bitwise_or.at(self.bytes, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes)
-        return ((self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+        """Whether each hash may be there. Most are not, and their first bit says so: the next one is read for the rest."""
+        left = np.arange(len(hashes))
+        for probe in range(PROBES):
+            at = self.places(hashes[left], probe)
+            left = left[(self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        held = np.zeros(len(hashes), dtype=bool)
+        held[left] = True
+        return held
 
 
 def filter_bits(n_lines: int, most: int = MAX_BITS) -> int:
@@ -81,7 +97,7 @@ def _task_filters(texts: DataFrame, n_bits: int, least_chars: int) -> DataFrame:
 
     def fill(batches):
         once, twice = Bloom(n_bits), Bloom(n_bits)
-        for batch in batches:
+        for batch in _slices(batches):
             keys = [k for text in _texts(batch.column(1)) if text for k in _long_keys(text, least_chars)]
             found, times = np.unique(_hashes(keys), return_counts=True)
             twice.add(found[(times > 1) | once.holds(found)])
@@ -132,7 +148,7 @@ def _suspects(texts: DataFrame, known: Bloom, least_chars: int) -> DataFrame:
 
     def find(batches):
         twice = Bloom(n_bits, shipped.value)
-        for batch in batches:
+        for batch in _slices(batches):
             digests, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 keys = list(_long_keys(text, least_chars)) if text else []
@@ -146,10 +162,11 @@ def _suspects(texts: DataFrame, known: Bloom, least_chars: int) -> DataFrame:
 
 
 def _clean(least_chars: int):
-    @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
-    def clean(text: pa.Array, keys: pa.Array) -> pa.Array:
+    kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+
+    def some(rows: pa.RecordBatch) -> pa.Array:
         kept, n_lines, n_dropped = [], [], []
-        for body, drop in zip(_texts(text), keys.to_pylist(), strict=True):
+        for body, drop in zip(_texts(rows.column(0)), rows.column(1).to_pylist(), strict=True):
             lines = (body or b"").split(b"\n")
             n_lines.append(len(lines))
             if drop:
@@ -158,10 +175,13 @@ def _clean(least_chars: int):
                 body = b"\n".join(lines)
             n_dropped.append(n_lines[-1] - len(lines))
             kept.append(body or b"")
-        return pa.StructArray.from_arrays(
-            [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-            names=["text", "n_lines", "n_dropped"],
-        )
+        columns = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
+    def clean(text: pa.Array, keys: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([text, keys], names=["text", "keys"])
+        return pa.concat_arrays([pa.array([], kind), *map(some, _slices([rows]))])
 
     return clean
 

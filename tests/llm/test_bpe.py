@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -72,3 +73,22 @@ def test_tree_takes_the_leftmost_of_the_least():
     assert tree.top() == (2, 1)
     tree.set(1, 8)
     assert tree.top() == (2, 3)
+
+
+def test_lists_of_ids_and_texts_are_arrow_arrays():
+    mine, texts = bpe.Codec(PATH), HARD + ["", "a b a b"] * 3
+    ids, want = mine.token_ids(texts), library(texts)
+    assert ids.to_pylist() == want[0] and mine.decode_all(ids).to_pylist() == texts
+    assert mine.decode_all(ids[:0]).to_pylist() == [] and mine.token_ids([]).to_pylist() == []
+    half = pa.array([mine.encode("é")[:1], mine.start[0xC3:0xC4]], pa.list_(pa.int32()))
+    assert mine.decode_all(half).to_pylist() == [mine.decode(i) for i in half.to_pylist()]
+
+
+def test_met_pieces_are_not_merged_again(monkeypatch):
+    mine = bpe.Codec(PATH)
+    texts = ["some words<|endoftext|> and more", "y" * 100 + " words"]
+    first = mine.token_ids(texts)
+    merged = []
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 1)  # the next call begins a generation
+    monkeypatch.setattr(bpe, "merge_forest", lambda rows, *_: merged.extend(rows))
+    assert mine.token_ids(texts) == first and not merged and len(mine.old) == 4

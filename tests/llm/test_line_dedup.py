@@ -59,3 +59,13 @@ def test_filter_has_no_false_negatives():
     bloom.add(hashes)
     assert bloom.holds(hashes).all()
     assert bloom.holds(hashes + np.uint64(1)).mean() < 0.05
+
+
+def test_later_bits_are_read_only_where_the_first_are_set(monkeypatch):
+    bloom, asked, places = line_dedup.Bloom(1 << 16), [], line_dedup.Bloom.places
+    held = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bloom.add(held)
+    monkeypatch.setattr(line_dedup.Bloom, "places", lambda self, h, probe: (asked.append(len(h)), places(self, h, probe))[1])
+    others = np.arange(1000, 2000, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    assert bloom.holds(np.concatenate([held, others]))[:100].all() and asked[0] == 1100 and asked[1] < 300
+    assert not len(bloom.holds(held[:0]))

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from docstrata.llm import quality
 
 
@@ -47,3 +49,19 @@ def test_hosts(spark):
     assert got[5002].kept and got[5002].host_rate is None and not got[5003].kept
     kept = {r.doc_id for r in quality.keep_good(frame).collect()}
     assert kept == {d for d, r in got.items() if r.kept}
+
+
+def test_keep_good_measures_only_what_the_base_rule_asks_for(spark):
+    plan = quality.rules(F.col("text")), quality.base_rules(F.col("text"))
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    shown = [frame.select(m.alias("m"))._jdf.queryExecution().optimizedPlan().toString() for m in plan]
+    assert "translate" in shown[0] and "translate" not in shown[1]
+    for r in frame.select("text", plan[1].alias("m")).collect():
+        want = brute(r.text)
+        assert (r.m.n_words, r.m.n_repeat_words) == (want[0], want[4])
+
+
+def test_only_windows_whose_hash_repeats_are_compared(spark):
+    frame = spark.createDataFrame([("a b c d e f a b c d e g",)], "text string")
+    plan = frame.select(quality.base_rules(F.col("text")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "sort_array" in plan
